@@ -19,6 +19,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_model as qm
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    found = qm.score(docs, qm.fit(docs, labels), keep=["doc_id"])
+    return found.select("doc_id", (qm.fold_of("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and callable(q)}
 
