@@ -11,6 +11,12 @@ from .common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_pairs
+
+    return edited_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
