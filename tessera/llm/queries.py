@@ -17,6 +17,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
