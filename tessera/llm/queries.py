@@ -57,6 +57,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (qm.fold_of("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import with_surrogates
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_surrogates(docs, key="tessera-surrogates-1")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
