@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components
+from tessera.operators.graph import connected_components, settled
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Spec:
     anchors: tuple[str, ...] = ()
     max_cluster: int = 50
     include_review: bool = False
-    u_pairs: int = 200_000
+    u_pairs: int = 50_000
     seed: int = 11
     extras: dict = field(default_factory=dict)
 
@@ -200,7 +200,8 @@ def clusters(edges: DataFrame, records: DataFrame, spec: Spec, ref: str = "recor
 
 def resolve(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> tuple[DataFrame, DataFrame]:
     """(scored pairs, clusters) of the records."""
-    pairs = with_levels(candidate_pairs(records, spec, ref, source), spec)
+    records = settled(records)
+    pairs = settled(with_levels(candidate_pairs(records, spec, ref, source), spec))
     u = u_probabilities(records, spec, ref)
     m, prior = m_probabilities(patterns(pairs, spec), spec, u)
     edges = scored(pairs, spec, m, u, prior)

@@ -464,7 +464,7 @@ def er_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -1 - (o_orderkey % 97) AS b FROM orders WHERE o_orderkey % 50 = 0), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk(node, at) AS (SELECT a, a FROM bi UNION SELECT walk.node, bi.b FROM walk JOIN bi ON walk.at = bi.a) SELECT node, min(at) AS component FROM walk GROUP BY node""")
+walk(node, seen) AS (SELECT a, a FROM bi UNION SELECT walk.node, bi.b FROM walk JOIN bi ON walk.seen = bi.a) SELECT node, min(seen) AS component FROM walk GROUP BY node""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("left"), (-1 - F.col("o_orderkey") % 97).alias("right"))
     return graph.connected_components(edges)
