@@ -34,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage: computed once, kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: computed once, kept in the shared folder, so that a lost executor costs no recomputation.
+
+    A checkpoint keeps its plan's estimated size, which multiplies with every join of a loop; rows read from it have none.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -164,6 +164,6 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns and rows, range-partitioned and sorted by their position in the mix."""
     if not docs.take(1):
         return docs
-    places = mix(docs.dropDuplicates(["doc_id"]), **options).select(F.col("doc_id").alias("_key"), "position")
-    joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_key"))).drop("_key")
-    return joined.repartitionByRange(shuffle_width(docs.sparkSession), "position").sortWithinPartitions("position").drop("position")
+    places = mix(docs.dropDuplicates(["doc_id"]), **options).select(F.col("doc_id").alias("_key"), F.col("position").alias("_position"))
+    joined = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_key"))).drop("_key")
+    return joined.repartitionByRange(shuffle_width(docs.sparkSession), "_position").sortWithinPartitions("_position").drop("_position")

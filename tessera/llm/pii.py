@@ -72,9 +72,10 @@ def is_entity(kind: Column, value: Column) -> Column:
 
 
 def normal_form(kind: Column, value: Column) -> Column:
-    """What mentions of one entity have in common: digits of numbers, small letters of addresses, a name without its title."""
+    """What mentions of one entity have in common: digits of numbers, of phone numbers the last ten, small letters of addresses, a name without its title."""
     return (
-        F.when(kind.isin("card", "phone", "ssn"), digits_of(value))
+        F.when(kind == "phone", F.substring(digits_of(value), -10, 10))
+        .when(kind.isin("card", "ssn"), digits_of(value))
         .when(kind == "email", F.lower(value))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "name", F.regexp_extract(value, r"^\S+ (.*)$", 1))
@@ -128,10 +129,8 @@ def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: C
     card = F.concat(body, ((10 - luhn_sum(body, False) % 10) % 10).cast("string"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number_at(hexes, i) % 254 + 1).cast("string")), ".")
     digits = like(entity, hexes)
-    # the first digit of a phone number's last ten isn't 0 or 1; what stands before, a country's code, is kept
-    country = F.greatest(F.length(entity) - 10, F.lit(0))
-    lead = (number_at(hexes, F.lit(63)) % 8 + 2).cast("string")
-    phone = F.concat(F.substring(entity, F.lit(1), country), lead, F.substring(digits, country + 2, F.length(entity)))
+    # a phone number's first digit isn't 0 or 1
+    phone = F.concat((number_at(hexes, F.lit(63)) % 8 + 2).cast("string"), F.substring(digits, F.lit(2), F.length(entity)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(digits, F.lit(3), F.length(entity)))
     latin = ~entity.rlike(r"[Ͱ-ϿЀ-ӿ]")
     given = reduce(lambda other, g: F.when(gender == g, F.element_at(F.array(*map(F.lit, GIVEN[g])), number_at(hexes, F.lit(0)) % len(GIVEN[g]) + 1)).otherwise(other), GIVEN, F.lit(""))
@@ -170,7 +169,8 @@ def in_format(kind: Column, value: Column, new: Column) -> Column:
 
     def place(acc: Column, c: Column) -> Column:
         taken = F.substring(new, F.length(new) - acc["n"], F.lit(1))
-        signs = c.rlike("[0-9A-Z]")
+        # a country's code, which stands before what the entity has, is kept
+        signs = c.rlike("[0-9A-Z]") & (acc["n"] < F.length(new))
         return F.struct((acc["n"] + signs.cast("int")).alias("n"), F.concat(F.when(signs, taken).otherwise(c), acc["out"]).alias("out"))
 
     chars = F.reverse(F.filter(F.split(value, ""), lambda c: c != ""))
