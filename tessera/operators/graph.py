@@ -13,7 +13,9 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    # a checkpoint keeps its plan's estimated size, which multiplies with every join of a loop; its rows have none
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 def connected_components(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
