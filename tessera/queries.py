@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as ex
-from tessera.operators import canonical, dependencies, entity_resolution, evaluation, fusion, graph, matching, privacy, profiling, quality, ranking, scale, star, validation
+from tessera.operators import canonical, dependencies, entity_resolution, evaluation, fusion, graph, matching, privacy, profiling, quality, ranking, scale, star, validation, views
 from tessera.plans import semantic
 from tessera.sources import files
 from tessera.streaming import rules as streams
@@ -626,3 +626,100 @@ def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(F.col("source").alias("query"), F.col("doc_id").cast("string").alias("item"), F.col("quality").cast("double").alias("label"), F.log1p("n_chars").alias("size"), F.when(F.col("lang") == "en", 1.0).alias("english"))
     model = ranking.train(rows, ["size", "english"])
     return ranking.scored(rows, ["size", "english"], model).select("query", "item", F.round("probability", 6).alias("probability"))
+
+
+# --- views -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 40")
+def view_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.page(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], 20, 40, o_orderstatus="F").select("o_orderkey", "o_orderstatus")
+
+
+@query("""WITH c AS (SELECT p_type AS "group", p_brand AS value, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY "group") AS k FROM c) SELECT "group", value, n, CAST(rank AS INTEGER) AS rank, greatest(k - 3, 0) AS hidden FROM r WHERE rank <= 3""")
+def view_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.breakdown(table(spark, sf_dir, "part"), "p_type", "p_brand", 3)
+
+
+@query("""SELECT b AS bin, lo AS low, hi AS high, (SELECT count(*) FROM lineitem WHERE l_quantity >= lo AND (l_quantity < hi OR (b = 2 AND l_quantity <= hi))) AS n FROM (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE), (1, 10.0, 30.0), (2, 30.0, 50.0)) AS v(b, lo, hi)""")
+def view_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.distribution(table(spark, sf_dir, "lineitem"), "l_quantity", [0, 10, 30, 50])
+
+
+@query("SELECT l_returnflag AS down, l_linestatus AS across, count(*) AS n, round(avg(l_discount), 9) AS mean FROM lineitem GROUP BY ALL")
+def view_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.heat_map(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_discount").withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def quality_referential_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = R("fk", "DECLARED_REFERENTIAL_INTEGRITY", "orders", ("o_custkey",), target="customer", target_columns=("c_custkey",))
+    targets = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return quality.affected(table(spark, sf_dir, "orders"), rule, "o_orderkey", {"customer": targets}).where("affected").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def quality_trim_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\u00a0")).alias("day"))
+    fixed = quality.propose(rows, R("t", "NORMALIZATION_OPPORTUNITY", "orders", ("day",), repair="trim_whitespace"), "o_orderkey").kept
+    return fixed.select("o_orderkey", F.col("day").cast("date").alias("day"))
+
+
+@query("SELECT o_custkey, o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY ALL")
+def truth_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"))
+
+
+@query("SELECT n_regionkey AS key, count(*) * count(*) AS pairs FROM nation GROUP BY 1")
+def scale_fanout_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    scale.fanout(n, n, "n_regionkey", 10_000)
+    return n.groupBy(F.col("n_regionkey").alias("key")).agg((F.count("*") * F.count("*")).alias("pairs"))
+
+
+@query("""SELECT a.n_name AS l, b.n_name AS r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""")
+def scale_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_name", F.array(F.col("n_regionkey").cast("string")).alias("blocks"))
+    return scale.block_pairs(rows, "n_name", "blocks", 1000)
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT CAST(('0x' || substr(sha256('5:' || event_id), 1, 16))::UBIGINT % 4 AS INTEGER)) AS partitions FROM events GROUP BY 1 HAVING count(*) > 1")
+def scale_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("partition", scale.route("HASH", F.col("event_id"), 4, 5))
+    return scale.cross_partition_duplicates(rows, "user_id")
+
+
+@query("""WITH s AS (SELECT event_id, ('0x' || substr(sha256('2:' || event_id), 1, 16))::UBIGINT AS h FROM events) SELECT event_id FROM s WHERE h < 1844674407370955264::UBIGINT""")
+def scale_ratio_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale.hash_sample(table(spark, sf_dir, "events"), "event_id", 0.1, seed=2).select("event_id")
+
+
+@query("""SELECT lhs, rhs, round(error, 9) AS error FROM (SELECT 'p_type' AS lhs, 'p_brand' AS rhs, (SELECT (count(DISTINCT (p_type, p_brand)) - count(DISTINCT p_type)) * 1.0 / count(*) FROM part) AS error UNION ALL SELECT 'p_brand', 'p_type', (SELECT (count(DISTINCT (p_type, p_brand)) - count(DISTINCT p_brand)) * 1.0 / count(*) FROM part)) WHERE error <= 0.2""")
+def deps_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.functional_dependencies(table(spark, sf_dir, "part", ["p_type", "p_brand"]), max_arity=1, max_error=0.2).select("lhs", "rhs", F.round("error", 9).alias("error"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) > 1)")
+def deps_violating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.violating_rows(table(spark, sf_dir, "part"), ["p_type"], "p_brand", "p_partkey")
+
+
+@query("""SELECT 'dispositions' AS "check", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS discrepancies, 'BLOCKING' AS severity FROM orders WHERE o_orderstatus = 'P'""")
+def validate_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    expected = o.select(F.col("o_orderkey").alias("record_ref"), F.lit("EMITTED").alias("disposition"))
+    observed = o.select(F.col("o_orderkey").alias("record_ref"), F.when(F.col("o_orderstatus") == "P", "QUARANTINED").otherwise("EMITTED").alias("disposition"))
+    return validation.dispositions(expected, observed)
+
+
+@query("""SELECT 'membership' AS "check", 'PASS' AS status, CAST(0 AS BIGINT) AS discrepancies, 'BLOCKING' AS severity""")
+def validate_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("group"), F.col("o_orderkey").cast("string").alias("member"))
+    return validation.membership(o, o.withColumn("group", F.concat(F.lit("entity-"), "group")))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS canonical_ref, coalesce(min(o_orderpriority) FILTER (WHERE o_orderstatus = 'F' AND r = 1), min(o_orderpriority) FILTER (WHERE o_orderstatus = 'O' AND r = 1)) AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY printf('%012d', o_orderkey)) AS r FROM orders) GROUP BY 1""")
+def canonical_preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    values = o.select(F.col("o_custkey").cast("string").alias("canonical_ref"), F.lit("priority").alias("attribute"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("value_ref"), F.col("o_orderstatus").alias("source_id"), F.col("o_orderpriority").alias("value"), F.col("o_orderdate").alias("observed_at"))
+    return canonical.survivors(values, "PREFERRED_SOURCE", ("F", "O")).select("canonical_ref", "value")
