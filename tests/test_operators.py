@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expressions as ex
 from tessera.operators import canonical, dependencies, entity_resolution, evaluation, fusion, graph, matching, privacy, profiling, quality, scale, star, validation
 from tessera.plans import semantic
-from tessera.sources import files
+from tessera.sources import files, sqlite
 from tessera.streaming import rules as streams
 
 
@@ -80,6 +80,30 @@ def test_csv_is_text_and_strict(spark, tmp_path):
         files.read_table(spark, "x.xlsx")
 
 
+def test_sqlite_source(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "s.db")
+    con = sqlite3.connect(path)
+    con.executescript("""CREATE TABLE parent(parent_id INTEGER PRIMARY KEY, parent_code TEXT NOT NULL UNIQUE);
+    CREATE TABLE child(parent_id INT NOT NULL REFERENCES parent(parent_id), child_seq INT NOT NULL, label TEXT, PRIMARY KEY(parent_id, child_seq));
+    CREATE TABLE "odd table"("odd column" TEXT, value INT); CREATE VIEW child_view AS SELECT label FROM child;
+    INSERT INTO parent VALUES (1, 'P-001'), (2, 'P-002'); INSERT INTO child VALUES (1, 1, 'first'), (1, 2, 'second'), (2, 1, 'third'); INSERT INTO "odd table" VALUES ('quoted', 7);""")
+    con.commit()
+    con.close()
+    found = sqlite.catalog(spark, path)
+    assert {(r.name, r.kind) for r in found["tables"].collect()} == {("parent", "table"), ("child", "table"), ("odd table", "table"), ("child_view", "view")}
+    kinds = {(r.table, r.kind, tuple(r["columns"]), r.referenced_table) for r in found["constraints"].collect()}
+    assert {("parent", "PRIMARY_KEY", ("parent_id",), None), ("parent", "UNIQUE", ("parent_code",), None), ("child", "PRIMARY_KEY", ("parent_id", "child_seq"), None), ("child", "FOREIGN_KEY", ("parent_id",), "parent")} == kinds
+    assert sorted(map(tuple, sqlite.read_sqlite(spark, path, "child").collect())) == [(1, 1, "first"), (1, 2, "second"), (2, 1, "third")]
+    assert [tuple(r) for r in sqlite.read_sqlite(spark, path, "odd table", ["value"]).collect()] == [(7,)]
+    assert sqlite.read_sqlite(spark, path, "child_view").count() == 3
+    with pytest.raises(sqlite3.DatabaseError):
+        sqlite.connect(path).execute("DELETE FROM child")
+    with pytest.raises(files.SourceError, match="CAPABILITY_UNAVAILABLE"):
+        sqlite.read_xlsx(spark, "x.xlsx", "s")
+
+
 def test_staging_detects_changes(spark, tmp_path):
     rows = spark.range(20).withColumn("x", F.col("id") * 2)
     manifest = files.stage(rows, str(tmp_path / "s"))
