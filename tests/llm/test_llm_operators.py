@@ -474,6 +474,12 @@ def test_blocks_by_place():
     assert main_texts([blocks_of('<article><p hidden>x</p><p style="display: none">y</p><p>z</p></article>')]) == ["z"]
 
 
+def test_whole_pages_and_open_heads():
+    assert main_texts([blocks_of('<html class="hidden"><head><title>t</title><body class="has-sidebar search"><article class="post share">x<article class="comment">y</article></article></body></html>')]) == ["x"]
+    assert main_texts([blocks_of('<div class="widget">menu</div><div class="story">text</div>')]) == ["text"]
+    assert main_texts([blocks_of("<p>a<nav>b</nav>c")]) == ["a c"] and main_texts([blocks_of("<script>var a = 1;")]) == [""]
+
+
 def test_covered_tokens_equal_a_plain_search():
     rng = random.Random(5)
     for _ in range(30):
