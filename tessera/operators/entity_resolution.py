@@ -20,6 +20,7 @@ class Comparison:
     field: str
     method: str = "exact"
     thresholds: tuple[float, ...] = ()
+    term_frequency: bool = False  # equal rare values weigh more than equal common ones
 
     @property
     def levels(self) -> int:
@@ -166,12 +167,26 @@ def m_probabilities(rows: list, spec: Spec, u: dict[str, list[float]]) -> tuple[
     return m, prior
 
 
+def with_frequencies(pairs: DataFrame, records: DataFrame, spec: Spec) -> DataFrame:
+    """pairs with `tf_<field>`, the share of records that have the pair's left value, for fields that ask for it."""
+    for c in spec.comparisons:
+        if c.term_frequency:
+            known = records.where(F.col(c.field).isNotNull())
+            total = known.agg(F.count("*").alias("_all"))
+            shares = known.groupBy(F.col(c.field).alias(f"l_{c.field}")).agg(F.count("*").alias("_n")).join(F.broadcast(total)).select(f"l_{c.field}", (F.col("_n") / F.col("_all")).alias(f"tf_{c.field}"))
+            pairs = pairs.join(shares, f"l_{c.field}", "left")
+    return pairs
+
+
 def scored(pairs: DataFrame, spec: Spec, m: dict[str, list[float]], u: dict[str, list[float]], prior: float) -> DataFrame:
     """pairs with weight (log2 odds), probability, agreements and band."""
     weight = F.lit(math.log2(prior / (1 - prior)))
     for c in spec.comparisons:
         factors = F.array(*[F.lit(math.log2(a / b)) for a, b in zip(m[c.field], u[c.field], strict=True)])
         weight = weight + F.coalesce(F.get(factors, F.col(f"v_{c.field}")), F.lit(0.0))
+        if c.term_frequency:
+            rarer = F.lit(math.log2(u[c.field][-1])) - F.log2(F.col(f"tf_{c.field}"))
+            weight = weight + F.coalesce(F.when(F.col(f"v_{c.field}") == c.levels, rarer), F.lit(0.0))
     agree = reduce(lambda x, y: x + y, [F.coalesce((F.col(f"l_{c.field}") == F.col(f"r_{c.field}")).cast("int"), F.lit(0)) for c in spec.comparisons])
     out = pairs.withColumn("weight", weight).withColumn("agreements", agree).withColumn("probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
     gate = F.col("weight") >= spec.weight_gate if spec.weight_gate is not None else F.lit(False)
@@ -204,7 +219,7 @@ def resolve(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str
     pairs = settled(with_levels(candidate_pairs(records, spec, ref, source), spec))
     u = u_probabilities(records, spec, ref)
     m, prior = m_probabilities(patterns(pairs, spec), spec, u)
-    edges = scored(pairs, spec, m, u, prior)
+    edges = scored(with_frequencies(pairs, records, spec), spec, m, u, prior)
     return edges, clusters(edges, records, spec, ref)
 
 

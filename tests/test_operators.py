@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import hmac
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +249,14 @@ def test_resolution_keeps_the_hard_negative_apart(spark):
     assert entity_resolution.pair_universe(rows, "LINK_AND_DEDUPE") == 35 * 34 // 2
 
 
+def test_rare_values_weigh_more(spark):
+    rows = spark.createDataFrame([(f"r{i}", "x", "common" if i < 30 else f"rare{i // 2}") for i in range(60)], "record_ref string, source_id string, name string")
+    spec = entity_resolution.Spec((entity_resolution.Comparison("name", term_frequency=True),), (("name",),), mode="DEDUPE_ONLY", independent=1)
+    edges, _ = entity_resolution.resolve(rows, spec)
+    weights = {r.l_name: r.weight for r in edges.collect()}
+    assert weights["rare20"] - weights["common"] == pytest.approx(math.log2(30 / 2))
+
+
 def test_components_and_neighbourhood(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "left long, right long")
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
