@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -50,7 +50,6 @@ class Spec:
     include_review: bool = False
     u_pairs: int = 50_000
     seed: int = 11
-    extras: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.blocking or any(not rule for rule in self.blocking):
@@ -202,12 +201,10 @@ def clusters(edges: DataFrame, records: DataFrame, spec: Spec, ref: str = "recor
     labels = connected_components(links, "l", "r")
     inside = links.join(labels, links["l"] == labels["node"]).groupBy("component").agg(F.count("*").alias("edges"), F.max("agreements").alias("best"))
     members = labels.join(records.select(F.col(ref).alias("node"), *spec.anchors), "node")
-    clash = [F.countDistinct(a) > 1 for a in spec.anchors]
-    any_clash = reduce(lambda x, y: x | y, clash) if clash else F.lit(False)
-    groups = members.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("size"), F.max(F.lit(False)).alias("_") if not clash else any_clash.alias("conflicting_anchors"))
-    if not clash:
-        groups = groups.withColumn("conflicting_anchors", F.lit(False)).drop("_")
-    out = groups.join(inside, "component")
+    kinds = [F.countDistinct(a).alias(f"_{a}") for a in spec.anchors]
+    groups = members.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("size"), *kinds)
+    clash = reduce(lambda x, y: x | y, [F.col(f"_{a}") > 1 for a in spec.anchors], F.lit(False))
+    out = groups.withColumn("conflicting_anchors", clash).join(inside, "component")
     out = out.withColumn("unsafe_bridge", (F.col("size") >= 3) & (F.col("edges") < F.col("size") * (F.col("size") - 1) / 2)).withColumn("placeholder_only", F.col("best") == 0)
     risky = F.col("unsafe_bridge") | F.col("placeholder_only") | F.col("conflicting_anchors") | (F.col("size") > spec.max_cluster)
     return out.select(F.col("component").alias("cluster"), "members", "size", "edges", "unsafe_bridge", "placeholder_only", "conflicting_anchors", F.when(risky, "REVIEW_CLUSTER").otherwise("CANDIDATE_CLUSTER").alias("decision"))
