@@ -1,11 +1,13 @@
-"""Main text of web pages, with boilerplate found by a suffix array over each host's pages.
+"""Main text of web pages, with boilerplate found by the runs that a host's pages share.
 
 A page is cut into blocks of text. A block's place in the markup says what it most likely is: inside an article or a
 main element (body), inside menus, headers, footers, sidebars, forms, notices, adverts or comments (chrome), or
-neither (open). The token streams of a host's chrome and open blocks are put end to end, a suffix array sorted to the
-depth of the shortest run that counts brings equal runs together, and tokens of runs that stand on several distinct
-pages are covered. Open blocks lose their covered runs and keep the unique ones. Pages of one host are handled in
-groups of bounded size.
+neither (open). Body blocks are kept and chrome blocks dropped. Open blocks, with or without body blocks beside them,
+lose the tokens of runs that stand on several distinct pages of the host, in chrome or open blocks, and keep the others.
+
+Runs are those of MIN_RUN tokens; a longer repeated run is covered by the runs of that length in it. They are counted
+over whole hosts, as an aggregation by the hash of host and run. `covered_tokens` finds the same runs by a suffix array
+sorted to that depth, for pages that are at hand in one place.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, shuffle_width, strings
+from .common import _BASE, mix64, pinned, span_hashes, strings, word_spans
 
 MIN_RUN = 8  # tokens of the shortest run that counts; a power of two
 MIN_PAGES = 2
-GROUP_PAGES = 256
-HOT_HOSTS = 100_000  # hosts with more than one HOT_HOSTS-th of all pages are dealt to several tasks
+GROUP_PAGES = 256  # pages whose runs a task adds up before it gives them to the shuffle
 
 # Element names of HTML by what they do to text.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea button datalist".split())
@@ -163,62 +164,141 @@ def covered_tokens(tokens: np.ndarray, page: np.ndarray, stream: np.ndarray, min
     return np.cumsum(steps[:-1]) > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
-    """Main texts of one host's pages from their blocks."""
+def page_text(blocks: list[tuple[int, str]], covered: np.ndarray) -> str:
+    """Main text of a page: its body, and what isn't covered of its open blocks. covered has its tokens outside the body."""
+    kept, at = [], 0
+    for place, text in blocks:
+        if place == IN_BODY:
+            kept.append(text)
+            continue
+        tokens = text.split(" ")
+        if place == OPEN:
+            unique = " ".join(w for w, c in zip(tokens, covered[at : at + len(tokens)], strict=True) if not c)
+            if unique:
+                kept.append(unique)
+        at += len(tokens)
+    return " ".join(kept)
+
+
+def streams_of(blocks: list[tuple[int, str]]) -> tuple[list[str], list[int], list[int]]:
+    """(tokens, stream, place) outside the body; what stands next to each other in one place is one stream, so runs can go on across blocks."""
     words: list[str] = []
-    page_of: list[int] = []
-    stream_of: list[int] = []
-    spans: dict[tuple[int, int], tuple[int, int]] = {}
-    stream = 0
-    for p, blocks in enumerate(pages):
-        last = None
-        for b, (place, text) in enumerate(blocks):
-            if place == IN_BODY:
-                last = None
-                continue
-            # what stands next to each other in one place is one stream, so runs can go on across blocks
-            if last != place:
-                stream += 1
-            last = place
+    streams: list[int] = []
+    places: list[int] = []
+    stream, last = 0, None
+    for place, text in blocks:
+        if place != IN_BODY:
             tokens = text.split(" ")
-            spans[p, b] = (len(words), len(words) + len(tokens))
+            stream += last != place
             words += tokens
-            page_of += [p] * len(tokens)
-            stream_of += [stream] * len(tokens)
+            streams += [stream] * len(tokens)
+            places += [place] * len(tokens)
+        last = place
+    return words, streams, places
+
+
+def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
+    """Main texts of one host's pages from their blocks."""
     codes: dict[str, int] = {}
-    numbers = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-    covered = covered_tokens(numbers, np.array(page_of, np.int64), np.array(stream_of, np.int64), min_run, min_pages)
-    out = []
+    numbers: list[int] = []
+    page_of: list[int] = []
+    stream_of: list[int] = []
+    ends = [0]
     for p, blocks in enumerate(pages):
-        kept = []
-        has_body = any(place == IN_BODY for place, _ in blocks)
-        for b, (place, text) in enumerate(blocks):
-            if place == IN_BODY:
-                kept.append(text)
-            elif place == OPEN and not has_body:
-                a, z = spans[p, b]
-                unique = " ".join(w for w, c in zip(words[a:z], covered[a:z], strict=True) if not c)
-                if unique:
-                    kept.append(unique)
-        out.append(" ".join(kept))
-    return out
+        words, streams, _ = streams_of(blocks)
+        first = stream_of[-1] + 1 if stream_of else 0
+        numbers += [codes.setdefault(w, len(codes)) for w in words]
+        page_of += [p] * len(words)
+        stream_of += [first + x for x in streams]
+        ends.append(len(numbers))
+    covered = covered_tokens(np.array(numbers, np.int64), np.array(page_of, np.int64), np.array(stream_of, np.int64), min_run, min_pages)
+    return [page_text(blocks, covered[a:z]) for blocks, a, z in zip(pages, ends[:-1], ends[1:], strict=True)]
+
+
+def run_hashes(blocks: list[tuple[int, str]], host: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first token, whether open) of each run of min_run tokens outside the body; equal runs of other hosts hash otherwise."""
+    words, streams, places = streams_of(blocks)
+    n = len(words) - min_run + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]))
+    hashed = span_hashes(raw, starts, ends)
+    whole = np.full(n, host & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(min_run):
+        whole += hashed[k : k + n] * np.uint64(pow(_BASE, 2 * k + 3, 1 << 64))
+    stream = np.array(streams, np.int64)
+    at = np.flatnonzero(stream[:n] == stream[min_run - 1 :])
+    return mix64(whole[at]).view(np.int64), at, np.array(places, np.int64)[at] == OPEN
 
 
 def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def dealt_by_host(pages: DataFrame, url_col: str, group_pages: int) -> DataFrame:
-    """pages with host and part: hosts of more than max(group_pages, a HOT_HOSTS-th of all pages) are split by hash.
+def covered_runs(rows: DataFrame, min_run: int, min_pages: int, group_pages: int) -> DataFrame:
+    """(run) of the runs in open blocks that stand on min_pages distinct pages or more: pages of other contents and other ids.
 
-    There are fewer than HOT_HOSTS hosts of that kind, so that the list of them has a fixed bound and is broadcast.
+    A task gives one row for each run of group_pages pages. With two pages enough, these hold the smallest and the
+    largest page, and a run that all of a hot host's pages have comes to the shuffle as one row a task.
     """
-    rows = pages.withColumn("_host", host_of(url_col))
-    sizes = pinned(rows.groupBy("_host").agg(F.count("*").alias("pages")))
-    total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
-    most = max(group_pages, total // HOT_HOSTS)
-    hot = sizes.where(F.col("pages") > most).select("_host", F.ceil(F.col("pages") / most).cast("int").alias("_parts"))
-    return rows.join(F.broadcast(hot), "_host", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    two = min_pages == 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            runs, content, page, is_open = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(runs, kind="stable") if two else np.lexsort((page, content, runs))
+            runs, content, page, is_open = runs[order], content[order], page[order], is_open[order]
+            first = np.ones(len(runs), bool)
+            first[1:] = runs[1:] != runs[:-1]
+            if not two:
+                first[1:] |= (content[1:] != content[:-1]) | (page[1:] != page[:-1])
+            at = np.flatnonzero(first)
+            if not len(at):
+                columns = [runs, content, content, page, page, is_open]
+            else:
+                columns = [runs[at], *[f.reduceat(c, at) for c in (content, page) for f in (np.minimum, np.maximum)], np.logical_or.reduceat(is_open, at)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "content", "content_high", "page", "page_high", "open"])
+
+        for batch in batches:
+            hosts, contents, ids = (batch.column(c).to_pylist() for c in ("host_key", "content", "page_key"))
+            sources = strings(batch, "html")
+            for row, host in enumerate(hosts):
+                runs, _, is_open = run_hashes(blocks_of(sources[row].as_py()), host, min_run)
+                held.append((runs, np.full(len(runs), contents[row], np.int64), np.full(len(runs), ids[row], np.int64), is_open))
+                if len(held) >= group_pages:
+                    yield flush()
+        if held:
+            yield flush()
+
+    found = rows.select("host_key", "content", "page_key", "html").mapInArrow(run, "run long, content long, content_high long, page long, page_high long, open boolean").groupBy("run")
+    if two:
+        several = found.agg(F.min("content").alias("c"), F.max("content_high").alias("d"), F.min("page").alias("p"), F.max("page_high").alias("q"), F.max("open").alias("open")).where("c != d AND p != q")
+    else:
+        several = found.agg(F.count_distinct("content").alias("c"), F.count_distinct("page").alias("p"), F.max("open").alias("open")).where(F.least("c", "p") >= min_pages)
+    return several.where("open").select("run")
+
+
+def covered_places(rows: DataFrame, covered: DataFrame, min_run: int) -> DataFrame:
+    """(host_key, content, runs): the first tokens of the covered runs in the open blocks of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, contents = (batch.column(c).to_pylist() for c in ("host_key", "content"))
+            sources = strings(batch, "html")
+            for row, host in enumerate(hosts):
+                runs, at, is_open = run_hashes(blocks_of(sources[row].as_py()), host, min_run)
+                if is_open.any():
+                    runs, at = runs[is_open], at[is_open]
+                    columns = [np.full(len(runs), host, np.int64), np.full(len(runs), contents[row], np.int64), runs, at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["host_key", "content", "run", "at"])
+
+    # both sides of the join come from a shuffle of their own, so that a run of very many pages can be split
+    places = rows.select("host_key", "content", "html").mapInArrow(run, "host_key long, content long, run long, at long")
+    return places.join(covered, "run").groupBy("host_key", "content").agg(F.collect_set("at").alias("runs"))
 
 
 def extract(
@@ -226,43 +306,32 @@ def extract(
 ) -> DataFrame:
     """(id, url, text, n_chars) for each page; the text is empty if there is none.
 
-    A null html counts as empty; pages without a readable host form a group of their own; null ids are kept; repeated
-    rows of one id count as one page of their host. An empty table gives no rows. Html is shuffled once, by host.
+    A null html counts as empty; pages without a readable host count as of one host; null ids are kept. Rows of one id
+    count as one page of their host, and so do rows of one content. An empty table gives no rows. Html is read once to
+    count the runs, and is shuffled only if open blocks have runs that are covered.
     """
-    parts = shuffle_width(pages.sparkSession)
-    rows = dealt_by_host(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")), "url", group_pages)
-    salted = rows.withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.col("_parts")))
-    placed = salted.repartition(parts, "_host", "_part").sortWithinPartitions("_host", "_part", "page_id").select("page_id", "url", "html", F.concat_ws("\n", "_host", "_part").alias("key"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.withColumn("host_key", F.xxhash64(host_of("url"))).withColumn("content", F.xxhash64("html"))
+    # a page without an id is told from others by its content
+    keyed = rows.withColumn("page_key", F.when(F.col("page_id").isNull(), F.col("content")).otherwise(F.xxhash64("page_id")))
+    covered = pinned(covered_runs(keyed, min_run, min_pages, group_pages))
+    if covered.take(1):
+        marks = pinned(covered_places(rows, covered, min_run))
+        rows = rows.join(marks, ["host_key", "content"], "left")
+    else:
+        rows = rows.withColumn("runs", F.lit(None).cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: str | None = None
-        held: list[tuple] = []  # id, url, blocks
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            # rows of one id are one page; the first stands for it among the others
-            alone = {r[0]: k for k, r in reversed(list(enumerate(rows))) if r[0] is not None}
-            texts = main_texts([r[2] if r[0] is None or alone[r[0]] == k else [] for k, r in enumerate(rows)], min_run, min_pages)
-            for k, r in enumerate(rows):
-                if r[0] is not None and alone[r[0]] != k:
-                    texts[k] = texts[alone[r[0]]] if r[2] == rows[alone[r[0]]][2] else main_texts([r[2]], min_run, min_pages)[0]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
         for batch in batches:
-            keys, ids, urls = (batch.column(c).to_pylist() for c in ("key", "page_id", "url"))
-            sources = strings(batch, "html")
-            for row, here in enumerate(keys):
-                if here != key and held:
-                    yield flush(held)
-                    held = []
-                elif len(held) >= 2 * group_pages:  # what stays is never a group of a few pages
-                    yield flush(held[:group_pages])
-                    held = held[group_pages:]
-                key = here
-                held.append((ids[row], urls[row], blocks_of(sources[row].as_py())))
-        if held:
-            yield flush(held)
+            sources, marks = strings(batch, "html"), batch.column("runs")
+            texts = []
+            for row in range(batch.num_rows):
+                blocks = blocks_of(sources[row].as_py())
+                covered = np.zeros(sum(text.count(" ") + 1 for place, text in blocks if place != IN_BODY), bool)
+                for at in marks[row].as_py() or ():
+                    covered[at : at + min_run] = True
+                texts.append(page_text(blocks, covered))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return placed.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "runs").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -514,6 +514,25 @@ def test_repeated_runs_leave_open_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and extract(df.limit(0)).collect() == []
 
 
+def test_open_blocks_beside_a_body_and_over_whole_hosts(spark):
+    rng = random.Random(11)
+    story = [words(rng, 60, 10**6) for _ in range(700)]
+    twice = words(rng, 12, 10**6)
+    page = "<article>teaser {}</article><div>{}</div><nav>a b</nav><div>{}</div>"
+    # one run of text stands on the first and the last page only, far apart; all pages share a line in a plain div
+    rows = [(i, "http://big.example/p", page.format(i, story[i], twice if i in (0, 699) else "shared line of a site on each of its pages")) for i in range(700)]
+    rows += [(i, "http://copies.example/p", "<div>" + story[0] + "</div>") for i in (1000, 1001, 1002)] + [(None, "http://copies.example/q", "<div>" + story[0] + "</div>")]
+    rows += [(1100, "http://one.example", "<div>" + story[1] + "</div>"), (1100, "http://one.example", "<div>" + story[1] + " more</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in extract(df, group_pages=16).collect())
+    assert got[1:701] == [(i, f"teaser {i} {story[i]}") for i in range(700)]
+    assert [t for i, t in got if i in (-1, 1000, 1001, 1002)] == [story[0]] * 4
+    assert [t for i, t in got if i == 1100] == [story[1], story[1] + " more"]
+    assert [t for _, t in got[1:701]] == main_texts([blocks_of(r[2]) for r in rows[:700]])
+    three = {r.page_id: r.text for r in extract(df.where("page_id < 1000"), min_pages=3).collect()}
+    assert three[0] == f"teaser 0 {story[0]} {twice}" and three[1] == f"teaser 1 {story[1]}"
+
+
 def test_pages_of_the_tables(spark):
     rows = read_table(spark, SMALL, "pages")
     got = {r.page_id: r.text for r in extract(rows).collect()}
