@@ -1,92 +1,120 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are numbered and cut into blocks of equal size. A source with weight w releases its block j at
-slot floor(j / w) and wants it by slot ceil((j + 1) / w); each slot goes to the released block with the earliest
-deadline. A source's blocks then never differ from w times the slots by one block or more. Weights are multiples of
-1 / RESOLUTION, so the schedule repeats, and a block's slot follows from its number by arithmetic. When a source ends,
-the others go on with their weights scaled up, in a new phase; so no row is dropped or repeated.
+Each source's documents are numbered and cut into blocks of equal size. Each source is owed its weight's share of the
+slots until its blocks end; from then on the others share what it had. With G(v) for the slots that are owed in all
+once a source of weight w is owed v * w blocks, block j is released at slot floor(G(j / w)) and wanted by slot
+ceil(G((j + 1) / w)); while no source ends, that is floor(j / w) and ceil((j + 1) / w) with weights that sum to 1. Each
+slot goes to the released block with the earliest deadline. A source's blocks then never differ from what it is owed by
+one block or more. All of this is in whole numbers, so weights hold as they are given, over any number of slots.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
-from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import pinned, shuffle_width
 
 BLOCK_ROWS = 64
-RESOLUTION = 1000  # slots of a phase's period, at most
 POWER = 0.5  # default target weight: the source's row count to this power
-MAX_SOURCES = 1000  # bound of the table of sources that the driver plans with
+SMALL_PLAN = 250_000  # blocks of a plan that is broadcast
 BUCKET_ROWS = 1024  # documents that are numbered in one window, or a MAX_BUCKETS-th of a source
 MAX_BUCKETS = 100_000
 
 
-def whole_shares(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Weights as whole slots of a period, by largest remainders; each source gets a slot at least."""
-    total = sum(weights.values())
+def whole_shares(weights: dict[str, float], resolution: int) -> dict[str, int]:
+    """Weights as whole slots of a period, by largest remainders; each source gets a slot at least, taken from the largest shares."""
+    total = sum(map(exact, weights.values()))
     resolution = max(resolution, len(weights))
-    exact = {s: Fraction(w / total) * (resolution - len(weights)) for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
+    wanted = {s: exact(w) / total * resolution for s, w in weights.items()}
+    shares = {s: max(1, int(x)) for s, x in wanted.items()}
     short = resolution - sum(shares.values())
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[:short]:
+    for s in sorted(weights, key=lambda s: (shares[s] - wanted[s], s))[: max(short, 0)]:
         shares[s] += 1
+    for _ in range(-short):
+        shares[max(shares, key=lambda s: (shares[s], s))] -= 1
     return shares
 
 
+def exact(weight: float) -> Fraction:
+    """The number as it is written: 0.1 is a tenth."""
+    return Fraction(repr(float(weight)))
+
+
+class Plan:
+    """Slots of all blocks: `slots` by source, in the order of its blocks; `ends`, the slots at which sources are done being served."""
+
+    def __init__(self, blocks: dict[str, int], weights: dict[str, float | Fraction]):
+        given = {s: w if isinstance(w, Fraction) else exact(w) for s, w in weights.items() if blocks.get(s)}
+        scale = math.lcm(*[w.denominator for w in given.values()]) if given else 1
+        self.blocks = {s: blocks[s] for s in given}
+        self.weights = weight = {s: w.numerator * (scale // w.denominator) for s, w in given.items()}
+        # pieces of G: up to the next source's end, ended + rest * v slots are owed
+        order = sorted(given, key=lambda s: (Fraction(blocks[s], weight[s]), s))
+        self.ends_v = [(blocks[s], weight[s]) for s in order]
+        self.float_v = [n / w for n, w in self.ends_v]
+        self.ended, self.rest = [0], [sum(weight.values())]
+        for s in order:
+            self.ended.append(self.ended[-1] + blocks[s])
+            self.rest.append(self.rest[-1] - weight[s])
+        self.ends = [float(Fraction(self.ended[k] * w + self.rest[k] * n, w)) for k, (n, w) in enumerate(self.ends_v)]
+        self.slots = self._placed()
+
+    def owed_at(self, j: int, w: int) -> tuple[int, int]:
+        """G(j / w), as a fraction."""
+        k = min(bisect_left(self.float_v, j / w), len(self.ends_v) - 1)
+        while k and j * self.ends_v[k - 1][1] <= self.ends_v[k - 1][0] * w:
+            k -= 1
+        while k + 1 < len(self.ends_v) and j * self.ends_v[k][1] > self.ends_v[k][0] * w:
+            k += 1
+        return self.ended[k] * w + self.rest[k] * j, w
+
+    def _placed(self) -> dict[str, list[int]]:
+        slots: dict[str, list[int]] = {s: [] for s in self.blocks}
+        waiting = [(0, s, 0, 0) for s in sorted(self.blocks)]  # release, source, block
+        ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, the next block's release
+        for slot in range(sum(self.blocks.values())):
+            while waiting and waiting[0][0] <= slot:
+                _, s, j, _ = heapq.heappop(waiting)
+                a, w = self.owed_at(j + 1, self.weights[s])
+                heapq.heappush(ready, (-(-a // w), s, j, a // w))
+            _, s, j, release = heapq.heappop(ready)
+            slots[s].append(slot)
+            if j + 1 < self.blocks[s]:
+                heapq.heappush(waiting, (release, s, j + 1, 0))
+        return slots
+
+    def table(self) -> pa.Table:
+        """(source, block, slot, phase, deviation): phase counts the sources that have ended, deviation is from what the source is owed."""
+        if not self.blocks:
+            return pa.table({"_source": pa.array([], pa.string()), "_block": pa.array([], pa.int64()), "slot": pa.array([], pa.int64()), "phase": pa.array([], pa.int32()), "deviation": pa.array([], pa.float64())})
+        counts = [self.blocks[s] for s in self.slots]
+        slot = np.concatenate([np.array(x, np.int64) for x in self.slots.values()])
+        block = np.concatenate([np.arange(n) for n in counts])
+        ends = np.array(self.ends)
+        phase = np.searchsorted(ends, slot + 1e-9, side="right").clip(0, len(ends) - 1)
+        # what is owed when the block's slot is over
+        piece = np.searchsorted(ends, slot + 1, side="left").clip(0, len(ends) - 1)
+        top = self.rest[0]
+        share = np.array([x / top for x in self.rest])
+        v = (slot + 1 - np.array(self.ended)[piece]) / share[piece]
+        weight = np.repeat([self.weights[s] / top for s in self.slots], counts)
+        owed = np.minimum(v * weight, np.repeat(counts, counts))
+        names = pa.array(np.repeat(np.array(list(self.slots), object), counts), pa.string())
+        return pa.table({"_source": names, "_block": block, "slot": slot, "phase": phase.astype(np.int32), "deviation": block + 1 - owed})
+
+
 def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period: earliest deadline first among the blocks that are released."""
-    length = sum(shares.values())
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    heapq.heapify(waiting)
-    for slot in range(length):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * length // shares[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(slot)
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * length // shares[s], s, j + 1))
-    return slots
-
-
-@dataclass(frozen=True)
-class Phase:
-    """Slots from start on repeat with the given length; each source's first block in it and its slots of a period."""
-
-    start: int
-    length: int
-    first: dict[str, int]
-    slots: dict[str, list[int]]
-
-
-def plan_phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[Phase]:
-    """Phases until every source's blocks are placed; at most as many as there are sources."""
-    left, done, start, phases = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        shares = whole_shares({s: weights[s] for s in left}, resolution)
-        slots, length = period(shares), sum(shares.values())
-        ends = {s: (n - 1) // shares[s] * length + slots[s][(n - 1) % shares[s]] + 1 for s, n in left.items()}
-        end = min(ends.values())
-        phases.append(Phase(start, length, {s: done[s] for s in left}, slots))
-        whole, rest = divmod(end, length)
-        for s in list(left):
-            placed = whole * shares[s] + bisect_left(slots[s], rest)
-            done[s] += placed
-            left[s] -= placed
-            if not left[s]:
-                del left[s]
-        start += end
-    return phases
+    """The slots of each source in one period of whole shares."""
+    return Plan(shares, shares).slots
 
 
 def numbered(rows: DataFrame, source: str, order: str, counts: dict[str, int], bucket_rows: int) -> DataFrame:
@@ -94,11 +122,11 @@ def numbered(rows: DataFrame, source: str, order: str, counts: dict[str, int], b
 
     Sources are cut into ranges of the hash with about bucket_rows rows, so that no task numbers a whole source.
     """
-    table = {s: -(-n // max(bucket_rows, n // MAX_BUCKETS)) for s, n in counts.items()}
-    buckets = F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(source)], F.lit(1)) if table else F.lit(1)
+    table = pa.table({source: pa.array(list(counts), pa.string()), "_buckets": pa.array([-(-n // max(bucket_rows, n // MAX_BUCKETS)) for n in counts.values()], pa.int64())})
     # the hash's upper 31 bits, spread over the source's buckets in order
     upper = F.shiftrightunsigned(F.col(order), 33)
-    placed = rows.withColumn("_bucket", F.shiftright(upper * buckets, 31).cast("int"))
+    named = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), source)
+    placed = named.withColumn("_bucket", F.shiftright(upper * F.col("_buckets"), 31).cast("int")).drop("_buckets")
     sizes = placed.groupBy(source, "_bucket").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
@@ -111,7 +139,7 @@ def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     seed: int = 7,
     bucket_rows: int = BUCKET_ROWS,
     id_col: str = "doc_id",
@@ -120,43 +148,34 @@ def mix(
     """(id, source, block, slot, position, phase, deviation) for each row.
 
     position numbers all rows in the mixed order, by slot and then by place in the block, without gaps inside a block.
-    deviation is how far the source is from its weighted share in its phase once the block is placed, in blocks. Null
-    sources are one source, named ''. Null and repeated ids are rows like others. Weights name a target for sources;
-    others, and all by default, get their row count to the power 0.5. An empty table gives no rows.
+    phase counts the sources that have ended. deviation is how far the source is from what its target weight owes it once
+    the block is placed, in blocks. Null sources are one source, named ''. Null and repeated ids are rows like others.
+    Weights name a target for sources; others, and all by default, get their row count to the power 0.5. They hold
+    exactly; a caller who gives a resolution gets them rounded to that many parts first. The driver plans with a number
+    for each source and each block. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     rows = rows.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("_tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # counts are taken from a pinned table of ids and sources, so that they can't differ from what is numbered
     rows = pinned(rows.repartition(shuffle_width(docs.sparkSession), "_hash"))
-    counts = {r.source: r["count"] for r in rows.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = {r.source: r["count"] for r in rows.groupBy("source").count().toLocalIterator()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     target = {s: float((weights or {}).get(s, n**POWER)) for s, n in counts.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("target weights are above zero")
-    phases = plan_phases(blocks, target, resolution)
-    spark = docs.sparkSession
-    kind = StructType([StructField("source", StringType()), StructField("phase", LongType()), StructField("first", LongType()), StructField("until", LongType()), StructField("start", LongType()), StructField("length", LongType()), StructField("slots", ArrayType(LongType()))])
-    plan = []
-    for k, p in enumerate(phases):
-        after = phases[k + 1].first if k + 1 < len(phases) else {}
-        plan += [(s, k, p.first[s], after.get(s, blocks[s]), p.start, p.length, list(p.slots[s])) for s in p.slots]
-    # at most sources * phases rows, each with its source's share of one period
-    table = spark.createDataFrame(plan, kind)
+    plan = Plan(blocks, target if resolution is None else whole_shares(target, resolution)).table()
+    # a row for each block; other than by broadcast, a block's few rows meet in one task
+    table = docs.sparkSession.createDataFrame(plan)
     done = numbered(rows, "source", "_hash", counts, bucket_rows).withColumn("block", F.floor(F.col("_n") / block_rows))
-    joined = done.join(F.broadcast(table), (done.source == table.source) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until"))).drop(table.source)
-    here, share = F.col("block") - F.col("first"), F.size("slots")
-    local = F.floor(here / share) * F.col("length") + F.element_at("slots", (here % share + 1).cast("int"))
-    placed = joined.withColumn("slot", F.col("start") + local).withColumn("_local", local)
-    return placed.select(
+    joined = done.join(F.broadcast(table) if len(plan) <= SMALL_PLAN else table, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")))
+    return joined.select(
         "doc_id",
         "source",
         F.col("block").cast("long").alias("block"),
-        F.col("slot").cast("long").alias("slot"),
+        "slot",
         (F.col("slot") * block_rows + F.col("_n") % block_rows).cast("long").alias("position"),
-        F.col("phase").cast("int").alias("phase"),
-        (here + 1 - (F.col("_local") + 1) * share / F.col("length")).alias("deviation"),
+        "phase",
+        "deviation",
     )
 
 

@@ -296,6 +296,41 @@ def test_periods_stay_within_one_block():
                 assert abs(placed - (t + 1) * n / length) < 1
 
 
+def test_targets_hold_over_many_slots():
+    sources = {"hot": 6000, **{f"s{i:04}": 4 for i in range(1500)}}
+    weights = {s: 1500.0 if s == "hot" else 1.0 for s in sources}
+    plan = mixing.Plan(sources, weights)
+    assert sorted(x for s in plan.slots.values() for x in s) == list(range(12_000))
+    assert all(abs(k + 1 - (t + 1) / 2) < 1 for k, t in enumerate(plan.slots["hot"]))
+    assert mixing.whole_shares({"a": 0.9, "b": 0.1}, 1000) == {"a": 900, "b": 100}
+    rng = random.Random(4)
+    for _ in range(20):
+        blocks = {f"s{i}": rng.randrange(1, 120) for i in range(rng.randrange(1, 9))}
+        target = {s: rng.random() + 0.01 for s in blocks}
+        plan, owed, placed = mixing.Plan(blocks, target), dict.fromkeys(blocks, 0.0), dict.fromkeys(blocks, 0)
+        owner = {x: s for s, slots in plan.slots.items() for x in slots}
+        deviations = {(r["_source"], r["_block"]): r["deviation"] for r in plan.table().to_pylist()}
+        for t in range(sum(blocks.values())):
+            left = 1.0
+            while left > 1e-9:  # one slot's worth for those that are owed more, until one of them has all
+                on = [s for s in blocks if blocks[s] - owed[s] > 1e-9]
+                total = sum(target[s] for s in on)
+                step = min([left] + [(blocks[s] - owed[s]) * total / target[s] for s in on])
+                for s in on:
+                    owed[s] += step * target[s] / total
+                left -= step
+            s = owner[t]
+            placed[s] += 1
+            assert abs(deviations[s, placed[s] - 1] - (placed[s] - owed[s])) < 1e-6
+            assert all(abs(placed[x] - owed[x]) < 1 + 1e-6 for x in blocks)
+
+
+def test_more_sources_than_a_thousand(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % 1200).alias("source"))
+    got = mixing.mix(rows, block_rows=2).toPandas()
+    assert len(got) == 5000 and got.position.is_unique and got.deviation.abs().max() < 1
+
+
 def test_mix_places_each_row_once(spark):
     rows = spark.createDataFrame([(i, f"s{0 if i % 3 == 0 else i % 7}" if i % 50 else None) for i in range(3000)], "doc_id long, source string")
     got = mixing.mix(rows, {"s0": 5.0, "s1": 1.0}, block_rows=10, resolution=50, bucket_rows=100).toPandas()
