@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in training windows."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of the documents in training windows that follow the mixed order, which files read anew don't keep."""
+    return pack(in_mixed_order(docs), public_tokenizers.path("word_bpe_49k.json"), in_order=True)
 
 
 STAGES = [

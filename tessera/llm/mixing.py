@@ -180,9 +180,16 @@ def mix(
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns and rows, range-partitioned and sorted by their position in the mix."""
+    """docs, all columns and rows, range-partitioned and sorted by their position in the mix.
+
+    A row is known by its id, source and text, so null and repeated ids have places of their own, and the same rows have
+    the same places whenever they are mixed; equal rows share one.
+    """
     if not docs.take(1):
         return docs
-    places = mix(docs.dropDuplicates(["doc_id"]), **options).select(F.col("doc_id").alias("_key"), F.col("position").alias("_position"))
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_key"))).drop("_key")
-    return joined.repartitionByRange(shuffle_width(docs.sparkSession), "_position").sortWithinPartitions("_position").drop("_position")
+    keyed = docs.withColumn("_owner", F.coalesce("source", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_owner", "text"))
+    places = mix(keyed.select("_key", "_owner").distinct(), id_col="_key", source_col="_owner", **options)
+    places = places.select(F.col("doc_id").alias("_key"), F.col("source").alias("_owner"), F.col("position").alias("_position"))
+    joined = keyed.join(places, ["_key", "_owner"])
+    ordered = joined.repartitionByRange(shuffle_width(docs.sparkSession), "_position").sortWithinPartitions("_position")
+    return ordered.select(*docs.columns)

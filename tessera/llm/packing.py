@@ -131,6 +131,17 @@ def balance_steps(windows: list[list[tuple[int, int, int]]], tiers: tuple[int, .
     return step_of
 
 
+def in_order_of_documents(windows: list[list[tuple[int, int, int]]], budget: int) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """Windows by the mean place of their tokens' documents, and their steps: runs of windows of budget tokens."""
+    sizes = [sum(p[2] for p in w) for w in windows]
+    order = sorted(range(len(windows)), key=lambda w: (sum(p[0] * p[2] for p in windows[w]) / sizes[w], w))
+    steps, before = [], 0
+    for w in order:
+        steps.append(before // budget)
+        before += sizes[w]
+    return [windows[w] for w in order], steps
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -138,6 +149,7 @@ def pack(
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
     step_windows: int = STEP_WINDOWS,
+    in_order: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -145,7 +157,8 @@ def pack(
 
     A null text counts as empty and still gives its end id. A null id is kept as null. Repeated rows are packed as
     often as they come. An empty table gives no rows. Other columns are ignored. Windows hold at most the largest
-    tier's tokens; `window` is the length that a window is padded to.
+    tier's tokens; `window` is the length that a window is padded to. With in_order, the sequences and steps of a shard
+    follow its documents, and those of a table in ranges follow the ranges; else steps are balanced over the shard.
     """
     tail = end_id.to_bytes(4, "little")
 
@@ -161,7 +174,10 @@ def pack(
         def flush() -> pa.RecordBatch:
             nonlocal sequences, steps
             windows = plan_windows([len(c) // 4 for c in codes], tiers)
-            step_of = balance_steps(windows, tiers, step_windows)
+            if in_order:
+                windows, step_of = in_order_of_documents(windows, step_windows * tiers[-1])
+            else:
+                step_of = balance_steps(windows, tiers, step_windows)
             out: list[list] = [[] for _ in range(10)]
             for w, window in enumerate(windows):
                 offset, filled = 0, sum(p[2] for p in window)

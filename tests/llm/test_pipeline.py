@@ -3,6 +3,7 @@
 import zlib
 
 import corpus_pipeline
+from tessera.llm import mixing
 from tests.llm.test_llm_operators import check_pieces, plain_classes, plain_secrets
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +35,25 @@ def test_stages(spark, tmp_path):
 
 def test_run_equals_its_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).select("doc_id").distinct().count() > 50
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    counts = {"big": 3000, "small": 300}
+    rows = [(k * 10_000 + i, f"{s} " + "word " * 60, "en", s) for k, (s, n) in enumerate(counts.items()) for i in range(n)]
+    corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), SMALL).write.parquet(str(tmp_path / "mixed"))
+    # files may be read in any order
+    out = corpus_pipeline.pack_windows(spark, spark.read.parquet(str(tmp_path / "mixed")).orderBy("doc_id"), SMALL)
+    pieces = sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert len({r.doc_id for r in pieces}) == 3300
+    steps = [r.step_id for r in pieces]
+    assert steps == sorted(steps)
+    # documents are equally long, so tokens stand for rows; the small source ends after about 1300 rows of the mix
+    all_tokens, small, seen, last = sum(r.length for r in pieces), 0, 0, 0
+    total = sum(n**mixing.POWER for n in counts.values())
+    for r in pieces:
+        seen += r.length
+        small += r.length if r.doc_id >= 10_000 else 0
+        last = seen if r.doc_id >= 10_000 else last
+        at = 3300 * seen / all_tokens
+        assert abs(3300 * small / all_tokens - min(300, at * 300**mixing.POWER / total)) < 3 * mixing.BLOCK_ROWS
+    assert last < 0.55 * all_tokens
