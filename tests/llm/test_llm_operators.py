@@ -141,6 +141,14 @@ def test_odd_rows_have_classes(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_null_and_repeated_ids_lose_no_class(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = spark.createDataFrame([(None, a, 1), (None, b, 2), (None, b, 3), (7, c, 4), (7, d, 5), (8, d, 6), (None, c, 7)], "doc_id long, text string, n int")
+    kept = near_dedup.deduplicated(rows).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in kept) == sorted([(-1, a), (-1, b), (7, c), (7, d)]) and kept[0].__fields__ == rows.columns
+
+
 @pytest.mark.parametrize("weighting", ["count", "log"])
 def test_other_weights(spark, weighting):
     t = "a b c d e f g h i j k l m n o p q r s t"
