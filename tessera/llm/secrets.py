@@ -23,8 +23,9 @@ HEX = r"[0-9a-f]+"
 #: The same matches as of HEX with 24 characters or more, and as of ACCESS with 20 or more: runs are always whole.
 LONG_HEX = r"[0-9a-f]{24,}"
 LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
-#: Kind "keylike": whole runs of 32 or more key characters with a digit, a small and a capital letter.
-KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{32})(?=[a-zA-Z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{32,}={0,2}"
+#: Kind "keylike": whole runs of 32 or more key characters with a digit, a small and a capital letter anywhere in them.
+KEYLIKE = r"[A-Za-z0-9+/_-]{32,}={0,2}"
+KEYLIKE_CLASSES = ("[0-9]", "[a-z]", "[A-Z]")
 KINDS = ("assign", "access", "hex", "keylike")
 MIN_ASSIGNED = 6
 
@@ -81,6 +82,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str, lan
 def judged(found: DataFrame, limits: Limits) -> DataFrame:
     """Candidates with their places, and the verdict on their value: example, live or weak."""
     placed = with_places(found, ["row", "kind"], "n")
+    for letters in KEYLIKE_CLASSES:
+        placed = placed.where((F.col("kind") != KINDS.index("keylike")) | F.col("value").rlike(letters))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     placed = placed.withColumn("secret", secret_of(kind, F.col("value"))).where((F.col("kind") != 0) | (F.length("secret") >= MIN_ASSIGNED))
     placed = placed.withColumn("hash", F.sha2("secret", 256))

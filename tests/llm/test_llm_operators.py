@@ -193,6 +193,16 @@ def test_secret_spans_equal_a_plain_scan(spark):
     assert got[7].spans.count("keylike") == 2 and got[7].n_live == 2
 
 
+def test_keys_behind_long_paths_are_found(spark):
+    path = "/webhooks/services/internal/notification/channels/incoming/production/"
+    key = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC2dF4"
+    texts = [f"see {path}{key} now", f"{path}without/any/key then x{key}", path * 3]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    start = texts[1].index("x" + key)
+    assert [got[i].spans for i in range(3)] == [f"keylike:4:{4 + len(path + key)}", f"keylike:{start}:{start + 1 + len(key)}", ""]
+    assert secrets.redacted(docs_of(spark, texts)).where("doc_id = 0").first().text == "see [SECRET] now"
+
+
 def test_values_of_many_owners_are_examples(spark):
     text = "use password=Abc123Xyz789Q here"
     many = spark.createDataFrame([(i, text, "en", f"s{i}", 1, 0.0, "", 0) for i in range(6)], SCHEMA)
