@@ -419,6 +419,12 @@ def deps_inclusion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(wanted, ["left", "right"]).select("left", "right", "left_distinct")
 
 
+@query()
+def deps_all_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inclusions of a column in another, of all columns and tables of the star's sources."""
+    return dependencies.inclusion_candidates({t: table(spark, sf_dir, t) for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")})
+
+
 # --- matching, resolution, fusion, canonical entities ----------------------------------------------------------------
 
 
@@ -470,6 +476,13 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(edges)
 
 
+@query()
+def graph_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all orders; the recursive SQL beside graph_components holds for a part of the keys alone."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("left"), (-1 - F.col("o_orderkey") % 97).alias("right"))
+    return graph.connected_components(edges)
+
+
 @query("""WITH h1 AS (SELECT o_orderkey + 1000000000 AS n FROM orders WHERE o_custkey = 1), h2 AS (SELECT DISTINCT l_suppkey + 2000000000 AS n FROM lineitem WHERE l_orderkey + 1000000000 IN (SELECT n FROM h1))
 SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2""")
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,27 @@ def test_star_query_reads_few_columns(spark):
     plan = QUERIES["semantic_segment_year"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_components_of_all_orders(spark, db):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in db.execute("SELECT o_custkey, -1 - (o_orderkey % 97) FROM orders").fetchall():
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in QUERIES["graph_all_components"](spark, FOLDER).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+
+
+def test_all_inclusions_of_all_columns(spark, db):
+    values = {}
+    for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier"):
+        for c, kind, *_ in db.execute(f"DESCRIBE {t}").fetchall():
+            tag = "integer" if kind in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT") else kind
+            values[f"{t}.{c}"] = (tag, {v for (v,) in db.execute(f'SELECT DISTINCT "{c}" FROM {t} WHERE "{c}" IS NOT NULL').fetchall()})
+    want = {(a, b) for a, (ka, va) in values.items() for b, (kb, vb) in values.items() if a != b and ka == kb and va and va <= vb}
+    assert {(r.left, r.right) for r in QUERIES["deps_all_inclusions"](spark, FOLDER).collect()} == want
