@@ -24,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share; one of our own only where none is set and all run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -44,10 +46,30 @@ def pinned(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
+    """rows joined with table, one row a key, on key, where weight says how many of the rows (total in all) have the key.
+
+    Keys of more rows than a quarter of a task's even share go by broadcast, so that no task gets all rows of a key.
+    They are at most four a task, which bounds what is broadcast. Both sides are read twice, so they should be pinned.
+    """
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first().n
+    least = max(64, total // (4 * shuffle_width(rows.sparkSession)))
+    hot = table.where(F.col(weight) > least)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= least), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
