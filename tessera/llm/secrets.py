@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_or_empty
+from .common import joined_by_weight, pinned, text_or_empty
 from .spans import matched, with_places
 
 # The patterns of the base kinds, in their order.
@@ -86,13 +86,13 @@ def judged(found: DataFrame, limits: Limits) -> DataFrame:
         placed = placed.where((F.col("kind") != KINDS.index("keylike")) | F.col("value").rlike(letters))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     placed = placed.withColumn("secret", secret_of(kind, F.col("value"))).where((F.col("kind") != 0) | (F.length("secret") >= MIN_ASSIGNED))
-    placed = placed.withColumn("hash", F.sha2("secret", 256))
+    placed = pinned(placed.withColumn("hash", F.sha2("secret", 256)))
     # distinct (value, owner, repository) first: a value that a third of the rows share is counted from few rows
     seen = placed.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    spread = seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
+    spread = pinned(seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"), F.sum("n").alias("mentions")))
     example = (F.col("owners") >= limits.example_owners) | (F.col("repositories") >= limits.example_repositories)
     verdict = F.when(example, "example").when(looks_live(F.col("secret"), limits), "live").otherwise("weak")
-    return placed.join(spread, "hash").withColumn("verdict", verdict)
+    return joined_by_weight(placed, spread, "hash", "mentions").withColumn("verdict", verdict)
 
 
 def scan(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
