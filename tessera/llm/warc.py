@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, shared_dir, shuffle_width
+from .common import joined_by_weight, pinned, removed, shared_dir, shuffle_width
 
 MIN_REVISIT_BYTES = 1000
 DICTIONARY_BYTES = 64 << 10
@@ -154,14 +154,9 @@ def page_of(name: str | None) -> int | None:
 
 def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """pages with digest and refers_to: the largest page_id among pages of equal long payloads, null on that page itself."""
-    rows = pages.withColumn("digest", F.sha1(F.col("payload")))
-    copies = (
-        rows.where(F.octet_length("payload") >= min_bytes)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    keyed = rows.select("page_id", "digest").join(copies, "digest").where(F.col("page_id").isNotNull())
+    digests = pinned(pages.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest")))
+    copies = pinned(digests.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"))
+    keyed = joined_by_weight(digests, copies, "digest", "n")
     return keyed.where(F.col("page_id") != F.col("last")).select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
 
 
@@ -247,9 +242,17 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write pages to archives in the shared folder (or in the given one) and read them back."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder), folder)
+    """Write pages to archives and read them back, one row for each row of pages.
+
+    Archives in the given folder stay; without one they go to the shared folder, and are deleted once they are read.
+    What becomes of null html and null or repeated ids is as for write_archives; other columns are ignored.
+    """
+    if folder:
+        return read_archives(write_archives(pages, folder), folder)
+    own = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    found = pinned(read_archives(write_archives(pages, own), own))
+    removed(pages.sparkSession, own)
+    return found
 
 
 def archive_bytes(records: list[bytes]) -> bytes:
