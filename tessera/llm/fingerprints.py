@@ -11,6 +11,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,11 @@ def sketches(array: pa.Array, k: int, words: int) -> list[Sketch]:
 
 
 def fingerprint(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, n_shingles) for each row; nothing is shuffled. A null text counts as empty and has no shingles."""
+    """(id, fingerprint, n_shingles) for each row; nothing is shuffled. A null text counts as empty and has no shingles.
+
+    Ids, null and repeated ones included, come out as they are, and so do repeated rows; other columns are ignored. An
+    empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +117,7 @@ def placed_in(rows: DataFrame, borders: list[int]) -> DataFrame:
     rows = rows.withColumn("range", F.lit(0))
     if not borders:
         return rows
-    among = F.lit(borders)
+    among = F.lit([Decimal(b) for b in borders]).cast("array<decimal(20,0)>")
     step = 1 << (len(borders).bit_length() - 1)
     while step:
         passed = F.coalesce(F.get(among, F.col("range") + (step - 1)) < F.col("doc_id"), F.lit(False))
@@ -121,43 +126,52 @@ def placed_in(rows: DataFrame, borders: list[int]) -> DataFrame:
     return rows
 
 
-def with_next_in_order(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows in ranges of rising id, each range closed by a copy of the row that follows it.
+def with_next_in_order(docs: DataFrame, id_col: str, text_col: str, parts: int, null_ids: str) -> DataFrame:
+    """Rows in ranges of rising id, each range closed by a copy of a row that follows it.
 
     The ranges' borders are approximate quantiles of the ids; their count is that of the partitions, so only so many
-    numbers reach the driver, and so many rows are copied. After the last row comes a copy of the first.
-    Columns: range, doc_id, text, closing.
+    numbers reach the driver, and so many rows are copied. After the last row comes a copy of the first. Rows without an
+    id come last of all, in the order of their texts' hashes, so that they too are cut into ranges.
+    Columns: range, doc_id (that place), id, text, closing.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull())
-    found = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    if null_ids == "leave out":
+        rows = rows.where(F.col("id").isNotNull()).withColumn("doc_id", F.col("id").cast("decimal(20,0)"))
+    else:
+        behind = F.shiftrightunsigned(F.xxhash64("text"), 1).cast("decimal(20,0)") + F.lit(Decimal(2**63))
+        rows = rows.withColumn("doc_id", F.coalesce(F.col("id").cast("decimal(20,0)"), behind.cast("decimal(20,0)")))
+    ids = rows.select("doc_id")
+    found = ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     borders = sorted({int(x) for x in found})
-    rows = rows.where(F.col("doc_id").isNotNull())
     ids = placed_in(ids, borders)
     firsts = {r.range: r.first for r in ids.groupBy("range").agg(F.min("doc_id").alias("first")).collect()}
     order = sorted(firsts)
     if not order:
-        return rows.select(F.lit(0).alias("range"), "doc_id", "text", F.lit(False).alias("closing"))
+        return rows.select(F.lit(0).alias("range"), "doc_id", "id", "text", F.lit(False).alias("closing"))
     # the first row of a range also closes the range before it
     before = {b: a for a, b in zip([order[-1], *order[:-1]], order, strict=True)}
-    first = F.lit([firsts.get(r) for r in range(len(borders) + 1)])
+    first = F.lit([firsts.get(r) for r in range(len(borders) + 1)]).cast("array<decimal(20,0)>")
     closes = F.lit([before.get(r, -1) for r in range(len(borders) + 1)])
     own = F.array(F.struct(F.col("range"), F.lit(False).alias("closing")))
     copy = F.array(F.struct(F.get(closes, F.col("range")).alias("range"), F.lit(True).alias("closing")))
     placed = placed_in(rows, borders).withColumn("to", F.explode(F.when(F.col("doc_id") == F.get(first, F.col("range")), F.concat(own, copy)).otherwise(own)))
-    return placed.select(F.col("to.range").alias("range"), "doc_id", "text", F.col("to.closing").alias("closing"))
+    return placed.select(F.col("to.range").alias("range"), "doc_id", "id", "text", F.col("to.closing").alias("closing"))
 
 
-def edited_pairs(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", null_ids: str = "leave out") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document by id.
 
     The edited text is the document with its last quarter of code points replaced by the first as many of the next
     document. Texts are shuffled once, into id ranges, and each task goes through its range holding two texts. Null
-    texts count as empty; rows with a null id have no place in the order and are left out; repeated ids follow each
-    other in the order of their texts. An empty table gives no rows.
+    texts count as empty. Rows with a null id are left out, or come last (null_ids="last"), in an order that their texts
+    give. Repeated ids follow each other in the order of their texts. An empty table gives no rows; other columns are
+    ignored.
     """
+    if null_ids not in ("leave out", "last"):
+        raise ValueError(f"null_ids: {null_ids}")
     parts = shuffle_width(docs.sparkSession)
-    placed = with_next_in_order(docs, id_col, text_col, parts).repartition(parts, "range").sortWithinPartitions("range", "closing", "doc_id", "text")
+    # ranges of ranges, as hashed ones would leave some partitions empty and others with several
+    placed = with_next_in_order(docs, id_col, text_col, parts, null_ids).repartitionByRange(parts, "range").sortWithinPartitions("range", "closing", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the range, id and text of the row before
@@ -187,7 +201,7 @@ def edited_pairs(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WOR
         ready: list[tuple[int, str, str]] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("range", "doc_id", "closing")]
+            columns = [batch.column(c) for c in ("range", "id", "closing")]
             texts = strings(batch, "text")
             for row in range(batch.num_rows):
                 here, doc, closing = (c[row].as_py() for c in columns)
@@ -205,4 +219,4 @@ def edited_pairs(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WOR
         if ready:
             yield measure(ready)
 
-    return placed.mapInArrow(run, PAIR_SCHEMA)
+    return placed.select("range", "id", "text", "closing").mapInArrow(run, PAIR_SCHEMA)

@@ -27,7 +27,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_pairs
 
-    return edited_pairs(read_table(spark, sf_dir, "documents"))
+    return edited_pairs(read_table(spark, sf_dir, "documents"), null_ids="last")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
