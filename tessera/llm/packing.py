@@ -1,30 +1,37 @@
 """Hierarchical multi-length packing of tokenized documents into training windows.
 
 Documents are routed to context-size tiers by token count. Whole windows of the largest tier are cut from long
-documents; the rest of them and all shorter documents are packed tier by tier, and the gaps that stay in a long
-window are filled from shorter tiers, cutting the last filler where it doesn't fit. Steps group windows to equal
-token budgets. Packing is local to shards of bounded size within each input partition, so nothing is shuffled.
+documents; the rest of them and all shorter documents are packed tier by tier into windows of the tier's length, and
+the gaps of a window are filled from shorter tiers, cutting the last filler where it doesn't fit. Steps group windows of
+all tiers to equal token budgets. Packing is local to shards of bounded size within each input partition, so nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
 import re
+import struct
 import unicodedata
 import zlib
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, text_or_empty
+from .common import slices, strings, text_or_empty
 
-TIERS = (64, 128, 256, 512, 1024, 2048)
+TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 STEP_WINDOWS = 32
-CACHE_WORDS = 400_000
+CACHE_BYTES = 128 << 20  # of words and ids that a worker keeps, twice that with those still in use
+ENTRY_BYTES = 180  # what an entry takes beside its word and ids
+LONG_PART = 64
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -33,101 +40,156 @@ SCHEMA = (
 
 
 class WordIds(dict):
-    """Token ids, as little-endian bytes, of the parts of a text.
+    """Token ids, as little-endian bytes, of the parts of texts.
 
     The tokenizer drops white space, lowers letters and divides letters from signs before it looks at words, so a
-    text's ids are those of its parts end to end, and a word with a closing sign is two parts. Parts that aren't known
-    yet are encoded by the tokenizer. When the cache is full, it starts anew and takes over what is still in use; that
-    changes the speed alone.
+    text's ids are those of its parts end to end, and those of a word with a closing sign are the word's and the sign's.
+    Texts with letters that change with what surrounds them stay as they are but for white space. Parts that aren't
+    known yet are encoded by the tokenizer, many at once. The cache is bounded by bytes; when it is full, it starts anew
+    and takes over what is still in use, and long parts never enter it. That changes the speed alone.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.size = Tokenizer.from_file(path), limit, 0
+        self.older: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        code = self.older.get(part)
-        if code is None:
-            code = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(part, add_special_tokens=False).ids)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        return self.long[part]
+
+    def learn(self, parts: set[str]) -> None:
+        """Make all parts known, until more are learnt."""
+        if self.size >= self.limit:
+            self.older, self.size = dict(self), 0
             self.clear()
-        self[part] = code
-        return code
+        self.long, older = {}, self.older
+        asked, closed = set(), {}
+        for part in parts:
+            if part in self:
+                continue
+            if part in older:
+                self[part] = older[part]
+            elif part[-1:] in SIGNS and CLOSED.search(part) and not ODD_CASES.search(part) and unicodedata.is_normalized("NFC", part):
+                closed[part] = part[:-1]  # a closing sign's ids don't depend on the word; in odd texts they do
+            else:
+                asked.add(part)
+        asked.update(w for w in {*closed.values(), *SIGNS} if w not in self and w not in older)
+        asked = sorted(asked, key=len)
+        codes = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
+        short = bisect_right(asked, LONG_PART, key=len)
+        self.keep(dict(zip(asked[:short], codes[:short], strict=True)))
+        self.long = dict(zip(asked[short:], codes[short:], strict=True))
+        whole = {p: (self[w] if w in self else older[w] if w in older else self.long[w]) + (self[p[-1]] if p[-1] in self else older[p[-1]]) for p, w in closed.items()}
+        self.long.update({p: whole.pop(p) for p in [p for p in whole if len(p) > LONG_PART]})
+        self.keep(whole)
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.update(found)
+        self.size += ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [(t.lower() if unicodedata.is_normalized("NFC", t) and not ODD_CASES.search(t) else t).replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, parts)) for parts in split]
 
     def encode(self, text: str) -> bytes:
-        if unicodedata.is_normalized("NFC", text) and not ODD_CASES.search(text):
-            text = text.lower()
-        return b"".join(map(self.__getitem__, CLOSING_SIGN.sub(r" \1", text).replace("\n", " ").split(" ")))
+        return self.encode_all([text])[0]
 
 
 #: Capitals whose small form depends on what surrounds them, or takes several characters.
 ODD_CASES = re.compile("[\u03a3\u0130]")
-#: One sign between a letter and white space or the end.
-CLOSING_SIGN = re.compile(r"(?<=[^\W\d_])([.,;:!?])(?=[ \n]|\Z)")
+SIGNS = ".,;:!?"
+#: One sign after a letter, at a part's end.
+CLOSED = re.compile(r"[^\W\d_][.,;:!?]\Z")
 _CODERS: dict[str, WordIds] = {}
 
 
 def coder_for(path: str) -> WordIds:
     """One cache for each Python worker process; workers serve many tasks."""
     if path not in _CODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         _CODERS[path] = WordIds(path)
     return _CODERS[path]
 
 
+class Pieces:
+    """Pieces (document, start) by length, and which lengths there are, as the bits of a number."""
+
+    def __init__(self):
+        self.by_length: dict[int, deque[tuple[int, int]]] = {}
+        self.lengths = 0
+
+    def add(self, doc: int, start: int, length: int) -> None:
+        if length:
+            self.by_length.setdefault(length, deque()).append((doc, start))
+            self.lengths |= 1 << length
+
+    def take(self, length: int) -> tuple[int, int]:
+        here = self.by_length[length]
+        first = here.popleft()
+        if not here:
+            self.lengths ^= 1 << length
+        return first
+
+    def longest(self, limit: int) -> int:
+        """The length of the longest piece of at most limit tokens; 0 if there is none."""
+        return (self.lengths & ((2 << limit) - 1)).bit_length() - 1 if self.lengths & ((2 << limit) - 1) else 0
+
+    def shortest(self) -> int:
+        return (self.lengths & -self.lengths).bit_length() - 1
+
+
 def plan_windows(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length) that hold each token of the documents once.
 
-    A window is filled to the largest tier, or, where the tokens that stay are fewer, to smaller tiers from the
-    largest that they fill; only the last window of a shard can fall short of a power of two.
+    A document's tier is the smallest that holds it; of longer ones, whole windows of the largest tier are cut off, and
+    the rest is routed. Tiers are packed from the largest on: a window has its tier's length and begins with the longest
+    piece, and its gap takes the longest pieces that fit, which are of shorter tiers. Where none fits, a piece of the
+    shortest tier there is gives its head, and the rest of it is routed anew. So all windows are full, but for those
+    that end a shard: once fewer tokens stay than the tier has, they are of the largest tiers that they fill.
     """
     top = tiers[-1]
     windows: list[list[tuple[int, int, int]]] = []
-    queues: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}
-
-    def route(doc: int, start: int, length: int) -> None:
-        if length:
-            tier = next(t for t in tiers if length <= t)
-            heapq.heappush(queues[tier], (-length, doc, start))
-
+    pieces = Pieces()
     for doc, n in enumerate(lengths):
         whole = n - n % top
         windows.extend([(doc, at, top)] for at in range(0, whole, top))
-        route(doc, whole, n - whole)
-    left = sum(-x[0] for q in queues.values() for x in q)
+        pieces.add(doc, whole, n - whole)
+    left = sum(k * len(held) for k, held in pieces.by_length.items())
     while left:
-        size = top if left >= top else next((t for t in reversed(tiers) if t <= left), left)
+        tier = next(t for t in tiers if pieces.longest(top) <= t)
+        size = tier if left >= tier else next((t for t in reversed(tiers) if t <= left), left)
         window, room = [], size
         while room:
-            # the longest piece that fits, from the tier of the gap and then the shorter ones
-            fitting = [t for t in reversed(tiers) if queues[t] and -queues[t][0][0] <= room]
-            if fitting:
-                length, doc, start = heapq.heappop(queues[fitting[0]])
-                window.append((doc, start, -length))
-                room += length
-                continue
-            # nothing fits whole: cut the shortest tier's longest piece, what stays is routed again
-            tier = next(t for t in tiers if queues[t])
-            length, doc, start = heapq.heappop(queues[tier])
-            window.append((doc, start, room))
-            route(doc, start + room, -length - room)
-            room = 0
+            length = pieces.longest(room)
+            if length:
+                doc, start = pieces.take(length)
+            else:
+                shortest = next(t for t in tiers if pieces.shortest() <= t)
+                whole = pieces.longest(shortest)
+                doc, start = pieces.take(whole)
+                pieces.add(doc, start + room, whole - room)
+                length = room
+            window.append((doc, start, length))
+            room -= length
         windows.append(window)
         left -= size
     return windows
 
 
 def balance_steps(windows: list[list[tuple[int, int, int]]], tiers: tuple[int, ...], per_step: int) -> list[int]:
-    """A step for each window: every step takes per_step windows' worth of tokens and windows with many pieces are dealt out evenly."""
-    order = sorted(range(len(windows)), key=lambda w: (-len(windows[w]), w))
-    steps = max(1, -(-sum(sum(p[2] for p in w) for w in windows) // (per_step * tiers[-1])))
+    """A step for each window: all steps take equal tokens, of windows of all tiers; the longest are dealt first, to the step with the fewest tokens."""
+    sizes = [sum(p[2] for p in w) for w in windows]
+    order = sorted(range(len(windows)), key=lambda w: (-sizes[w], -len(windows[w]), w))
+    steps = max(1, -(-sum(sizes) // (per_step * tiers[-1])))
     heap, step_of = [(0, s) for s in range(steps)], [0] * len(windows)
     for w in order:
         load, s = heapq.heappop(heap)
         step_of[w] = s
-        heapq.heappush(heap, (load + sum(p[2] for p in windows[w]), s))
+        heapq.heappush(heap, (load + sizes[w], s))
     return step_of
 
 
@@ -157,7 +219,7 @@ def pack(
 
     A null text counts as empty and still gives its end id. A null id is kept as null. Repeated rows are packed as
     often as they come. An empty table gives no rows. Other columns are ignored. Windows hold at most the largest
-    tier's tokens; `window` is the length that a window is padded to. With in_order, the sequences and steps of a shard
+    tier's tokens, and words of any length are encoded whole; `window` is the length that a window is padded to. With in_order, the sequences and steps of a shard
     follow its documents, and those of a table in ranges follow the ranges; else steps are balanced over the shard.
     """
     tail = end_id.to_bytes(4, "little")
@@ -196,11 +258,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                keys = some.column("id").to_pylist()
-                for key, text in zip(keys, strings(some, "text").to_pylist(), strict=True):
-                    code = coder.encode(text)
+            array, keys = strings(batch, "text"), batch.column("id").to_pylist()
+            for a, b in slices(array):
+                for key, code in zip(keys[a:b], coder.encode_all(array.slice(a, b - a).to_pylist()), strict=True):
                     ids.append(key)
                     codes.append(code + tail)
                     held += len(code) // 4 + 1
