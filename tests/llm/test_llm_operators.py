@@ -149,6 +149,15 @@ def test_null_and_repeated_ids_lose_no_class(spark):
     assert sorted(((r.doc_id or -1), r.text) for r in kept) == sorted([(-1, a), (-1, b), (7, c), (7, d)]) and kept[0].__fields__ == rows.columns
 
 
+def test_copies_of_a_text_are_dealt_over_tasks(spark):
+    rng = random.Random(15)
+    texts = ["one text that very many rows have in common"] * 900 + [words(rng, 30) for _ in range(300)]
+    got = near_dedup.near_duplicates(docs_of(spark, texts).repartition(4))
+    sizes = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.sum() == 1200 and sizes.max() < 600
+    assert {(r.class_id, r.class_size) for r in got.where("doc_id < 900").collect()} == {(0, 900)}
+
+
 @pytest.mark.parametrize("weighting", ["count", "log"])
 def test_other_weights(spark, weighting):
     t = "a b c d e f g h i j k l m n o p q r s t"
@@ -256,6 +265,21 @@ def test_edited_pairs_equal_a_plain_version(spark, odd):
     assert fingerprints.fingerprint(odd).count() == odd.count()
 
 
+def test_rows_without_ids_come_last(spark):
+    rows = spark.createDataFrame([(2, "b " * 9), (None, "n one two three"), (1, "a b c d e f"), (None, None), (2, "c " * 7), (-5, "z")], "doc_id long, text string")
+    got = fingerprints.edited_pairs(rows, null_ids="last").collect()
+    assert len(got) == 6 and sorted(str(r.doc_id) for r in got) == sorted(["-5", "1", "2", "2", "None", "None"])
+    by_edit = {(r.doc_id, r.n_chars): r for r in got}
+    lasts = ["n one two three", ""]
+    second = by_edit[2, 18].edited_sha256  # 'c c ..' comes after it, then a row without an id
+    assert second in {hashlib.sha256(("b " * 9)[:14].encode() + n[:4].encode()).hexdigest() for n in lasts + ["c " * 7]}
+    loop = {r.edited_sha256 for r in got if r.doc_id is None}
+    want = {hashlib.sha256(("n one two three"[:12] + n[:3]).encode()).hexdigest() for n in ("z", "")} | {hashlib.sha256(b"").hexdigest()}
+    assert loop <= want
+    with pytest.raises(ValueError, match="null_ids"):
+        fingerprints.edited_pairs(rows, null_ids="first")
+
+
 # --- 4: quality rules --------------------------------------------------------------------------------------------------
 
 
@@ -448,6 +472,52 @@ def test_a_full_cache_changes_nothing():
     assert small.encode(text) == large.encode(text) == small.encode(text)
 
 
+def test_ids_of_letters_and_signs_are_the_tokenizers():
+    import sys
+    import unicodedata
+
+    rng = random.Random(13)
+    letters = [c for c in map(chr, range(0x20, sys.maxunicode)) if unicodedata.category(c)[0] in "LMN" and not 0xD800 <= ord(c) < 0xE000]
+    coder = packing.WordIds(PATH)
+    texts = [f"ab{c}. {c}, x{c}d! {c}?" for c in letters[:3000]] + ["Bu kitap ABDİ.", "CEMİ, geldi", "İ. Kaya", "ΣΑΣ. ας,"]
+    for _ in range(6000):
+        pool = rng.choice([letters, "abİıIΣσςéÉ", "aB1"])
+        texts.append("".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice(".,;:!? \n\t'-\u0307\u00a0") for _ in range(rng.randrange(1, 14))))
+    for t in texts:
+        want = np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert coder.encode(t) == want, repr(t)
+
+
+def test_each_tier_has_windows_of_its_length():
+    rng = random.Random(14)
+    lengths = [int(min(9000, rng.lognormvariate(5.2, 1.2))) + 1 for _ in range(4000)]
+    windows = packing.plan_windows(lengths)
+    sizes = [sum(p[2] for p in w) for w in windows]
+    assert sum(sizes) == sum(lengths) and sum(s not in packing.TIERS for s in sizes) <= 1
+    assert all(sizes.count(t) > 50 for t in packing.TIERS)
+    for w, size in zip(windows, sizes, strict=True):
+        # a window begins with a piece of its tier, unless it ends the shard
+        assert w[0][2] > size // 2 or size == packing.TIERS[0] or w in windows[-5:]
+    seen = Counter()
+    for w in windows:
+        for doc, start, n in w:
+            seen.update((doc, k) for k in (start, start + n - 1))
+    assert all(seen[d, 0] >= 1 and seen[d, n - 1] >= 1 for d, n in enumerate(lengths))
+    steps = packing.balance_steps(windows, packing.TIERS, 32)
+    loads = Counter()
+    for s, size in zip(steps, sizes, strict=True):
+        loads[s] += size
+    assert max(loads.values()) - min(loads.values()) <= packing.TIERS[0] * 2
+    assert packing.plan_windows([]) == [] and packing.plan_windows([1]) == [[(0, 0, 1)]]
+
+
+def test_long_words_stay_out_of_the_cache():
+    coder = packing.WordIds(PATH, 10_000)
+    for i in range(50):
+        coder.encode(f"x{i} " + "ab" * 5000 + str(i))
+    assert max(map(len, coder)) <= packing.LONG_PART and sum(packing.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in coder.items()) <= 11_000
+
+
 # --- 8: classifier -----------------------------------------------------------------------------------------------------
 
 
