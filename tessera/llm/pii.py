@@ -1,23 +1,29 @@
 """Surrogates for personal data, with DataFrame functions alone.
 
 Entities are found by one pattern. Each distinct entity of the corpus, in its normal form, gets a replacement from a
-keyed hash: digits for digits, letters for letters of the same script, names from lists of the same gender. Candidates
-that two entities share, or that are entities of the corpus themselves, are drawn again until all are distinct; then
-every mention is replaced in its own format, so that equal entities stay equal and different ones different.
+keyed hash: digits for digits, letters for letters of the same script, given names from lists of the same gender, and
+check digits and number ranges as the kind wants them. Candidates that two entities share, or that are entities of the
+corpus themselves, are drawn again until all are distinct; then every mention is replaced in its own format, so that
+equal entities stay equal and different ones different. A name's given and family name are entities of their own, so a
+person keeps the family name where the given name isn't said, and where a title isn't, in the same text.
 """
 
 from __future__ import annotations
 
+import hashlib
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, text_or_empty
+from .common import joined_by_weight, pinned, text_or_empty
 from .spans import matched
 
+ROUNDS = 64  # of drawing surrogates; each leaves less than about half of the entities before it
+
 # Patterns, titles and names.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = (
     r"(?<![A-Za-z0-9])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|6(?:011|5[0-9]{2}|4[4-9][0-9])|35(?:2[89]|[3-8][0-9]))"
@@ -28,7 +34,9 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\+[0-9]{8,14}(?![A-Za-z0-9])"
 HE, SHE = "Mr Sir Herr Monsieur Señor Don Господин Κύριος".split(), "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Doña Госпожа Κυρία".split()
 ANY = "Dr Prof Professor Doctor".split()
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(HE + SHE + ANY, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+TITLES = sorted(HE + SHE + ANY, key=len, reverse=True)
+WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:{'|'.join(TITLES)})\.? {WORD}(?: {WORD})?"
 PATTERNS = {"email": EMAIL, "iban": IBAN, "ip": IPV4, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 GIVEN = {
@@ -65,20 +73,31 @@ def luhn_sum(digits: Column, last_is_check: bool) -> Column:
     return F.aggregate(places, F.struct(F.lit(not last_is_check).alias("odd"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
 
 
+def remainder_97(code: Column) -> Column:
+    """The remainder by 97 of a code of digits and capitals, a letter being a number from 10 on."""
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = c.rlike("[A-Z]")
+        return (acc * F.when(letter, 100).otherwise(10) + F.when(letter, F.ascii(c) - 55).otherwise(c.cast("int"))) % 97
+
+    return F.aggregate(F.filter(F.split(code, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def is_entity(kind: Column, value: Column) -> Column:
-    """Digit runs are cards only with a valid check digit; phone numbers have 7 to 15 digits."""
+    """Cards and IBANs have valid check digits; phone numbers have 7 to 15 digits."""
     digits = digits_of(value)
-    return F.when(kind == "card", F.length(digits).between(13, 19) & (luhn_sum(digits, True) % 10 == 0)).when(kind == "phone", F.length(digits).between(7, 15)).otherwise(True)
+    whole = F.replace(value, F.lit(" "), F.lit(""))
+    iban = remainder_97(F.concat(F.substring(whole, 5, 40), F.substring(whole, 1, 4))) == 1
+    return F.when(kind == "card", F.length(digits).between(13, 19) & (luhn_sum(digits, True) % 10 == 0)).when(kind == "phone", F.length(digits).between(7, 15)).when(kind == "iban", iban).otherwise(True)
 
 
 def normal_form(kind: Column, value: Column) -> Column:
-    """What mentions of one entity have in common: digits of numbers, of phone numbers the last ten, small letters of addresses, a name without its title."""
+    """What mentions of one entity have in common: digits of numbers, of phone numbers the last ten, small letters of addresses. Names have parts instead."""
     return (
         F.when(kind == "phone", F.substring(digits_of(value), -10, 10))
         .when(kind.isin("card", "ssn"), digits_of(value))
         .when(kind == "email", F.lower(value))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.regexp_extract(value, r"^\S+ (.*)$", 1))
         .otherwise(value)
     )
 
@@ -118,50 +137,85 @@ def like(value: Column, hexes: Column, keep: Column | int = 0) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
 
+def longer(entity: Column, hexes: Column, attempt: Column) -> Column:
+    """Syllables of the entity's script to put behind a candidate: none at first, one more with every second attempt."""
+    out = F.lit("")
+    for (vowels, consonants), group in zip(LETTERS.values(), (None, "Ѐ-ӿ", "Ͱ-Ͽ"), strict=True):
+        parts = [pick(letters, number_at(hexes, F.lit(40 + 2 * k + j))) for k in range(8) for j, letters in enumerate((consonants, vowels))]
+        syllables = F.substring(F.concat(*parts), F.lit(1), F.least(F.floor(attempt / 2) * 2, F.lit(16)).cast("int"))
+        out = syllables if group is None else F.when(entity.rlike(f"[{group}]"), syllables).otherwise(out)
+    return out
+
+
 def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: Column) -> Column:
     """A candidate for an entity in its normal form. A mail domain has its own hash, so that addresses of one domain keep one."""
     hexes = noise([F.lit(key), kind, entity, attempt.cast("string")])
+    more = longer(entity, hexes, attempt)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    email = F.concat(like(local, hexes), F.lit("@"), like(host, noise([F.lit(key), F.lit("domain"), domain])), top)
-    body = F.concat(F.substring(entity, 1, 1), F.substring(like(entity, hexes), F.lit(2), F.length(entity) - 2))
+    email = F.concat(like(local, hexes), more, F.lit("@"), like(host, noise([F.lit(key), F.lit("domain"), domain])), top)
+    # the first four digits say what card it is
+    body = F.substring(like(entity, hexes, 4), F.lit(1), F.length(entity) - 1)
     card = F.concat(body, ((10 - luhn_sum(body, False) % 10) % 10).cast("string"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number_at(hexes, i) % 254 + 1).cast("string")), ".")
     digits = like(entity, hexes)
     # a phone number's first digit isn't 0 or 1
     phone = F.concat((number_at(hexes, F.lit(63)) % 8 + 2).cast("string"), F.substring(digits, F.lit(2), F.length(entity)))
-    iban = F.concat(F.substring(entity, 1, 2), F.substring(digits, F.lit(3), F.length(entity)))
-    latin = ~entity.rlike(r"[Ͱ-ϿЀ-ӿ]")
-    given = reduce(lambda other, g: F.when(gender == g, F.element_at(F.array(*map(F.lit, GIVEN[g])), number_at(hexes, F.lit(0)) % len(GIVEN[g]) + 1)).otherwise(other), GIVEN, F.lit(""))
-    # a single name is a family name; with two, the first is a given name of the same gender
-    family = like(F.regexp_extract(entity, r"(\p{L}+)$", 1), hexes)
-    joint = F.regexp_extract(entity, r"([ -])", 1)
-    name = F.when(~latin, digits).when(joint == " ", F.concat(given, F.lit(" "), family)).otherwise(digits)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).otherwise(digits)
 
+    def below(place: int, bound: int, width: int) -> Column:
+        return F.lpad((F.conv(F.substring(hexes, place, 8), 16, 10).cast("bigint") % bound + 1).cast("string"), width, "0")
 
-def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    # areas are 001 to 899 without 666; groups and serial numbers aren't zero
+    area = below(1, 898, 3)
+    ssn = F.when(F.length(entity) == 9, F.concat(F.when(area < "666", area).otherwise(F.lpad((area.cast("int") + 1).cast("string"), 3, "0")), below(9, 99, 2), below(17, 9999, 4))).otherwise(digits)
+    country, account = F.substring(entity, 1, 2), F.substring(digits, F.lit(5), F.length(entity))
+    iban = F.concat(country, F.lpad((98 - remainder_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    listed = reduce(lambda other, g: F.when(gender == g, F.element_at(F.array(*map(F.lit, GIVEN[g])), number_at(hexes, F.lit(0)) % len(GIVEN[g]) + 1)).otherwise(other), GIVEN, F.lit(""))
+    name = F.concat(F.when((kind == "given") & ~entity.rlike(r"[Ͱ-ϿЀ-ӿ]"), listed).otherwise(digits), more)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind.isin("given", "family"), name).otherwise(digits)
+
+
+def shuffled(entity: Column, size: int, key: str) -> Column:
+    """Another number of size digits for each, by a keyed one-to-one map of all numbers of that size; none is its own image."""
+    # the factor has no divisor in common with ten, and an odd sum to add leaves no number in its place
+    factor, plus = (int(hashlib.sha256(f"{key}:{size}:{part}".encode()).hexdigest()[:8], 16) for part in ("factor", "plus"))
+    moved = (entity.cast("decimal(18,0)") * F.lit(Decimal(10 * factor + 3)) + F.lit(Decimal(2 * plus + 1))).cast("decimal(38,0)") % F.lit(Decimal(10**size))
+    return F.lpad(moved.cast("decimal(18,0)").cast("string"), size, "0")
+
+
+def distinct_surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """(kind, entity, gender, surrogate) with no surrogate twice in a kind, and none that is an entity of that kind.
 
     Each round draws again for those that clash: all but the first of a shared candidate, and those that are real
-    entities. Rounds go on until none is left; each is likely to place all but few of the rows before it.
+    entities. Candidates of names and addresses grow with the rounds. Where the corpus has more than a quarter of all
+    phone or social security numbers of a length, these are moved by a one-to-one map instead, onto each other if need
+    be. So more than half of what is drawn from is free, each round leaves less than about half open, and there's an
+    end; a table with about half of all IP addresses and more, for which there can't be one, is refused after some rounds.
     """
+    sizes = entities.where(F.col("kind").isin("phone", "ssn")).groupBy("kind", F.length("entity").alias("size")).agg(F.countDistinct("entity").alias("n"))
+    # one row for each kind and length of numbers
+    crowded = [(r.kind, r.size) for r in sizes.collect() if r.size <= 15 and r.n > 10**r.size // 4]
     real = entities.select("kind", F.col("entity").alias("surrogate")).distinct()
-    open_rows = entities.withColumn("attempt", F.lit(0))
     placed: DataFrame | None = None
-    while True:
+    open_rows = entities.withColumn("attempt", F.lit(0))
+    for kind, size in crowded:
+        here = (F.col("kind") == kind) & (F.length("entity") == size)
+        moved = open_rows.where(here).select("kind", "entity", "gender", shuffled(F.col("entity"), size, key).alias("surrogate"))
+        placed, open_rows = moved if placed is None else placed.unionByName(moved), open_rows.where(~here)
+    for _ in range(rounds):
         tried = open_rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), key, F.col("attempt")))
         first = tried.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"))
         taken = real.withColumn("taken", F.lit(True))
         if placed is not None:
-            taken = taken.unionByName(placed.select("kind", "surrogate", F.lit(True).alias("taken")))
+            taken = taken.unionByName(placed.select("kind", "surrogate", F.lit(True).alias("taken"))).distinct()
         judged = pinned(tried.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn("good", (F.col("entity") == F.col("first")) & F.col("taken").isNull()))
         done = judged.where("good").select("kind", "entity", "gender", "surrogate")
         placed = done if placed is None else placed.unionByName(done)
         open_rows = judged.where("NOT good").select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt"))
         if not open_rows.take(1):
             return placed
+    raise ValueError(f"SURROGATES_EXHAUSTED: {[r.kind for r in open_rows.select('kind').distinct().collect()]}")
 
 
 def in_format(kind: Column, value: Column, new: Column) -> Column:
@@ -175,44 +229,68 @@ def in_format(kind: Column, value: Column, new: Column) -> Column:
 
     chars = F.reverse(F.filter(F.split(value, ""), lambda c: c != ""))
     spaced = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), place, lambda acc: acc["out"])
+    all_capitals = (value == F.upper(value)) & (value != F.lower(value))
+    # the letter at the place of a capital is a capital
+    capitals = F.array_join(F.transform(F.filter(F.split(new, ""), lambda c: c != ""), lambda c, i: F.when(F.substring(value, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), spaced)
         .when(kind == "name", F.concat(F.regexp_extract(value, r"^(\S+ )", 1), new))
-        .when((kind == "email") & (value == F.upper(value)) & (value != F.lower(value)), F.upper(new))
+        .when(kind == "email", F.when(all_capitals, F.upper(new)).otherwise(capitals))
         .otherwise(new)
     )
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each match of the pattern in the texts; those that aren't entities have a null kind."""
+    """A row for each match of the pattern in the texts, with the entities that it names; those that aren't entities have a null kind."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = rows.withColumn("m", matched("text", PATTERN)).where(F.size("m") > 0)
+    # all kinds but names have a digit or an @
+    found = rows.withColumn("m", F.when(F.col("text").rlike("[0-9@]"), matched("text", PATTERN)).otherwise(matched("text", NAME))).where(F.size("m") > 0)
     out = found.select("doc_id", "text_key", F.posexplode("m").alias("n", "m")).select("doc_id", "text_key", "n", F.col("m.value").alias("value"))
     kind = kind_of(F.col("value"))
     out = out.withColumn("kind", kind).withColumn("kind", F.when(is_entity(F.col("kind"), F.col("value")), F.col("kind")))
-    return out.withColumn("entity", normal_form(F.col("kind"), F.col("value"))).withColumn("gender", F.when(F.col("kind") == "name", gender_of(F.col("value"))).otherwise("any"))
+    words = F.split(F.regexp_extract("value", r"^\S+ (.*)$", 1), " ")
+    family = F.struct(F.lit(1).alias("part"), F.lit("family").alias("of"), F.element_at(words, -1).alias("entity"))
+    given = F.struct(F.lit(0).alias("part"), F.lit("given").alias("of"), F.element_at(words, 1).alias("entity"))
+    other = F.struct(F.lit(0).alias("part"), F.col("kind").alias("of"), normal_form(F.col("kind"), F.col("value")).alias("entity"))
+    parts = F.when(F.col("kind") == "name", F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(other))
+    return out.select("*", F.explode(parts).alias("p")).select("doc_id", "text_key", "n", "value", "kind", "p.*", F.when(F.col("kind") == "name", gender_of(F.col("value"))).otherwise("any").alias("gender"))
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every entity replaced in the text, and `n_entities`; all rows and other columns are kept.
 
     A null text stays null and has no entities. Rows of one id with different texts are handled apart, repeated rows
-    alike, null ids like others. An empty table stays empty. A column of docs named n_entities is replaced.
+    alike, null ids like others. An empty table stays empty. A column of docs named n_entities is replaced. Names are
+    found by a title; in a text that has one, the same names without a title are replaced, too, but aren't counted.
     """
     # one row for each text: repeated rows share their mentions
-    found = pinned(mentions(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key", "n"]))
-    names = found.where("kind IS NOT NULL")
+    found = pinned(mentions(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key", "n", "part"]))
+    hits = found.where("kind IS NOT NULL").withColumn("_entity", F.concat_ws(":", "of", "entity"))
     # a person's gender is the one that a title says, if any does
-    entities = names.groupBy("kind", "entity").agg(F.max(F.when(F.col("gender") != "any", F.col("gender"))).alias("gender")).withColumn("gender", F.coalesce("gender", F.lit("any")))
-    table = distinct_surrogates(entities, key)
-    joined = found.join(table.select("kind", "entity", "surrogate"), ["kind", "entity"], "left")
-    new = F.when(F.col("surrogate").isNotNull(), in_format(F.col("kind"), F.col("value"), F.col("surrogate"))).otherwise(F.col("value"))
-    listed = joined.select("doc_id", "text_key", F.struct("n", new.alias("new"), F.col("surrogate").isNotNull().alias("hit")).alias("r"))
-    lists = listed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("r")).alias("_new")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    entities = pinned(hits.groupBy(F.col("of").alias("kind"), "entity").agg(F.max(F.when(F.col("gender") != "any", F.col("gender"))).alias("gender"), F.count("*").alias("_n")))
+    drawn = distinct_surrogates(entities.select("kind", "entity", F.coalesce("gender", F.lit("any")).alias("gender")), key)
+    table = pinned(drawn.join(entities.select("kind", "entity", "_n"), ["kind", "entity"]).select(F.concat_ws(":", "kind", "entity").alias("_entity"), "surrogate", "_n"))
+    named = joined_by_weight(hits, table, "_entity", "_n").select("doc_id", "text_key", "n", "value", "kind", "part", "entity", "surrogate")
+    rows = named.unionByName(found.where("kind IS NULL").select("doc_id", "text_key", "n", "value", "kind", "part", "entity", F.lit(None).cast("string").alias("surrogate")))
+    # a name's parts make one mention again
+    parts = F.sort_array(F.collect_list(F.struct("part", "entity", "surrogate")))
+    whole = rows.groupBy("doc_id", "text_key", "n").agg(F.first("value").alias("value"), F.first("kind").alias("kind"), parts.alias("parts"))
+    joint = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), " ")
+    new = F.when(F.col("kind").isNotNull(), in_format(F.col("kind"), F.col("value"), joint("surrogate"))).otherwise(F.col("value"))
+    last = F.element_at("parts", -1)
+    known = F.when(F.col("kind") == "name", F.array(F.struct(joint("entity").alias("old"), joint("surrogate").alias("new")), F.struct(last["entity"].alias("old"), last["surrogate"].alias("new"))))
+    listed = whole.select("doc_id", "text_key", F.struct("n", new.alias("new"), F.col("kind").isNotNull().alias("hit")).alias("r"), known.alias("known"))
+    lists = listed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("r")).alias("_new"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("_known"))
+    lists = lists.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).withColumn("_known", F.array_sort("_known", lambda a, b: F.length(b["old"]) - F.length(a["old"])))
     kept = [c for c in docs.columns if c != "n_entities"]
-    whole = docs.select(*kept).join(lists, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")), "left")
+    joined = docs.select(*kept).join(lists, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")), "left")
+
+    def without_names(piece: Column) -> Column:
+        replaced = F.aggregate("_known", piece, lambda acc, k: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}-])"), k["old"], F.lit(r"(?![\p{L}\p{N}-])")), k["new"]))
+        return F.when(F.size("_known") > 0, replaced).otherwise(piece)
+
     pieces = F.split(text_col, PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(pieces, F.transform("_new", lambda r: r["new"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    out = whole.withColumn(text_col, F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(rebuilt))
+    rebuilt = F.array_join(F.zip_with(pieces, F.transform("_new", lambda r: r["new"]), lambda p, r: F.concat(without_names(p), F.coalesce(r, F.lit("")))), "")
+    out = joined.withColumn(text_col, F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(rebuilt))
     out = out.withColumn("n_entities", F.coalesce(F.size(F.filter("_new", lambda r: r["hit"])), F.lit(0)).cast("long"))
     return out.select(*kept, "n_entities")
