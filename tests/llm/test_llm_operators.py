@@ -578,6 +578,95 @@ def test_surrogates_are_distinct(spark):
     assert pii.distinct_surrogates(few, "k").select("surrogate").distinct().count() == 100
 
 
+PERSON = re.compile(r"(?<![^\W_])(?:Mr|Mrs|Ms|Dr|Frau|Herr)\.? ([A-Z][a-z]+(?:-[A-Z][a-z]+)*)(?: ([A-Z][a-z]+(?:-[A-Z][a-z]+)*))?")
+
+
+def test_people_keep_their_names_in_all_forms(spark):
+    texts = [
+        "Mr. John Smith and Mrs Anna-Lena Smith came; John Smith left, then Smith. Smithson stayed, and Mr. Smith.",
+        "Dr Smith is Ms Clark. Ann Lee isn't known.",
+        "Frau Clark, Herr Karl Brandt: Brandt",
+    ]
+    out = {r.doc_id: r for r in pii.with_surrogates(docs_of(spark, texts), "key").collect()}
+    john, smith = PERSON.findall(out[0].text)[0]
+    anna, same = PERSON.findall(out[0].text)[1]
+    assert same == smith and john in pii.GIVEN["he"] and anna in pii.GIVEN["she"] and smith != "Smith"
+    assert out[0].text == f"Mr. {john} {smith} and Mrs {anna} {smith} came; {john} {smith} left, then {smith}. Smithson stayed, and Mr. {smith}."
+    clark = PERSON.findall(out[2].text)[0][0]
+    assert out[1].text == f"Dr {smith} is Ms {clark}. Ann Lee isn't known." and out[0].n_entities == 3
+    assert re.fullmatch(rf"Frau {clark}, Herr (\w+) (\w+): \2", out[2].text)
+
+
+def plain_97(code):
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
+
+
+def test_numbers_stay_numbers_of_their_kind(spark):
+    rng = random.Random(21)
+    cards = ["4944339490429605", "5105105105105100", "378282246310005", "2223003122003222", "6011111111111117", "3530111333300000"]
+    texts = [f"card {c} and ssn {rng.randrange(1, 899):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}" for c in cards]
+    texts += ["pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00", "to Ann.Lee@Mail.example.com"]
+    got = [r.text for r in sorted(pii.with_surrogates(docs_of(spark, texts), "key").collect(), key=lambda r: r.doc_id)]
+    for old, new in zip(cards, got, strict=False):
+        card, area, group, serial = re.fullmatch(r"card (\d+) and ssn (\d{3})-(\d{2})-(\d{4})", new).groups()
+        assert card[:4] == old[:4] and card != old and len(card) == len(old) and re.fullmatch(pii.CARD, card)
+        assert sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+        assert 1 <= int(area) <= 899 and area != "666" and int(group) and int(serial)
+    first, second = re.fullmatch(r"pay (DE\d\d (?:\d{4} ){4}\d\d) or (GB\d\d[A-Z]{4}\d{14}), not DE88 3704 0044 0532 0130 00", got[6]).groups()
+    assert plain_97(first.replace(" ", "")) == plain_97(second) == 1 and first != texts[6][4:31]
+    address = re.fullmatch(r"to ([A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\.[a-z]{7}\.com)", got[7])
+    assert address and address[1] != "Ann.Lee@Mail.example.com"
+
+
+def test_surrogates_come_to_an_end(spark):
+    short = [f"{a}{b}" for a in "ABCDEFG" for b in "aeiou" + "lmn"]
+    rows = spark.createDataFrame([("family", n, "any") for n in short] + [("given", n, "he") for n in pii.GIVEN["he"] + short] + [("phone", f"{i:07d}"[-3:], "any") for i in range(1000)], "kind string, entity string, gender string")
+    got = pii.distinct_surrogates(rows, "k").collect()
+    assert len(got) == rows.count() and len({(r.kind, r.surrogate) for r in got}) == len(got) and all(r.surrogate != r.entity for r in got)
+    names = {(r.kind, r.entity) for r in got}
+    assert not any((r.kind, r.surrogate) in names for r in got if r.kind != "phone")
+    addresses = spark.createDataFrame([("ip", "1.2.3.4", "any")], "kind string, entity string, gender string")
+    with pytest.raises(ValueError, match="SURROGATES_EXHAUSTED"):
+        pii.distinct_surrogates(addresses, "k", rounds=0)
+
+
+def test_a_hot_entity_is_the_same_in_all_texts(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "ask help@site.example.com").otherwise(F.concat(F.lit("ask u"), "id", F.lit("@site.example.com"))).alias("text"))
+    out = pii.with_surrogates(rows, "k").collect()
+    assert len(out) == 3000 and len({r.text for r in out if r.doc_id % 3 == 0}) == 1 and len({r.text for r in out}) == 2001
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_mentions_of_a_table_equal_a_plain_search(spark, folder):
+    import regex
+
+    rows = read_table(spark, folder, "documents")
+    pattern = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    out = {r.doc_id: r for r in pii.with_surrogates(rows.select("doc_id", "text"), "key").collect()}
+    seen, back = {}, {}
+    for r in rows.collect():
+        text, at, new, count = r.text or "", 0, out[r.doc_id].text or "", 0
+        for m in pattern.finditer(text):
+            kind = next(k for k, p in kinds.items() if p.fullmatch(m[0]))
+            digits = re.sub(r"\D", "", m[0])
+            if kind == "card" and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 or kind == "iban" and plain_97(m[0].replace(" ", "")) != 1:
+                continue
+            count += 1
+            gap = text[at : m.start()]
+            assert new.startswith(gap)
+            new, at = new[len(gap) :], m.end()
+            found = kinds[kind].match(new)
+            assert found, (kind, m[0], new[:40])
+            old_key = (kind, digits[-10:] if kind == "phone" else digits if kind in ("card", "ssn") else m[0].lower())
+            new_digits = re.sub(r"\D", "", found[0])
+            new_key = (kind, new_digits[-10:] if kind == "phone" else new_digits if kind in ("card", "ssn") else found[0].lower())
+            assert seen.setdefault(old_key, new_key) == new_key and back.setdefault(new_key, old_key) == old_key and new_key != old_key
+            new = new[found.end() :]
+        assert new == text[at:] and out[r.doc_id].n_entities == count
+    assert len(seen) > 20 and not set(seen) & set(back)
+
+
 def test_surrogates_of_odd_rows(spark, odd):
     out = pii.with_surrogates(odd, "key")
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_entities"] and pii.with_surrogates(odd.limit(0), "key").collect() == []
