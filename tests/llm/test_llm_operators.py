@@ -745,6 +745,30 @@ def test_open_blocks_beside_a_body_and_over_whole_hosts(spark):
     assert three[0] == f"teaser 0 {story[0]} {twice}" and three[1] == f"teaser 1 {story[1]}"
 
 
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_what_nearly_all_articles_say_is_the_sites(spark, chunk):
+    rng = random.Random(17)
+    licence = "this text may be shared by all under the terms of the site"
+    quote = words(rng, 30, 10**6)
+    rows, plain = [], {}
+    for host, n, share in (("big", 700, 0.95), ("mid", 300, 0.8), ("few", 19, 1.0), ("one", 40, 1.0)):
+        pages = []
+        for i in range(n):
+            story = words(rng, 40, 10**6)
+            # the line of mid is on eight tenths of its pages, which isn't more than that
+            lines = [story] + [quote] * (i % 2) + [licence] * (rng.random() < share if host == "big" else i < share * n)
+            rng.shuffle(lines)
+            pages.append(f"<nav>{rng.random()}</nav><article>{''.join(f'<p>{x}</p>' for x in lines)}</article>" if host != "one" else f"<nav>{rng.random()}</nav><article><p>{licence}</p></article>")
+        plain[host] = main_texts([blocks_of(p) for p in pages])
+        rows += [(len(rows) + i, f"http://{host}.example/{i}", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in extract(df.unionByName(df.where("page_id < 400")), chunk_pages=chunk).collect()}
+    want = [t for host in plain for t in plain[host]]
+    assert got == dict(enumerate(want))
+    assert not any(licence in t for t in plain["big"]) and sum(quote in t for t in plain["big"]) == 350
+    assert sum(licence in t for t in plain["mid"]) == 240 and all(licence in t for t in plain["few"]) and set(plain["one"]) == {licence}
+
+
 def test_pages_of_the_tables(spark):
     rows = read_table(spark, SMALL, "pages")
     got = {r.page_id: r.text for r in extract(rows).collect()}
