@@ -70,6 +70,14 @@ def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, t
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that rows doesn't have."""
+    taken, mark = {c.lower() for c in rows.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pinned, shuffle_width
+from .common import fresh, pinned, shuffle_width
 
 BLOCK_ROWS = 64
 POWER = 0.5  # default target weight: the source's row count to this power
@@ -155,7 +155,9 @@ def mix(
     for each source and each block. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
-    rows = rows.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("_tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # rows without an id are the same to each other, so any order of theirs is; one hash would bring them to one task
+    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_hash", F.xxhash64("doc_id", lone, F.lit(seed))).withColumn("_tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # counts are taken from a pinned table of ids and sources, so that they can't differ from what is numbered
     rows = pinned(rows.repartition(shuffle_width(docs.sparkSession), "_hash"))
     counts = {r.source: r["count"] for r in rows.groupBy("source").count().toLocalIterator()}
@@ -187,9 +189,10 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """
     if not docs.take(1):
         return docs
-    keyed = docs.withColumn("_owner", F.coalesce("source", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_owner", "text"))
-    places = mix(keyed.select("_key", "_owner").distinct(), id_col="_key", source_col="_owner", **options)
-    places = places.select(F.col("doc_id").alias("_key"), F.col("source").alias("_owner"), F.col("position").alias("_position"))
-    joined = keyed.join(places, ["_key", "_owner"])
-    ordered = joined.repartitionByRange(shuffle_width(docs.sparkSession), "_position").sortWithinPartitions("_position")
+    owner, key, place = fresh(docs, "owner", "key", "position")
+    keyed = docs.withColumn(owner, F.coalesce("source", F.lit(""))).withColumn(key, F.xxhash64("doc_id", owner, "text"))
+    places = mix(keyed.select(key, owner).distinct(), id_col=key, source_col=owner, **options)
+    places = places.select(F.col("doc_id").alias(key), F.col("source").alias(owner), F.col("position").alias(place))
+    joined = keyed.join(places, [key, owner])
+    ordered = joined.repartitionByRange(shuffle_width(docs.sparkSession), place).sortWithinPartitions(place)
     return ordered.select(*docs.columns)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_weight, pinned, text_or_empty
+from .common import fresh, joined_by_weight, pinned, text_or_empty
 from .spans import matched
 
 ROUNDS = 64  # of drawing surrogates; each leaves less than about half of the entities before it
@@ -263,6 +263,7 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     alike, null ids like others. An empty table stays empty. A column of docs named n_entities is replaced. Names are
     found by a title; in a text that has one, the same names without a title are replaced, too, but aren't counted.
     """
+    id_, text_key, mentioned, names = fresh(docs, "id", "key", "new", "known")
     # one row for each text: repeated rows share their mentions
     found = pinned(mentions(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key", "n", "part"]))
     hits = found.where("kind IS NOT NULL").withColumn("_entity", F.concat_ws(":", "of", "entity"))
@@ -280,17 +281,17 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     last = F.element_at("parts", -1)
     known = F.when(F.col("kind") == "name", F.array(F.struct(joint("entity").alias("old"), joint("surrogate").alias("new")), F.struct(last["entity"].alias("old"), last["surrogate"].alias("new"))))
     listed = whole.select("doc_id", "text_key", F.struct("n", new.alias("new"), F.col("kind").isNotNull().alias("hit")).alias("r"), known.alias("known"))
-    lists = listed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("r")).alias("_new"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("_known"))
-    lists = lists.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).withColumn("_known", F.array_sort("_known", lambda a, b: F.length(b["old"]) - F.length(a["old"])))
+    lists = listed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("r")).alias(mentioned), F.array_distinct(F.flatten(F.collect_list("known"))).alias(names))
+    lists = lists.withColumnsRenamed({"doc_id": id_, "text_key": text_key}).withColumn(names, F.array_sort(names, lambda a, b: F.length(b["old"]) - F.length(a["old"])))
     kept = [c for c in docs.columns if c != "n_entities"]
-    joined = docs.select(*kept).join(lists, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")), "left")
+    joined = docs.select(*kept).join(lists, docs[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty(text_col)) == F.col(text_key)), "left")
 
     def without_names(piece: Column) -> Column:
-        replaced = F.aggregate("_known", piece, lambda acc, k: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}-])"), k["old"], F.lit(r"(?![\p{L}\p{N}-])")), k["new"]))
-        return F.when(F.size("_known") > 0, replaced).otherwise(piece)
+        replaced = F.aggregate(names, piece, lambda acc, k: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}-])"), k["old"], F.lit(r"(?![\p{L}\p{N}-])")), k["new"]))
+        return F.when(F.size(names) > 0, replaced).otherwise(piece)
 
     pieces = F.split(text_col, PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(pieces, F.transform("_new", lambda r: r["new"]), lambda p, r: F.concat(without_names(p), F.coalesce(r, F.lit("")))), "")
-    out = joined.withColumn(text_col, F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(rebuilt))
-    out = out.withColumn("n_entities", F.coalesce(F.size(F.filter("_new", lambda r: r["hit"])), F.lit(0)).cast("long"))
+    rebuilt = F.array_join(F.zip_with(pieces, F.transform(mentioned, lambda r: r["new"]), lambda p, r: F.concat(without_names(p), F.coalesce(r, F.lit("")))), "")
+    out = joined.withColumn(text_col, F.when(F.col(mentioned).isNull(), F.col(text_col)).otherwise(rebuilt))
+    out = out.withColumn("n_entities", F.coalesce(F.size(F.filter(mentioned, lambda r: r["hit"])), F.lit(0)).cast("long"))
     return out.select(*kept, "n_entities")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix64, pinned, slices, span_hashes, strings, text_bytes, text_or_empty, word_spans
+from .common import fresh, mix64, pinned, slices, span_hashes, strings, text_bytes, text_or_empty, word_spans
 
 CUT = 0.3  # score from which a document is predicted good
 FOLDS = 5
@@ -152,7 +152,8 @@ def training_samples(docs: DataFrame, labels: DataFrame, settings: Settings, id_
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("key"), "key").limit(settings.rows_per_class) for c in (0, 1)]
     chosen = pinned(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
-    picked = texts.join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    # of an id's texts, the one with the smallest hash
+    picked = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,16 +190,17 @@ def score(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text
     ones too; an empty table stays empty. Columns of docs with those two names are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    (whole,) = fresh(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * 4 bytes, set by Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            array = strings(batch, "_text")
+            array = strings(batch, whole)
             for a, b in slices(array):
                 found = shared.value.score(array.slice(a, b - a))
                 columns = [batch.column(c).slice(a, b - a) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64()), pa.array((found >= cut).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    rows = docs.select(*kept, text_or_empty(text_col).alias("_text"))
+    rows = docs.select(*kept, text_or_empty(text_col).alias(whole))
     schema = StructType([*(docs.schema[c] for c in kept), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.mapInArrow(run, schema)

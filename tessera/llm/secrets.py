@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_weight, pinned, text_or_empty
+from .common import fresh, joined_by_weight, pinned, text_or_empty
 from .spans import matched, with_places
 
 # The patterns of the base kinds, in their order.
@@ -145,8 +145,9 @@ def redacted(docs: DataFrame, limits: Limits = Limits(), mark: str = "[SECRET]",
     Overlapping spans are replaced together. n_chars, where there is such a column, is brought up to date.
     """
     names = docs.columns
-    spans = scan(docs, limits).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_id", "_key"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty("text")) == F.col("_key")), "left")
+    id_, key, found = fresh(docs, "id", "key", "found")
+    spans = scan(docs, limits).where(F.size("found") > 0).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("found").alias(found)).dropDuplicates([id_, key])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty("text")) == F.col(key)), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -155,8 +156,8 @@ def redacted(docs: DataFrame, limits: Limits = Limits(), mark: str = "[SECRET]",
         grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, sign)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
-    whole = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(whole))
+    whole = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
+    out = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
