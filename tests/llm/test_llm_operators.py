@@ -367,6 +367,30 @@ def test_targets_hold_over_many_slots():
             assert all(abs(placed[x] - owed[x]) < 1 + 1e-6 for x in blocks)
 
 
+def test_slots_equal_a_plain_schedule():
+    from fractions import Fraction
+
+    rng = random.Random(18)
+    for _ in range(25):
+        blocks = {f"s{i}": rng.randrange(1, 60) for i in range(rng.randrange(1, 8))}
+        weights = {s: Fraction(rng.randrange(1, 40), 40) for s in blocks}
+        # what each source is owed at each whole slot, to find the windows of blocks without the formulas of the plan
+        end, release, deadline = sum(blocks.values()), {}, {}
+        slot_of = lambda x: sum(min(Fraction(blocks[s]), x * weights[s]) for s in blocks)
+        for s in blocks:
+            for j in range(blocks[s]):
+                release[s, j] = math.floor(slot_of(Fraction(j) / weights[s]))
+                deadline[s, j] = math.ceil(slot_of(Fraction(j + 1) / weights[s]))
+        placed, slots = dict.fromkeys(blocks, 0), {s: [] for s in blocks}
+        for t in range(end):
+            ready = [(deadline[s, placed[s]], s) for s in blocks if placed[s] < blocks[s] and release[s, placed[s]] <= t]
+            _, s = min(ready)
+            assert deadline[s, placed[s]] > t
+            slots[s].append(t)
+            placed[s] += 1
+        assert mixing.Plan(blocks, weights).slots == slots
+
+
 def test_more_sources_than_a_thousand(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % 1200).alias("source"))
     got = mixing.mix(rows, block_rows=2).toPandas()
@@ -532,6 +556,59 @@ def test_held_out_labels(spark):
     assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.9
 
 
+def test_scores_equal_a_loop_over_features():
+    rng = random.Random(19)
+    settings = quality_model.Settings(buckets=1 << 12, dim=4)
+    texts = [words(rng, 60, 50) for _ in range(6)] + ["", "é ß", "a"]
+    samples = []
+    for k, t in enumerate(texts[:6]):
+        _, code = quality_model.feature_buckets(pa.array([t]), settings)
+        found, counts = np.unique(code, return_counts=True)
+        samples.append((found, (counts / counts.sum()).astype(np.float32), k % 2))
+    model = quality_model.train(samples, settings)
+    got = model.score(pa.array(texts))
+    for t, score in zip(texts, got, strict=True):
+        _, code = quality_model.feature_buckets(pa.array([t]), settings)
+        total = sum(float(model.weights[c]) for c in code) / max(len(code), 1) + model.bias
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-6
+        raw = t.encode()
+        spans = re.findall(rb"[^ \t-\r]+", raw)
+        # words and word pairs, each again by its recurrence, and the runs of bytes
+        assert len(code) == 2 * len(spans) + 2 * max(len(spans) - 1, 0) + sum(max(len(raw) - n + 1, 0) for n in settings.ngrams)
+
+
+def test_training_equals_plain_gradients():
+    settings = quality_model.Settings(buckets=32, dim=3, epochs=2, batch=4)
+    rng = np.random.default_rng(3)
+    samples = []
+    for k in range(8):
+        found = np.sort(rng.choice(32, 5, replace=False)).astype(np.int64)
+        samples.append((found, np.full(5, 0.2, np.float32), k % 2))
+    got = quality_model.train(samples, settings)
+    draw = np.random.default_rng(settings.seed)
+    vectors = draw.uniform(-1, 1, (32, 3)).astype(np.float32).astype(np.float64) / settings.dim
+    layer, bias = np.zeros((3, 2)), np.zeros(2)
+    by_class = [[k for k, s in enumerate(samples) if s[2] == c] for c in (0, 1)]
+    steps = settings.epochs * (len(samples) // settings.batch + 1)
+    for step in range(steps):
+        rate = settings.rate * (1 - step / steps)
+        drawn = [int(draw.choice(by_class[k % 2])) for k in range(settings.batch)]
+        push, layer_push, bias_push = np.zeros_like(vectors), np.zeros_like(layer), np.zeros(2)
+        for k in drawn:
+            codes, share, label = samples[k]
+            hidden = sum(float(w) * vectors[c] for c, w in zip(codes, share, strict=True))
+            odds = np.exp(hidden @ layer + bias)
+            error = odds / odds.sum() - np.eye(2)[label]
+            layer_push += np.outer(hidden, error) / settings.batch
+            bias_push += error / settings.batch
+            for c, w in zip(codes, share, strict=True):
+                push[c] += float(w) * (layer @ error)
+        vectors -= rate * settings.dim * push
+        layer -= rate * (layer_push + settings.decay * layer)
+        bias -= rate * bias_push
+    assert np.allclose(got.weights, vectors @ (layer[:, 1] - layer[:, 0]), atol=1e-4) and abs(got.bias - (bias[1] - bias[0])) < 1e-4
+
+
 def test_scores_of_odd_rows(spark, odd):
     model = quality_model.train([], quality_model.Settings())
     out = quality_model.score(odd, model)
