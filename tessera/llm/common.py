@@ -56,20 +56,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
-    """rows joined with table, one row a key, on key, where weight says how many of the rows (total in all) have the key.
+def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, sums: tuple[int, int] | None = None) -> DataFrame:
+    """rows joined with table, one row a key, on key, where weight says how many of the rows have the key.
 
     Keys of more rows than a quarter of a task's even share go by broadcast, so that no task gets all rows of a key.
-    They are at most four a task, which bounds what is broadcast. Both sides are read twice, so they should be pinned.
+    They are at most four a task, which bounds what is broadcast. Both sides are read twice then, so they should be
+    pinned. sums: the sum and the largest of the weights, where they are known.
     """
-    if total is None:
-        total = table.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first().n
+    total, most = sums or weight_sums(table, weight)
     least = max(64, total // (4 * shuffle_width(rows.sparkSession)))
+    if most <= least:
+        return rows.join(table, key)
     hot = table.where(F.col(weight) > least)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= least), key)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
+def weight_sums(table: DataFrame, weight: str) -> tuple[int, int]:
+    return tuple(table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first())
+
+
 def fresh(rows: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that rows doesn't have."""
     taken, mark = {c.lower() for c in rows.columns}, "_"

@@ -29,7 +29,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 STEP_WINDOWS = 32
-CACHE_BYTES = 128 << 20  # of words and ids that a worker keeps, twice that with those still in use
+CACHE_BYTES = 48 << 20  # of words and ids that a worker keeps, twice that with those still in use
 ENTRY_BYTES = 180  # what an entry takes beside its word and ids
 LONG_PART = 64
 

@@ -176,7 +176,7 @@ def training_samples(docs: DataFrame, labels: DataFrame, settings: Settings, id_
     kind = dict(texts.dtypes)["key"]
     rows = picked.select("key", "text", "label").mapInArrow(features, f"key {kind}, codes binary, shares binary, label int").collect()
     rows.sort(key=lambda r: r.key)
-    return [(np.frombuffer(r.codes, "<u4").astype(np.int64), np.frombuffer(r.shares, "<f4"), r.label) for r in rows]
+    return [(np.frombuffer(r.codes, "<u4"), np.frombuffer(r.shares, "<f4"), r.label) for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
