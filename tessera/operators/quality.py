@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -126,30 +127,90 @@ def partial_nulls(rows: DataFrame, rule: Rule) -> int:
     return rows.where(some & ~every).count()
 
 
+ROW_KINDS = ("REQUIRED_VALUE", "EXPECTED_PATTERN", "EXPECTED_PRIMITIVE_TYPE", "ALLOWED_DOMAIN", "NUMERIC_RANGE", "NORMALIZATION_OPPORTUNITY")
+
+
+def row_marks(rows: DataFrame, rule: Rule) -> tuple[Column, Column]:
+    """(evaluated, affected) of a rule that judges each row alone."""
+    absent = F.lit(False)
+    for c in rule.columns:
+        absent = absent | missing(rows, c, rule.markers)
+    if rule.kind == "REQUIRED_VALUE":
+        return F.lit(True), absent
+    return ~absent, ~absent & violation(rows, rule)
+
+
+def applicability(tables: dict[str, DataFrame], rules: list[Rule], runtime: bool = True) -> dict[str, tuple[str, str | None]]:
+    """Each rule's state and the reason, if it can't be evaluated: a disabled rule isn't applicable, one without what it needs lacks evidence.
+
+    runtime: benchmark rules are no part of a run's own policy. A rule whose plan can't be made fails alone.
+    """
+    out: dict[str, tuple[str, str | None]] = {}
+    for r in rules:
+        columns = set(tables[r.table].columns) if r.table in tables else set()
+        lacking = sorted(set(r.columns) - columns)
+        if not r.enabled:
+            out[r.rule_id] = ("NOT_APPLICABLE", "RULE_DISABLED")
+        elif r.table not in tables:
+            out[r.rule_id] = ("INSUFFICIENT_EVIDENCE", f"TABLE_ABSENT: {r.table}")
+        elif r.scope == "REFERENCE_BENCHMARK" and runtime:
+            out[r.rule_id] = ("INSUFFICIENT_EVIDENCE", "RULE_INVALID: benchmark rule in a run")
+        elif lacking and r.kind != "EXACT_ROW_DUPLICATION":
+            out[r.rule_id] = ("INSUFFICIENT_EVIDENCE", f"COLUMN_ABSENT: {', '.join(lacking)}")
+        elif r.kind == "DECLARED_REFERENTIAL_INTEGRITY" and (r.target not in tables or not set(r.target_columns) <= set(tables[r.target].columns)):
+            out[r.rule_id] = ("INSUFFICIENT_EVIDENCE", f"TARGET_ABSENT: {r.target}")
+        else:
+            try:
+                if r.kind in ROW_KINDS:
+                    tables[r.table].select(*row_marks(tables[r.table], r))
+                out[r.rule_id] = ("APPLICABLE", None)
+            except Exception as error:  # whatever a rule's own settings break
+                out[r.rule_id] = ("INSUFFICIENT_EVIDENCE", f"DETECTOR_FAILED: {type(error).__name__}")
+    return out
+
+
+def applicability_rows(spark: SparkSession, states: dict[str, tuple[str, str | None]]) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in states.items()], "rule_id string, applicability string, reason string")
+
+
 def evaluate(tables: dict[str, DataFrame], rules: list[Rule], ref: str = "_record_ref", measurement: str = "EXACT_ON_FULL_SNAPSHOT_SCOPE") -> DataFrame:
-    """(rule_id, table, kind, dimension, issue_type, severity, evaluated, affected, ratio, measurement) of all enabled rules."""
-    found = None
-    for rule in rules:
-        if not rule.enabled or rule.table not in tables:
-            continue
-        dimension, issue = DIMENSIONS[rule.kind]
-        one = affected(tables[rule.table], rule, ref, tables).agg(F.count("*").alias("evaluated"), F.count_if("affected").alias("affected"))
-        one = one.select(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.table).alias("table"),
-            F.lit(rule.kind).alias("kind"),
-            F.lit(dimension).alias("dimension"),
-            F.lit(issue).alias("issue_type"),
-            F.lit(rule.severity).alias("severity"),
-            "evaluated",
-            "affected",
-            F.try_divide("affected", "evaluated").alias("ratio"),
-            F.lit(measurement).alias("measurement"),
-        )
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    """(rule_id, table, kind, dimension, issue_type, severity, evaluated, affected, ratio, measurement) of all rules that apply.
+
+    A table's rules that judge each row alone are one aggregation of one scan; others are counted on their own.
+    """
+    states = applicability(tables, rules, runtime=False)
+    apply = [r for r in rules if states[r.rule_id][0] == "APPLICABLE"]
+    if not apply:
         raise ValueError("NO_APPLICABLE_RULES")
-    return found
+    parts = []
+    for table in sorted({r.table for r in apply}):
+        here = [r for r in apply if r.table == table and r.kind in ROW_KINDS]
+        if here:
+            marks = [row_marks(tables[table], r) for r in here]
+            one = tables[table].agg(*[F.count_if(m).alias(f"{n}{i}") for i, pair in enumerate(marks) for n, m in zip("ea", pair, strict=True)])
+            cells = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"e{i}").alias("evaluated"), F.col(f"a{i}").alias("affected")) for i, r in enumerate(here)]
+            parts.append(one.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+    for rule in apply:
+        if rule.kind not in ROW_KINDS:
+            one = affected(tables[rule.table], rule, ref, tables).agg(F.count("*").alias("evaluated"), F.count_if("affected").alias("affected"))
+            parts.append(one.select(F.lit(rule.rule_id).alias("rule_id"), "evaluated", "affected"))
+    found = reduce(lambda x, y: x.unionByName(y), parts)
+
+    def of(value) -> Column:
+        return F.element_at(F.create_map(*[x for r in apply for x in (F.lit(r.rule_id), F.lit(value(r)))]), F.col("rule_id"))
+
+    return found.select(
+        "rule_id",
+        of(lambda r: r.table).alias("table"),
+        of(lambda r: r.kind).alias("kind"),
+        of(lambda r: DIMENSIONS[r.kind][0]).alias("dimension"),
+        of(lambda r: DIMENSIONS[r.kind][1]).alias("issue_type"),
+        of(lambda r: r.severity).alias("severity"),
+        "evaluated",
+        "affected",
+        F.try_divide("affected", "evaluated").alias("ratio"),
+        F.lit(measurement).alias("measurement"),
+    )
 
 
 def issues(tables: dict[str, DataFrame], rules: list[Rule], ref: str = "_record_ref") -> DataFrame:
