@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.graph import connected_components
+
 POLICIES = ("PREFERRED_SOURCE", "MOST_RECENT_VALID", "MOST_COMPLETE", "CONSENSUS", "REVIEW_REQUIRED")
 
 
@@ -62,3 +64,33 @@ def survivors(values: DataFrame, policy: str, priority: tuple[str, ...] = ()) ->
         differ.alias("conflict"),
         F.when(~chosen, "REVIEW_REQUIRED").when(F.col("kinds") > 1, "RESOLVED_BY_POLICY").otherwise("NO_CONFLICT").alias("state"),
     )
+
+
+def memberships(clusters: DataFrame, edges: DataFrame, kind: str, max_members: int = 50) -> DataFrame:
+    """(cluster, canonical_ref, record_ref, size, state): a proposed member for each record of the clusters; all are for review.
+
+    clusters: (cluster, record_ref, decision); edges: (l, r), the links. A cluster that its own links don't hold together
+    is refused, so that a label alone proves nothing. One of more than max_members has no entity proposed.
+    """
+    sides = clusters.select(F.col("record_ref").alias("l"), F.col("cluster").alias("_a")), clusters.select(F.col("record_ref").alias("r"), F.col("cluster").alias("_b"))
+    inside = edges.join(sides[0], "l").join(sides[1], "r").where("_a = _b").select("l", "r")
+    reached = connected_components(inside, "l", "r").join(clusters.select(F.col("record_ref").alias("node"), "cluster"), "node")
+    parts = reached.groupBy("cluster").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("linked"))
+    known = clusters.groupBy("cluster").agg(F.count("*").alias("size")).join(parts, "cluster", "left")
+    whole = F.coalesce((F.col("size") == 1) | ((F.col("parts") == 1) & (F.col("linked") == F.col("size"))), F.lit(False))
+    names = clusters.join(known.where(F.col("size") <= max_members).select("cluster"), "cluster").groupBy("cluster").agg(entity_id(kind, F.collect_set("record_ref")).alias("canonical_ref"))
+    accepted = (F.col("decision") == "CANDIDATE_CLUSTER") & (F.col("size") <= max_members)
+    state = F.when(~F.col("_whole"), "REFUSED_DISCONNECTED").when(accepted, "PROPOSED").otherwise("REVIEW_REQUIRED")
+    judged = clusters.join(known.select("cluster", "size", whole.alias("_whole")), "cluster").join(names, "cluster", "left")
+    return judged.select("cluster", F.when(F.col("_whole"), F.col("canonical_ref")).alias("canonical_ref"), "record_ref", "size", state.alias("state"))
+
+
+def conflict_records(values: DataFrame) -> DataFrame:
+    """(canonical_ref, attribute, kind, candidates, values): attributes whose sources differ, with how many values and how many rows say them.
+
+    values: (canonical_ref, attribute, source_id, value). Differing texts that are the same but for case and white space
+    are a matter of form.
+    """
+    each = values.where("value IS NOT NULL").groupBy("canonical_ref", "attribute", "value").agg(F.count("*").alias("n"))
+    one = each.groupBy("canonical_ref", "attribute").agg(F.count("*").alias("candidates"), F.sum("n").alias("values"), F.countDistinct(F.lower(F.regexp_replace(F.trim("value"), r"\s+", " "))).alias("forms"))
+    return one.where("candidates > 1").select("canonical_ref", "attribute", F.when(F.col("forms") == 1, "FORMAT_CONFLICT").otherwise("VALUE_CONFLICT").alias("kind"), "candidates", "values")

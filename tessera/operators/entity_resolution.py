@@ -49,6 +49,7 @@ class Spec:
     max_cluster: int = 50
     include_review: bool = False
     u_pairs: int = 50_000
+    max_pairs: int = 10_000_000_000
     seed: int = 11
 
     def __post_init__(self):
@@ -85,6 +86,35 @@ def jaro_winkler_of(a: Column, b: Column) -> Column:
     return F.pandas_udf(_jaro_winkler_series, "double")(a, b)
 
 
+def load(records: DataFrame, ref: str = "record_ref") -> DataFrame:
+    """records, once for each reference. One reference with several contents is an error; so is none."""
+    once = settled(records.distinct())
+    if once.where(F.col(ref).isNull()).take(1):
+        raise ValueError("RECORD_WITHOUT_REFERENCE")
+    several = once.groupBy(ref).count().where("count > 1").select(ref).take(3)
+    if several:
+        raise ValueError(f"RECORD_REFERENCE_COLLISION: {[r[0] for r in several]}")
+    return once
+
+
+def pair_counts(records: DataFrame, spec: Spec) -> DataFrame:
+    """(rule, keys, pairs, most) of each blocking rule, from the keys' counts alone: what a join would make before modes and orders cut it."""
+    out = None
+    for rule in spec.blocking:
+        sizes = records.dropna(subset=list(rule)).groupBy(*rule).agg(F.count("*").alias("n"))
+        pairs = F.col("n").cast("decimal(38,0)") * (F.col("n") - 1) / 2
+        one = sizes.agg(F.lit(",".join(rule)).alias("rule"), F.count("*").alias("keys"), F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def check_budget(records: DataFrame, spec: Spec) -> None:
+    """Refuse, before any join, rules whose blocks have more pairs than the spec allows; a common value needs a narrower rule."""
+    total = pair_counts(records, spec).collect()
+    if sum(r.pairs for r in total) > spec.max_pairs:
+        raise ValueError(f"PAIR_BUDGET_EXCEEDED: {[(r.rule, r.pairs) for r in total]} > {spec.max_pairs}")
+
+
 def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> DataFrame:
     """(l, r) references of the pairs that agree on all fields of a rule, once each; nulls never agree."""
     fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule})
@@ -212,7 +242,8 @@ def clusters(edges: DataFrame, records: DataFrame, spec: Spec, ref: str = "recor
 
 def resolve(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> tuple[DataFrame, DataFrame]:
     """(scored pairs, clusters) of the records."""
-    records = settled(records)
+    records = load(records, ref)
+    check_budget(records, spec)
     pairs = settled(with_levels(candidate_pairs(records, spec, ref, source), spec))
     u = u_probabilities(records, spec, ref)
     m, prior = m_probabilities(patterns(pairs, spec), spec, u)
