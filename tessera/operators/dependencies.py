@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,30 @@ MAX_ARITY = 3
 MAX_APPROXIMATE_ERROR = 0.2
 
 
+@dataclass(frozen=True)
+class Budget:
+    """Bounds of a search. What they cut off is told as a reason, never silently."""
+
+    columns: int = 64
+    sets: int = 20_000  # column sets, over all levels
+    arity: int = MAX_ARITY
+    candidates: int = 500
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a search found, how many column sets it counted and skipped, and what its budget cut off."""
+
+    found: DataFrame
+    counted: int
+    implied: int
+    truncated: tuple[str, ...]
+
+    @property
+    def state(self) -> str:
+        return "PARTIAL" if self.truncated else "COMPLETE"
+
+
 def complete(rows: DataFrame, policy: str = "EXCLUDE", ref: str | None = None) -> DataFrame:
     """rows under a null policy: complete rows only, nulls equal, nulls unlike each other, or nulls as a text."""
     if policy == "EXCLUDE":
@@ -57,6 +84,56 @@ def unique_combinations(rows: DataFrame, columns: list[str] | None = None, max_a
     return rows.sparkSession.createDataFrame(out, "columns string, eligible long, distinct_count long, uniqueness double, duplicates long")
 
 
+def search_unique(rows: DataFrame, columns: list[str] | None = None, budget: Budget = Budget(), policy: str = "EXCLUDE") -> Search:
+    """Minimal unique combinations within a budget, smaller sets first.
+
+    A set can only be unique if the product of its columns' distinct counts reaches the row count; others aren't counted.
+    """
+    names, reasons = list(columns or rows.columns), []
+    if len(names) > budget.columns:
+        reasons.append(f"MAX_COLUMNS: {len(names)} > {budget.columns}")
+        names = names[: budget.columns]
+    eligible = complete(rows.select(*names), policy).persist()
+    total = eligible.count()
+    single: dict[str, int] = {}
+    minimal: list[tuple[str, ...]] = []
+    out, counted, implied = [], 0, 0
+    for arity in range(1, budget.arity + 1):
+        level = [c for c in combinations(names, arity) if not any(set(m) <= set(c) for m in minimal)]
+        likely = [c for c in level if arity == 1 or math.prod(single[x] for x in c) >= total]
+        implied += len(level) - len(likely)
+        if counted + len(likely) > budget.sets:
+            reasons.append(f"MAX_SETS: {counted + len(likely)} > {budget.sets} at {arity} columns")
+            likely = likely[: budget.sets - counted]
+        counts = distinct_counts(eligible, likely)
+        counted += len(likely)
+        single |= {c[0]: n for c, n in counts.items() if arity == 1}
+        for c, n in counts.items():
+            if total and n == total:
+                minimal.append(c)
+                out.append((",".join(c), total, n))
+    eligible.unpersist()
+    if len(out) > budget.candidates:
+        reasons.append(f"MAX_CANDIDATES: {len(out)} > {budget.candidates}")
+    found = rows.sparkSession.createDataFrame(out[: budget.candidates], "columns string, eligible long, distinct_count long")
+    return Search(found, counted, implied, tuple(reasons))
+
+
+def identity_candidates(rows: DataFrame, source: str, table: str, search: Search) -> DataFrame:
+    """(identity, source, table, columns, eligible, nulls, scope, state) of a source's own keys, for review; the fewest columns first.
+
+    A key with rows in which a column of it is null isn't an identity of all rows, and says so.
+    """
+    keys = search.found.collect()  # as many as the budget's candidates
+    spark = rows.sparkSession
+    if not keys:
+        return spark.createDataFrame([], "identity string, source string, table string, columns string, eligible long, nulls long, scope string, state string")
+    lacking = [F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in k.columns.split(",")])).alias(f"n{i}") for i, k in enumerate(keys)]
+    nulls = rows.agg(*lacking).first()
+    out = [(f"identity:{source}.{table}({k.columns})", source, table, k.columns, k.eligible, nulls[i], "SOURCE_LOCAL", "REVIEW_REQUIRED" if nulls[i] == 0 else "INCOMPLETE_NULL_KEYS") for i, k in enumerate(keys)]
+    return spark.createDataFrame(sorted(out, key=lambda r: (r[3].count(","), r[3])), "identity string, source string, table string, columns string, eligible long, nulls long, scope string, state string")
+
+
 def dependency_error(rows: DataFrame, left: list[str], right: str) -> DataFrame:
     """(eligible, violating_groups, error, support): what the left values leave open of the right one, per eligible row."""
     kinds = rows.groupBy(*left).agg(F.countDistinct(F.struct(right)).alias("d"), F.count("*").alias("n"))

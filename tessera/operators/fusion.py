@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,4 +133,63 @@ def dependency_signals(measured: DataFrame) -> DataFrame:
     )
     long = measured.select("subject", F.explode(cells).alias("c")).select("subject", "c.*")
     order = Window.partitionBy("subject").orderBy("metric")
-    return long.withColumn("evidence_id", F.concat_ws("#", "subject", F.row_number().over(order))).withColumn("scope", F.lit("FULL"))
+    return long.withColumn("evidence_id", F.concat_ws("#", "subject", F.row_number().over(order))).withColumn("scope", F.lit("FULL")).withColumn("family", F.lit("DEPENDENCY"))
+
+
+FAMILIES = ("SCHEMA_MATCHING", "DECLARED", "ASSERTION", "PROFILE", "QUALITY", "ML", "SEMANTIC", "DEPENDENCY")
+
+
+def signals_of(rows: DataFrame, family: str, metric: Column, value: Column, direction: Column | str = "SUPPORTS", subject: str = "subject", scope: str = "FULL") -> DataFrame:
+    """Evidence of any family in the long form (subject, metric, value, direction, evidence_id, scope, family); null values are no evidence.
+
+    An evidence's id follows from its subject, family and metric, so the same evidence taken twice is one.
+    """
+    if family not in FAMILIES:
+        raise ValueError(f"UNKNOWN_EVIDENCE_FAMILY: {family}")
+    side = F.lit(direction) if isinstance(direction, str) else direction
+    out = rows.select(F.col(subject).alias("subject"), metric.alias("metric"), value.cast("double").alias("value"), side.alias("direction")).where("value IS NOT NULL")
+    return out.withColumns({"evidence_id": F.concat_ws("#", "subject", F.lit(family.lower()), "metric"), "scope": F.lit(scope), "family": F.lit(family)})
+
+
+def deduplicated(signals: DataFrame) -> DataFrame:
+    """signals, each once; an id with several contents is an error."""
+    once = signals.distinct()
+    clash = collisions(once).select("evidence_id").take(3)
+    if clash:
+        raise ValueError(f"EVIDENCE_COLLISION: {[r[0] for r in clash]}")
+    return once
+
+
+def decisions(signals: DataFrame, policy: tuple[Dimension, ...] = RELATIONSHIP, required: tuple[str, ...] = (), conflicts: DataFrame | None = None) -> DataFrame:
+    """A decision for each subject, with what speaks for and against it; all are for review, none is taken here.
+
+    (subject, score, band, state, supports, contradicts, missing, conflicts, limitations, fingerprint). A subject lacks
+    evidence if a required dimension or a required family has none. The explanations are lists of one subject's own
+    evidence, in order. The fingerprint is that of the evidence and the policy; another one makes an old review stale.
+    """
+    found = conflicts if conflicts is not None else find_conflicts(signals)
+    scored = scores(signals, policy, found)
+    ready = normalized(signals, policy)
+    said = F.concat_ws(" ", "evidence_id", F.concat(F.lit("value="), F.format_string("%.6f", "value")), F.concat(F.lit("dimension="), F.coalesce("dimension", F.lit("none"))))
+    lists = ready.groupBy("subject").agg(
+        F.array_sort(F.collect_set(F.when(F.col("direction") == "SUPPORTS", said))).alias("supports"),
+        F.array_sort(F.collect_set(F.when(F.col("direction") == "CONTRADICTS", said))).alias("contradicts"),
+        F.array_sort(F.collect_set(F.when(F.col("normal").isNull(), F.concat("evidence_id", F.lit(": doesn't score"))))).alias("silent"),
+        F.array_sort(F.collect_set("family")).alias("families"),
+        F.sha2(F.concat_ws("|", F.lit(repr(policy)), F.array_sort(F.collect_set(F.concat_ws("=", "evidence_id", "direction", F.col("value").cast("string"))))), 256).alias("fingerprint"),
+    )
+    clashes = found.groupBy("subject").agg(F.array_sort(F.collect_set("conflict")).alias("conflicts"))
+    out = scored.join(lists, "subject").join(clashes, "subject", "left")
+    producers = F.transform(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), "families"), lambda f: F.concat(F.lit("producer:"), F.lower(f)))
+    dimensions = F.transform(F.filter(F.split("missing", ","), lambda d: d != ""), lambda d: F.concat(F.lit("dimension:"), d))
+    missing = F.array_sort(F.concat(producers, dimensions))
+    clash = F.coalesce("conflicts", F.array().cast("array<string>"))
+    state = F.when(F.size(missing) > 0, "INCOMPLETE_REQUIRED_EVIDENCE").otherwise("REVIEW_REQUIRED")
+    return out.select("subject", "score", "band", state.alias("state"), "supports", "contradicts", missing.alias("missing"), clash.alias("conflicts"), F.concat(missing, F.transform(clash, lambda c: F.concat(F.lit("conflict "), c)), "silent").alias("limitations"), "fingerprint")
+
+
+def stale_reviews(reviews: DataFrame, current: DataFrame) -> DataFrame:
+    """(subject, state) of reviews (subject, fingerprint, decision): CURRENT, STALE if the evidence has changed, or SUBJECT_GONE."""
+    now = current.select("subject", F.col("fingerprint").alias("_now"))
+    state = F.when(F.col("_now").isNull(), "SUBJECT_GONE").when(F.col("_now") != F.col("fingerprint"), "STALE").otherwise("CURRENT")
+    return reviews.join(now, "subject", "left").select("subject", "decision", state.alias("state"))

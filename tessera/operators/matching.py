@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Words that stand for each other in column names.
+#: Our own words that stand for each other in column names; a caller can give others.
 ABBREVIATIONS = {"cust": "customer", "client": "customer", "no": "number", "num": "number", "nr": "number", "id": "identifier", "code": "identifier", "qty": "quantity", "units": "quantity", "amt": "amount", "addr": "address", "tel": "phone", "dt": "date", "day": "date"}
 TOP, MAX_PAIRS, MAX_CANDIDATES = 3, 100_000, 2000
 
@@ -80,6 +80,42 @@ def ranked(pairs: DataFrame, signals: list[str], top: int = TOP) -> DataFrame:
 
 
 def candidates(ranks: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """(left, right, matchers, best_rank, score): one row for each unordered pair, the most supported first."""
+    """(left, right, matchers, best_rank, score): one row for each unordered pair, the most supported first.
+
+    The limit is the report's length; `pruning` tells how many pairs there are in all.
+    """
     one = ranks.groupBy(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).agg(F.sort_array(F.collect_set("matcher")).alias("matchers"), F.min("rank").alias("best_rank"), F.avg("score").alias("score"))
     return one.orderBy(F.size("matchers").desc(), F.desc("score"), "left", "right").limit(limit)
+
+
+def with_distributions(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs with `distribution`: 1 less the total variation distance of the two columns' value shares; values: (column, value, n).
+
+    Shares of equal values are joined, so the work grows with distinct values; what only one column has adds nothing shared.
+    """
+    totals = values.groupBy("column").agg(F.sum("n").alias("all"))
+    shares = values.join(totals, "column").select("column", "value", (F.col("n") / F.col("all")).alias("share"))
+    wanted = pairs.select("left", "right").distinct()
+    left = wanted.join(shares.withColumnsRenamed({"column": "left", "share": "_l"}), "left")
+    both = left.join(shares.withColumnsRenamed({"column": "right", "share": "_r"}), ["right", "value"])
+    one = both.groupBy("left", "right").agg(F.sum(F.least("_l", "_r")).alias("distribution"))
+    return pairs.join(one, ["left", "right"], "left").withColumn("distribution", F.coalesce("distribution", F.lit(0.0)))
+
+
+def pruning(left: DataFrame, right: DataFrame, pairs: DataFrame, ranks: DataFrame, assembled: DataFrame) -> DataFrame:
+    """(step, pairs): how many column pairs there are, fit by type, are ranked, and are candidates."""
+    steps = [left.agg(F.count("*").alias("a")).join(right.agg(F.count("*").alias("b")), F.lit(True)).select(F.lit("all").alias("step"), (F.col("a") * F.col("b")).alias("pairs"))]
+    for name, rows in (("types_fit", pairs), ("ranked", ranks.select("left", "right").distinct()), ("candidates", assembled)):
+        steps.append(rows.agg(F.count("*").alias("pairs")).select(F.lit(name).alias("step"), "pairs"))
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def evaluated(ranks: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """(matcher, truths, mrr, recall_<k>…): how high each matcher ranks the true partners; truth: (left, right). Pairs that aren't ranked count as missed."""
+    matchers = ranks.select("matcher").distinct()
+    wanted = truth.select("left", "right").distinct().join(F.broadcast(matchers))
+    hit = wanted.join(ranks.select("matcher", "left", "right", "rank"), ["matcher", "left", "right"], "left")
+    return hit.groupBy("matcher").agg(F.count("*").alias("truths"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), *[F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks])

@@ -70,6 +70,23 @@ def profile(rows: DataFrame, columns: list[str] | None = None, markers: tuple[st
     return one.select(F.explode(cells).alias("cell")).select("cell.*")
 
 
+def observed_types(rows: DataFrame, columns: list[str] | None = None, markers: tuple[str, ...] = ()) -> DataFrame:
+    """(column, primitive, n): what the present values of each column are; texts are judged by what they can be read as.
+
+    One scan: a count for each column and type, the types being few.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    cells = []
+    for name in columns or rows.columns:
+        value = present(name, kinds[name], markers)
+        kind = F.lit(primitive(kinds[name]))
+        if isinstance(kinds[name], StringType):
+            text = F.trim(value)
+            kind = F.when(text.rlike(r"^[+-]?[0-9]+\z"), "integer").when(text.rlike(r"^[+-]?(?:[0-9]+\.[0-9]*|\.?[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), "real").when(F.lower(text).isin("true", "false"), "boolean").when(iso_timestamp(text).isNotNull(), "datetime").otherwise("string")
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), kind.alias("primitive"))))
+    return rows.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.column", "c.primitive").agg(F.count("*").alias("n"))
+
+
 def value_counts(rows: DataFrame, columns: list[str], markers: tuple[str, ...] = ()) -> DataFrame:
     """(column, value, n): how often each present value stands in each column; one scan, then partial counts."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}

@@ -185,19 +185,25 @@ def accounting_by_source(inputs: DataFrame, facts: DataFrame, quarantine: DataFr
     return out.withColumn("unresolved", F.col("input") - F.col("emitted") - F.col("quarantined"))
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> dict:
-    """Write all tables, read their counts back, and write the manifest last: without it, readers see nothing."""
+def publish(tables: dict[str, DataFrame], folder: str, source: str = "") -> dict:
+    """Write all tables, read their counts back, and write the manifest last: without it, readers see nothing.
+
+    source is a mark of what the tables were made from; readers can hold it against the source's present mark.
+    """
     spark = next(iter(tables.values())).sparkSession
     counts = {}
     for name, rows in sorted(tables.items()):
         rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
         counts[name] = spark.read.parquet(f"{folder}/{name}").count()
-    spark.createDataFrame([(json.dumps({"tables": counts}, sort_keys=True),)], "manifest string").coalesce(1).write.mode("errorifexists").text(f"{folder}/_manifest")
+    spark.createDataFrame([(json.dumps({"tables": counts, "source": source}, sort_keys=True),)], "manifest string").coalesce(1).write.mode("errorifexists").text(f"{folder}/_manifest")
     return counts
 
 
-def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    counts = json.loads(spark.read.text(f"{folder}/_manifest").first()[0])["tables"]
-    if name not in counts:
+def read_published(spark: SparkSession, folder: str, name: str, source: str | None = None) -> DataFrame:
+    """A published table; with a source's mark, only if the table was made from what has that mark."""
+    manifest = json.loads(spark.read.text(f"{folder}/_manifest").first()[0])
+    if source is not None and manifest["source"] != source:
+        raise StarError("STALE_TARGET", folder)
+    if name not in manifest["tables"]:
         raise StarError("UNKNOWN_TABLE", name)
     return spark.read.parquet(f"{folder}/{name}")

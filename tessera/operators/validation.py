@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,11 +48,51 @@ def grain_sets(expected: DataFrame, observed: DataFrame, keys: list[str]) -> Dat
 
 
 def values(expected: DataFrame, observed: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of both sides whose columns differ, compared tolerantly."""
-    right = observed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    joined = expected.join(right, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    """Rows whose columns differ, compared tolerantly, and rows that one side lacks."""
+    right = observed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)], F.lit(True).alias("_right"))
+    joined = expected.withColumn("_left", F.lit(True)).join(right, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "full")
     differ = reduce(lambda x, y: x | y, [~same(F.col(c), F.col(f"_v{i}")) for i, c in enumerate(columns)])
-    return check("values", joined.where(differ))
+    return check("values", joined.where(differ | F.col("_left").isNull() | F.col("_right").isNull()))
+
+
+def table_set(expected: Iterable[str], observed: DataFrame) -> DataFrame:
+    """Tables that are missing, and tables too many; observed: (table)."""
+    wanted = observed.sparkSession.createDataFrame([(t,) for t in sorted(set(expected))], "table string")
+    found = observed.select("table").distinct()
+    return check("tables", wanted.join(found, "table", "left_anti").unionByName(found.join(wanted, "table", "left_anti")))
+
+
+def fact_count(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """By how many rows the counts differ."""
+    one = expected.agg(F.count("*").alias("e")).join(observed.agg(F.count("*").alias("o")), F.lit(True)).select(F.abs(F.col("e") - F.col("o")).alias("discrepancies"))
+    return one.select(F.lit("fact_count").alias("check"), F.when(F.col("discrepancies") == 0, "PASS").otherwise("FAIL").alias("status"), "discrepancies", F.lit("BLOCKING").alias("severity"))
+
+
+def allocation(rows: DataFrame, fact: DataFrame, grain: list[str], references: dict[str, tuple[Column, DataFrame, str]]) -> DataFrame:
+    """Facts of which no source row of their grain says that they point where they do.
+
+    references: by fact column, (source reference, dimension, its key). References to no member are another check's business.
+    """
+    left = rows.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(grain)], *[c.cast("string").alias(f"_e{i}") for i, (c, _, _) in enumerate(references.values())])
+    told = fact.select(*grain, *references)
+    on = [F.col(g) == F.col(f"_g{i}") for i, g in enumerate(grain)]
+    for i, (column, (_, dimension, key)) in enumerate(references.items()):
+        members = dimension.select(F.col(key).alias(f"_k{i}"), F.col("canonical_ref").alias(f"_c{i}"))
+        told = told.join(members, F.col(column) == F.col(f"_k{i}"), "left")
+        on.append(F.col(f"_c{i}").isNull() | F.col(f"_c{i}").eqNullSafe(F.col(f"_e{i}")))
+    return check("allocation", told.join(left, on, "left_anti"))
+
+
+def semantic_cross_check(asked: DataFrame, expected: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """Groups in which a metric's answer isn't what the expectation says, one-sided groups included."""
+    one = values(expected.select(*keys, metric), asked.select(*keys, metric), keys, [metric])
+    return one.withColumn("check", F.lit(f"semantic:{metric}"))
+
+
+def monetary_status(measures: Iterable[str], forbidden: Iterable[str], evidence: Iterable[str] = ()) -> tuple[str, list[str]]:
+    """Whether measures of money may be told: those that are forbidden, without evidence for them, aren't validated."""
+    open_ones = sorted((set(measures) & set(forbidden)) - set(evidence))
+    return ("NOT_VALIDATED", open_ones) if open_ones else ("VALIDATED", [])
 
 
 def date_coverage(days: DataFrame, column: str, dimension: DataFrame) -> DataFrame:
@@ -84,10 +125,12 @@ def lineage(sources: DataFrame, ref: str, target: DataFrame, column: str = "sour
 
 def membership(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Groups (group, member) that differ as sets, whatever their names."""
-    def sets(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("group").agg(F.array_sort(F.collect_set("member")).alias("members")).select("members")
+    # a group is known by the count, sum and other sum of its members' hashes, so that none is gathered in a row
+    def prints(rows: DataFrame) -> DataFrame:
+        one, other = F.xxhash64("member").cast("decimal(38,0)"), F.xxhash64("member", F.lit(1)).cast("decimal(38,0)")
+        return rows.select("group", "member").distinct().groupBy("group").agg(F.count("*").alias("n"), F.sum(one).alias("s"), F.sum(other).alias("t")).select("n", "s", "t")
 
-    a, b = sets(expected), sets(observed)
+    a, b = prints(expected), prints(observed)
     return check("membership", a.exceptAll(b).unionByName(b.exceptAll(a)))
 
 

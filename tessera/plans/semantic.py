@@ -251,3 +251,34 @@ def plan(model: Model, request: Request) -> Plan:
 
 def query(model: Model, tables: dict[str, DataFrame], request: Request) -> DataFrame:
     return plan(model, request).run(tables)
+
+
+# The names of attribute types, by the start of a Spark type's name.
+TYPES = (("bigint", "BIGINT"), ("int", "INTEGER"), ("smallint", "INTEGER"), ("tinyint", "INTEGER"), ("decimal", "DECIMAL"), ("double", "FLOAT"), ("float", "FLOAT"), ("boolean", "BOOLEAN"), ("date", "DATE"), ("timestamp", "DATETIME"))
+
+
+def build_model(dimensions: dict[str, DataFrame], fact: str, table: str, keys: dict[str, str], dates: dict[str, str], measures: dict[str, tuple[str | None, str, str]], hierarchies: dict[str, tuple[str, ...]] | None = None) -> Model:
+    """A model from a star's parts: dimension tables, whose first column is the key; the fact's keys by column, its date keys by role.
+
+    measures: column, additivity and reviewed rule of each, which says what may be asked of it; a measure without an
+    operation isn't queryable and left out. Canonical references are no attributes to be shown.
+    """
+    out = []
+    for name, rows in dimensions.items():
+        key = rows.columns[0]
+        attributes = tuple(Attribute(f"{name}.{c}", c, next((t for start, t in TYPES if kind.startswith(start)), "STRING"), exposed=c != "canonical_ref") for c, kind in rows.dtypes if c != key)
+        levels = tuple(f"{name}.{c}" for c in (hierarchies or {}).get(name, ()))
+        unknown = sorted(set(levels) - {a.id for a in attributes})
+        if unknown:
+            raise SemanticError("UNKNOWN_HIERARCHY_LEVEL", ",".join(unknown))
+        out.append(DimensionModel(name, f"dim_{name}", key, attributes, levels))
+    lacking = sorted(set(keys.values()) - set(dimensions))
+    if lacking or dates and "date" not in dimensions:
+        raise SemanticError("UNKNOWN_DIMENSION", ",".join(lacking) or "date")
+    relationships = tuple(Relationship(d, c) for c, d in keys.items()) + tuple(Relationship("date", c, time_role=role) for role, c in dates.items())
+    metrics = []
+    for name, (column, additivity, rule) in measures.items():
+        operations = ("COUNT",) if column is None else operations_of(additivity, rule)
+        if operations:
+            metrics.append(Metric(name, column, additivity, operations))
+    return Model(tuple(out), (FactModel(fact, table, tuple(metrics), relationships),))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +132,38 @@ def bounded(rows: DataFrame, max_rows: int | None, key: list[str]) -> tuple[Data
     return rows.orderBy(*key).limit(max_rows), "FULLY_OBSERVED" if whole else "PARTIALLY_OBSERVED"
 
 
+def bounded_source(tables: dict[str, DataFrame], max_rows: int, keys: dict[str, list[str]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables within one bound of rows for the whole source, in the order of their names, and (table, rows, kept, scope) of each.
+
+    Counts come first, so that a table's share is known before any of its rows is read.
+    """
+    counts = {t: tables[t].count() for t in sorted(tables)}
+    kept, report, left = {}, [], max_rows
+    for t, n in counts.items():
+        take = min(n, left)
+        left -= take
+        kept[t] = tables[t] if take == n else tables[t].orderBy(*keys[t]).limit(take)
+        report.append((t, n, take, "FULLY_OBSERVED" if take == n else "PARTIALLY_OBSERVED" if take else "NOT_OBSERVED"))
+    spark = next(iter(tables.values())).sparkSession
+    return kept, spark.createDataFrame(report, "table string, rows long, kept long, scope string")
+
+
+def source_mark(spark: SparkSession, path: str) -> str:
+    """A digest of a source's files, their sizes and times, from the file system alone: another one means that the source has changed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in store.listStatus(where)]
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def explained(rows: DataFrame, max_rows: int | None = None) -> dict:
+    """What a read would do, without doing it: its columns, the filters that reach the scan, and its bound."""
+    plan = (rows if max_rows is None else rows.limit(max_rows))._jdf.queryExecution().executedPlan().toString()
+    pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
+    schema = re.findall(r"ReadSchema: struct<([^\n]*)>", plan)
+    return {"columns": rows.columns, "read": [c.split(":")[0] for x in schema for c in x.split(",") if c], "filters": [f for x in pushed for f in x.split(", ") if f], "bound": max_rows, "representative": max_rows is None}
+
+
 def hash_sample(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     """The rows with the smallest seeded hashes of their key: a top-k, the same whatever the partitioning."""
     return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(size)
