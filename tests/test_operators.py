@@ -426,3 +426,90 @@ def test_privacy(spark):
     log = one(spark.range(1).select(privacy.sanitized(F.lit("x password=abc y")).alias("l"))).l
     assert log == "x <REDACTED_SECRET> y"
     assert one(spark.range(1).select(privacy.exposure(F.lit("UNKNOWN"), "EXTERNAL_PROCESSING").alias("e"))).e == "BLOCK"
+
+
+# --- budgets, reviews, reads ----------------------------------------------------------------------------------------
+
+
+def test_bootstrap_intervals(spark):
+    rows = spark.createDataFrame([(g, float(g % 7) + d) for g in range(60) for d in (0.0, 1.0)] + [(None, 9.0)], "g int, v double")
+    got, again = (one(evaluation.mean_interval(rows.repartition(n), "g", "v", 3, 300)) for n in (2, 7))
+    want = sum(g % 7 + 0.5 for g in range(60)) / 60
+    assert abs(got.point - want) < 1e-9 and got.groups == 60 and (got.lower, got.upper) == (again.lower, again.upper)
+    spread = 1.96 * (sum((g % 7 + 0.5 - want) ** 2 for g in range(60)) / 60 / 60) ** 0.5
+    assert got.lower < want < got.upper and 0.7 < (got.upper - got.lower) / (2 * spread) < 1.3
+    assert one(evaluation.mean_interval(rows.limit(0), "g", "v")).status == "INSUFFICIENT_GROUPS_FOR_INTERVAL"
+
+
+def test_searches_tell_what_their_budget_cut_off(spark):
+    rows = spark.createDataFrame([(i, i % 4, i // 4, i % 2, None if i == 3 else i) for i in range(16)], "a int, b int, c int, d int, e int")
+    whole = dependencies.search_unique(rows.drop("e"))
+    assert {r.columns for r in whole.found.collect()} == {"a", "b,c"} and whole.state == "COMPLETE" and whole.implied > 0
+    cut = dependencies.search_unique(rows.drop("e"), budget=dependencies.Budget(columns=3, sets=3, candidates=1))
+    assert cut.state == "PARTIAL" and [t.split(":")[0] for t in cut.truncated] == ["MAX_COLUMNS", "MAX_SETS"] and cut.counted == 3
+    keys = dependencies.identity_candidates(rows, "s", "t", dependencies.search_unique(rows, budget=dependencies.Budget(arity=1))).collect()
+    assert [(r.columns, r.nulls, r.state) for r in keys] == [("a", 0, "REVIEW_REQUIRED"), ("e", 1, "INCOMPLETE_NULL_KEYS")]
+
+
+def test_records_and_pairs_have_bounds(spark):
+    rows = spark.createDataFrame([("r1", "s", "x"), ("r1", "s", "x"), ("r2", "t", "x"), ("r3", "t", "x")], "record_ref string, source_id string, name string")
+    assert entity_resolution.load(rows).count() == 3
+    for bad, code in ((("r1", "s", "y"), "RECORD_REFERENCE_COLLISION"), ((None, "s", "y"), "RECORD_WITHOUT_REFERENCE")):
+        with pytest.raises(ValueError, match=code):
+            entity_resolution.load(rows.unionByName(spark.createDataFrame([bad], rows.schema)))
+    spec = entity_resolution.Spec((entity_resolution.Comparison("name"),), (("name",),), max_pairs=2)
+    with pytest.raises(ValueError, match="PAIR_BUDGET_EXCEEDED"):
+        entity_resolution.resolve(rows, spec)
+
+
+def test_reviews_are_of_their_evidence(spark):
+    schema = "subject string, metric string, value double, direction string, evidence_id string, scope string, family string"
+    rows = spark.createDataFrame([("s", "inclusion_coverage", 1.0, "SUPPORTS", "e1", "FULL", "DEPENDENCY"), ("s", "target_uniqueness", 0.5, "CONTRADICTS", "e2", "FULL", "DEPENDENCY"), ("s", "declared_foreign_key", 1.0, "SUPPORTS", "e3", "FULL", "DECLARED")], schema)
+    before, after = one(fusion.decisions(rows)), one(fusion.decisions(rows.where("evidence_id <> 'e3'")))
+    assert (before.state, before.missing, before.conflicts) == ("INCOMPLETE_REQUIRED_EVIDENCE", ["dimension:type_compatibility"], ["DECLARED_DATA_CONFLICT"]) and before.band == "CONFLICTED"
+    assert before.contradicts == ["e2 value=0.500000 dimension=target_uniqueness"] and before.fingerprint != after.fingerprint
+    reviews = spark.createDataFrame([("s", before.fingerprint, "ACCEPTED"), ("gone", "x", "REJECTED")], "subject string, fingerprint string, decision string")
+    assert {r.subject: r.state for r in fusion.stale_reviews(reviews, fusion.decisions(rows)).collect()} == {"s": "CURRENT", "gone": "SUBJECT_GONE"}
+    assert {r.subject: r.state for r in fusion.stale_reviews(reviews, fusion.decisions(rows.where("evidence_id <> 'e3'"))).collect()}["s"] == "STALE"
+    with pytest.raises(ValueError, match="EVIDENCE_COLLISION"):
+        fusion.deduplicated(rows.unionByName(rows.where("evidence_id = 'e1'").withColumn("value", F.lit(0.5))))
+    with pytest.raises(ValueError, match="UNKNOWN_EVIDENCE_FAMILY"):
+        fusion.signals_of(rows, "RUMOUR", F.col("metric"), F.col("value"))
+
+
+def test_large_clusters_have_no_entity(spark):
+    clusters = spark.createDataFrame([(1, f"r{i}", "CANDIDATE_CLUSTER") for i in range(6)] + [(2, "x", "CANDIDATE_CLUSTER")], "cluster int, record_ref string, decision string")
+    edges = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(5)], "l string, r string")
+    got = canonical.memberships(clusters, edges, "k", 5).collect()
+    assert {(r.cluster, r.state, r.canonical_ref is None) for r in got} == {(1, "REVIEW_REQUIRED", True), (2, "PROPOSED", False)}
+    kept = canonical.memberships(clusters, edges, "k").collect()
+    assert len({r.canonical_ref for r in kept if r.cluster == 1}) == 1 and all(r.state == "PROPOSED" for r in kept)
+
+
+def test_published_tables_know_their_source(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    rows.write.parquet(str(tmp_path / "source"))
+    mark = files.source_mark(spark, str(tmp_path / "source"))
+    star.publish({"t": rows}, str(tmp_path / "star"), mark)
+    assert star.read_published(spark, str(tmp_path / "star"), "t", mark).count() == 1 and files.source_mark(spark, str(tmp_path / "source")) == mark
+    rows.write.mode("append").parquet(str(tmp_path / "source"))
+    with pytest.raises(star.StarError, match="STALE_TARGET"):
+        star.read_published(spark, str(tmp_path / "star"), "t", files.source_mark(spark, str(tmp_path / "source")))
+    read = files.explained(spark.read.parquet(str(tmp_path / "source")).where("k = 1").select("k"), 5)
+    assert read["columns"] == read["read"] == ["k"] and any("EqualTo(k,1)" in f for f in read["filters"]) and not read["representative"]
+
+
+def test_models_follow_from_stars(spark):
+    dims = {"date": spark.createDataFrame([], "date_key long, canonical_ref string, full_date date, year int"), "shop": spark.createDataFrame([], "shop_key long, canonical_ref string, name string")}
+    build = lambda **k: semantic.build_model(dims, "f", "fact_f", {"shop_key": "shop"}, {"sold": "sold_key"}, {"units": ("units", semantic.ADDITIVE, "SUM(units)"), "level": ("level", semantic.SEMI_ADDITIVE, "MAX(level)"), "ratio": ("ratio", semantic.NON_ADDITIVE, "AT GRAIN"), "rows": (None, semantic.ADDITIVE, "")}, **k)
+    model = build(hierarchies={"date": ("year", "full_date")})
+    assert [(m.id, m.operations) for m in model.facts[0].metrics] == [("units", ("SUM",)), ("level", ("MAX",)), ("rows", ("COUNT",))]
+    assert [(a.id, a.type, a.exposed) for a in model.dimensions[0].attributes] == [("date.canonical_ref", "STRING", False), ("date.full_date", "DATE", True), ("date.year", "INTEGER", True)]
+    with pytest.raises(semantic.SemanticError, match="UNKNOWN_HIERARCHY_LEVEL"):
+        build(hierarchies={"date": ("week",)})
+
+
+def test_one_sided_rows_are_discrepancies(spark):
+    a, b = (spark.createDataFrame([(k, 1.0) for k in ks], "k int, v double") for ks in ((1, 2, 3), (2, 3, 4, 5)))
+    assert one(validation.values(a, b, ["k"], ["v"])).discrepancies == 3 and one(validation.fact_count(a, b)).discrepancies == 1
+    assert validation.monetary_status(["units", "gmv"], ["gmv", "revenue"]) == ("NOT_VALIDATED", ["gmv"]) and validation.monetary_status(["units"], ["gmv"]) == ("VALIDATED", [])
