@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 1 << 20  # text handled at once by the numpy code; one longer text is handled alone
+SLICE_BYTES = 1 << 18  # text handled at once by the numpy code; one longer text is handled alone
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64

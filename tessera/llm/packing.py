@@ -15,7 +15,6 @@ import re
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -29,9 +28,11 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 STEP_WINDOWS = 32
-CACHE_BYTES = 48 << 20  # of words and ids that a worker keeps, twice that with those still in use
+CACHE_BYTES = 40 << 20  # of words and ids that a worker keeps, twice that with those still in use
 ENTRY_BYTES = 180  # what an entry takes beside its word and ids
 LONG_PART = 64
+BATCH_WORDS = 4096
+SLICE_BYTES = 1 << 20  # of text, whose unknown words are learnt together
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -39,7 +40,7 @@ SCHEMA = (
 )
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids, as little-endian bytes, of the parts of texts.
 
     The tokenizer drops white space, lowers letters and divides letters from signs before it looks at words, so a
@@ -52,48 +53,49 @@ class WordIds(dict):
     def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit, self.size = Tokenizer.from_file(path), limit, 0
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.long: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        return self.long[part]
-
-    def learn(self, parts: set[str]) -> None:
-        """Make all parts known, until more are learnt."""
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Make all parts known, until more are learnt; those too long to be kept are given back."""
         if self.size >= self.limit:
-            self.older, self.size = dict(self), 0
-            self.clear()
-        self.long, older = {}, self.older
+            self.older, self.known, self.size = self.known, {}, 0
+        known, older = self.known, self.older
+        new = parts.difference(known)
+        again = {p: older[p] for p in new.intersection(older)} if older else {}
+        self.keep(again)
         asked, closed = set(), {}
-        for part in parts:
-            if part in self:
-                continue
-            if part in older:
-                self[part] = older[part]
-            elif part[-1:] in SIGNS and CLOSED.search(part) and not ODD_CASES.search(part) and unicodedata.is_normalized("NFC", part):
+        for part in new.difference(again):
+            if part[-1:] in SIGNS and CLOSED.search(part) and not ODD_CASES.search(part) and unicodedata.is_normalized("NFC", part):
                 closed[part] = part[:-1]  # a closing sign's ids don't depend on the word; in odd texts they do
             else:
                 asked.add(part)
-        asked.update(w for w in {*closed.values(), *SIGNS} if w not in self and w not in older)
-        asked = sorted(asked, key=len)
-        codes = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-        short = bisect_right(asked, LONG_PART, key=len)
-        self.keep(dict(zip(asked[:short], codes[:short], strict=True)))
-        self.long = dict(zip(asked[short:], codes[short:], strict=True))
-        whole = {p: (self[w] if w in self else older[w] if w in older else self.long[w]) + (self[p[-1]] if p[-1] in self else older[p[-1]]) for p, w in closed.items()}
-        self.long.update({p: whole.pop(p) for p in [p for p in whole if len(p) > LONG_PART]})
+        asked.update(w for w in {*closed.values(), *SIGNS} if w not in known and w not in older)
+        words = list(asked)
+        found, long = {}, {}
+        for at in range(0, len(words), BATCH_WORDS):  # the tokenizer's own results are far larger than the ids
+            some = words[at : at + BATCH_WORDS]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                (found if len(word) <= LONG_PART else long)[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.keep(found)
+        whole = {p: (known[w] if w in known else older[w] if w in older else long[w]) + (known[p[-1]] if p[-1] in known else older[p[-1]]) for p, w in closed.items()}
+        long |= {p: whole.pop(p) for p in [p for p in whole if len(p) > LONG_PART]}
         self.keep(whole)
+        return long
 
     def keep(self, found: dict[str, bytes]) -> None:
-        self.update(found)
+        self.known.update(found)
         self.size += ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if unicodedata.is_normalized("NFC", t) and not ODD_CASES.search(t) else t).replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, parts)) for parts in split]
+        long = self.learn(set().union(*split))
+        self.known.update(long)
+        codes = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        for part in long:
+            del self.known[part]
+        return codes
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -259,7 +261,7 @@ def pack(
 
         for batch in batches:
             array, keys = strings(batch, "text"), batch.column("id").to_pylist()
-            for a, b in slices(array):
+            for a, b in slices(array, SLICE_BYTES):
                 for key, code in zip(keys[a:b], coder.encode_all(array.slice(a, b - a).to_pylist()), strict=True):
                     ids.append(key)
                     codes.append(code + tail)
