@@ -539,7 +539,7 @@ def test_long_words_stay_out_of_the_cache():
     coder = packing.WordIds(PATH, 10_000)
     for i in range(50):
         coder.encode(f"x{i} " + "ab" * 5000 + str(i))
-    assert max(map(len, coder)) <= packing.LONG_PART and sum(packing.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in coder.items()) <= 11_000
+    assert max(map(len, coder.known)) <= packing.LONG_PART and sum(packing.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in coder.known.items()) <= 11_000
 
 
 # --- 8: classifier -----------------------------------------------------------------------------------------------------
