@@ -19,6 +19,9 @@ from tessera.llm.packing import pack
 from tessera.llm.secrets import redacted
 
 
+CACHE_BYTES = 40 << 20  # for words; the workers have the other stages' memory beside it
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of the documents at hand, predicts to be good.
 
@@ -60,7 +63,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts give their end id; repeated rows, and rows without an id, are packed as they come.
     """
-    return pack(in_mixed_order(docs), public_tokenizers.path("word_bpe_49k.json"), in_order=True)
+    return pack(in_mixed_order(docs), public_tokenizers.path("word_bpe_49k.json"), in_order=True, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

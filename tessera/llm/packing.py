@@ -28,7 +28,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 STEP_WINDOWS = 32
-CACHE_BYTES = 40 << 20  # of words and ids that a worker keeps, twice that with those still in use
+CACHE_BYTES = 112 << 20  # of words and ids that a worker keeps, twice that with those still in use
 ENTRY_BYTES = 180  # what an entry takes beside its word and ids
 LONG_PART = 64
 BATCH_WORDS = 4096
@@ -106,15 +106,15 @@ ODD_CASES = re.compile("[\u03a3\u0130]")
 SIGNS = ".,;:!?"
 #: One sign after a letter, at a part's end.
 CLOSED = re.compile(r"[^\W\d_][.,;:!?]\Z")
-_CODERS: dict[str, WordIds] = {}
+_CODERS: dict[tuple[str, int], WordIds] = {}
 
 
-def coder_for(path: str) -> WordIds:
+def coder_for(path: str, limit: int) -> WordIds:
     """One cache for each Python worker process; workers serve many tasks."""
-    if path not in _CODERS:
+    if (path, limit) not in _CODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+        _CODERS[path, limit] = WordIds(path, limit)
+    return _CODERS[path, limit]
 
 
 class Pieces:
@@ -214,6 +214,7 @@ def pack(
     shard_tokens: int = SHARD_TOKENS,
     step_windows: int = STEP_WINDOWS,
     in_order: bool = False,
+    cache_bytes: int = CACHE_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -221,7 +222,7 @@ def pack(
 
     A null text counts as empty and still gives its end id. A null id is kept as null. Repeated rows are packed as
     often as they come. An empty table gives no rows. Other columns are ignored. Windows hold at most the largest
-    tier's tokens, and words of any length are encoded whole; `window` is the length that a window is padded to. With in_order, the sequences and steps of a shard
+    tier's tokens, and words of any length are encoded whole; `window` is the length that a window is padded to. cache_bytes bounds the words that a worker keeps, for speed alone. With in_order, the sequences and steps of a shard
     follow its documents, and those of a table in ranges follow the ranges; else steps are balanced over the shard.
     """
     tail = end_id.to_bytes(4, "little")
@@ -230,7 +231,7 @@ def pack(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = coder_for(tokenizer_path)
+        coder = coder_for(tokenizer_path, cache_bytes)
         ids: list[int | None] = []
         codes: list[bytes] = []
         held = sequences = steps = 0
