@@ -63,7 +63,7 @@ class WordIds:
             self.older, self.known, self.size = self.known, {}, 0
         known, older = self.known, self.older
         new = parts.difference(known)
-        again = {p: older[p] for p in new.intersection(older)} if older else {}
+        again = {p: older[p] for p in new if p in older}
         self.keep(again)
         asked, closed = set(), {}
         for part in new.difference(again):
