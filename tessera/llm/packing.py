@@ -12,27 +12,28 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import struct
 import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings, text_or_empty
+from .common import mix64, slices, span_hashes, strings, text_or_empty
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 STEP_WINDOWS = 32
-CACHE_BYTES = 112 << 20  # of words and ids that a worker keeps, twice that with those still in use
-ENTRY_BYTES = 180  # what an entry takes beside its word and ids
-LONG_PART = 64
+CACHE_BYTES = 112 << 20  # of words and ids that a worker keeps
+LONG_PART = 64  # bytes of a word above which it isn't kept
 BATCH_WORDS = 4096
-SLICE_BYTES = 1 << 20  # of text, whose unknown words are learnt together
+SLICE_BYTES = 1 << 20  # of text, encoded together
+STRETCH_BYTES = 1 << 20  # of text, whose words are looked up together
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -40,62 +41,142 @@ SCHEMA = (
 )
 
 
+def runs(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[at : at + n] for each at and n, end to end."""
+    return values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+ENTRY = np.dtype([("check", "<u8"), ("at", "<i8"), ("n", "<i8"), ("word_at", "<i8"), ("size", "<i8"), ("used", "?")])
+ENTRY_BYTES = 8 + ENTRY.itemsize  # what an entry takes beside its word and ids
+
+
 class WordIds:
     """Token ids, as little-endian bytes, of the parts of texts.
 
     The tokenizer drops white space, lowers letters and divides letters from signs before it looks at words, so a
-    text's ids are those of its parts end to end, and those of a word with a closing sign are the word's and the sign's.
+    text's ids are those of its parts end to end, and those of a word with a closing sign after a letter of ASCII are the
+    word's and the sign's.
     Texts with letters that change with what surrounds them stay as they are but for white space. Parts that aren't
-    known yet are encoded by the tokenizer, many at once. The cache is bounded by bytes; when it is full, it starts anew
-    and takes over what is still in use, and long parts never enter it. That changes the speed alone.
+    known yet are encoded by the tokenizer, many at once. The cache is a sorted table of hashes; two hashes of 64 bits
+    tell parts apart. It is bounded by bytes: when it is full, only parts looked up since the last time stay, and long
+    parts never enter it. That changes the speed alone.
     """
 
     def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.size = Tokenizer.from_file(path), limit, 0
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Make all parts known, until more are learnt; those too long to be kept are given back."""
-        if self.size >= self.limit:
-            self.older, self.known, self.size = self.known, {}, 0
-        known, older = self.known, self.older
-        new = parts.difference(known)
-        again = {p: older[p] for p in new if p in older}
-        self.keep(again)
-        asked, closed = set(), {}
-        for part in new.difference(again):
-            if part[-1:] in SIGNS and CLOSED.search(part) and not ODD_CASES.search(part) and unicodedata.is_normalized("NFC", part):
-                closed[part] = part[:-1]  # a closing sign's ids don't depend on the word; in odd texts they do
-            else:
-                asked.add(part)
-        asked.update(w for w in {*closed.values(), *SIGNS} if w not in known and w not in older)
-        words = list(asked)
-        found, long = {}, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.keys, self.entries = np.zeros(0, np.uint64), np.zeros(0, ENTRY)
+        self.words, self.pool = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The words and ids that the cache holds."""
+        e = self.entries
+        ends = zip(e["word_at"].tolist(), e["size"].tolist(), e["at"].tolist(), e["n"].tolist(), strict=True)
+        return {self.words[w : w + size].tobytes().decode(): self.pool[at : at + n].tobytes() for w, size, at, n in ends}
+
+    def trim(self) -> None:
+        if ENTRY_BYTES * len(self.keys) + self.words.nbytes + self.pool.nbytes < self.limit:
+            return
+        kept = np.flatnonzero(self.entries["used"])
+        if 2 * len(kept) > len(self.keys):
+            kept = kept[:0]
+        e = self.entries[kept]
+        self.keys, self.entries = self.keys[kept], e
+        self.words, self.pool = runs(self.words, e["word_at"], e["size"]), runs(self.pool, e["at"], e["n"])
+        e["word_at"], e["at"], e["used"] = np.cumsum(e["size"]) - e["size"], np.cumsum(e["n"]) - e["n"], False
+
+    def look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each part are, and how many; the parts are different, and their keys ascend."""
+        self.trim()
+        place = np.searchsorted(self.keys, keys)
+        near = np.minimum(place, max(len(self.keys) - 1, 0))
+        same = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        hit = same.copy()
+        hit[same] = self.entries["check"][near[same]] == checks[same]
+        self.entries["used"][near[hit]] = True
+        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[hit], n[hit] = self.entries["at"][near[hit]], self.entries["n"][near[hit]]
+        new = np.flatnonzero(~hit)
+        keep = ~same[new] & (ends[new] - starts[new] <= LONG_PART)
+        new = np.concatenate([new[keep], new[~keep]])  # those that the cache keeps come first
+        data = raw.tobytes()
+        found, n[new] = self.encoded([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        at[new] = len(self.pool) + np.cumsum(n[new]) - n[new]
+        ids, kept = np.concatenate([self.pool, found]), new[: keep.sum()]
+        rows, sizes = np.zeros(len(kept), ENTRY), ends[kept] - starts[kept]
+        rows["check"], rows["at"], rows["n"], rows["size"], rows["used"] = checks[kept], at[kept], n[kept], sizes, True
+        rows["word_at"] = len(self.words) + np.cumsum(sizes) - sizes
+        self.words = np.concatenate([self.words, runs(raw, starts[kept], sizes)])
+        self.keys, self.entries = np.insert(self.keys, place[kept], keys[kept]), np.insert(self.entries, place[kept], rows)
+        self.pool = ids if len(kept) == len(new) else ids[: len(self.pool) + n[kept].sum()].copy()
+        return ids, at, n
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokenizer's ids of the words end to end, and how many each has."""
+        found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for at in range(0, len(words), BATCH_WORDS):  # the tokenizer's own results are far larger than the ids
             some = words[at : at + BATCH_WORDS]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (found if len(word) <= LONG_PART else long)[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        self.keep(found)
-        whole = {p: (known[w] if w in known else older[w] if w in older else long[w]) + (known[p[-1]] if p[-1] in known else older[p[-1]]) for p, w in closed.items()}
-        long |= {p: whole.pop(p) for p in [p for p in whole if len(p) > LONG_PART]}
-        self.keep(whole)
-        return long
-
-    def keep(self, found: dict[str, bytes]) -> None:
-        self.known.update(found)
-        self.size += ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
+            joined = f" {MARK} ".join(some)
+            if len(self.mark) == 1 and joined.count(MARK) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                marks = np.flatnonzero(ids == self.mark[0])
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+                found.append(np.delete(ids, marks))
+            else:
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.array([len(ids) for ids in lists], np.int64))
+                found.append(np.array(list(chain.from_iterable(lists)), "<u4"))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if unicodedata.is_normalized("NFC", t) and not ODD_CASES.search(t) else t).replace("\n", " ").split(" ") for t in texts]
-        long = self.learn(set().union(*split))
-        self.known.update(long)
-        codes = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
-        for part in long:
-            del self.known[part]
-        return codes
+        plain = [unicodedata.is_normalized("NFC", t) and not ODD_CASES.search(t) for t in texts]
+        coded = [(t.lower() if lower else t).encode() for t, lower in zip(texts, plain, strict=True)]
+        data = b"\n".join(coded)
+        starts = np.cumsum([0, *[len(c) + 1 for c in coded]])
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        small = np.array(plain, bool)
+        for at, stop in stretches(data):
+            found, sizes, places = self.encode_stretch(data[at:stop], starts - at, small)
+            np.add.at(counts, places, sizes)
+            ids.append(found)
+        whole = memoryview(np.concatenate(ids) if ids else np.zeros(0, "<u4")).cast("B")
+        ends = 4 * np.cumsum(counts)
+        return [bytes(whole[e - 4 * n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+    def encode_stretch(self, data: bytes, texts: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a stretch, those of each text in it, and these texts' numbers; the texts begin at the given places.
+
+        Each different part is looked up once. Equal parts are found by two hashes of 64 bits.
+        """
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(raw) + 2, bool)
+        inside[1:-1] = (raw != 32) & (raw != 10)
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        owner = np.searchsorted(texts, starts, side="right") - 1
+        # a sign after a small ASCII letter is a part of its own
+        before = raw[np.maximum(ends - 2, 0)]
+        closed = (ends - starts > 1) & IS_SIGN[raw[ends - 1]] & (before >= 97) & (before <= 122) & plain[owner]
+        both = np.repeat(np.arange(len(starts)), 1 + closed)
+        sign = np.zeros(len(both), bool)
+        sign[1:] = both[1:] == both[:-1]
+        starts, ends, owner = np.where(sign, ends[both] - 1, starts[both]), ends[both] - (closed[both] & ~sign), owner[both]
+        if len(raw) <= STRETCH_BYTES:
+            hashed, checks = span_hashes(raw, starts, ends), span_hashes(BYTE_CODES[raw], starts, ends)
+            keys, first, slot = np.unique(hashed, return_index=True, return_inverse=True)
+            clash = np.flatnonzero(checks != checks[first][slot])
+            ids, at, n = self.look_up(raw, starts[first], ends[first], keys, checks[first])
+        else:
+            # a part longer than a stretch
+            clash, slot = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+            ids, at, n = np.zeros(0, "<u4"), slot[:0], slot[:0]
+        if len(clash):
+            more, sizes = self.encoded([data[a:b].decode() for a, b in zip(starts[clash].tolist(), ends[clash].tolist(), strict=True)])
+            slot[clash] = len(n) + np.arange(len(clash))
+            ids, at, n = np.concatenate([ids, more]), np.concatenate([at, len(ids) + np.cumsum(sizes) - sizes]), np.concatenate([n, sizes])
+        return runs(ids, at[slot], n[slot]), n[slot], owner
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -104,11 +185,26 @@ class WordIds:
 #: Capitals whose small form depends on what surrounds them, or takes several characters.
 ODD_CASES = re.compile("[\u03a3\u0130]")
 SIGNS = ".,;:!?"
-#: One sign after a letter, at a part's end.
-CLOSED = re.compile(r"[^\W\d_][.,;:!?]\Z")
+MARK = "\x01"  # between words that are encoded together; words that hold it are encoded one by one
+IS_SIGN = np.isin(np.arange(256), list(SIGNS.encode()))
+BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64))
 _CODERS: dict[tuple[str, int], WordIds] = {}
 
 
+def stretches(data: bytes) -> Iterator[tuple[int, int]]:
+    """Runs of at most STRETCH_BYTES that end after white space or with the data; a longer part is a run of its own."""
+    at = 0
+    while at < len(data):
+        stop = at + STRETCH_BYTES
+        if stop < len(data):
+            last = max(data.rfind(b" ", at, stop), data.rfind(b"\n", at, stop))
+            if last < 0:
+                last = min((k for k in (data.find(b" ", stop), data.find(b"\n", stop)) if k >= 0), default=len(data))
+            stop = last + 1
+        yield at, min(stop, len(data))
+        at = stop
+
+
 def coder_for(path: str, limit: int) -> WordIds:
     """One cache for each Python worker process; workers serve many tasks."""
     if (path, limit) not in _CODERS:
