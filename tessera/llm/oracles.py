@@ -77,3 +77,21 @@ def warc() -> str:
     return f"""WITH d AS (SELECT page_id, coalesce(url, '') AS url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest AS digest, max(page_id) AS last FROM d WHERE payload_bytes >= {MIN_REVISIT_BYTES} GROUP BY 1)
 SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM d LEFT JOIN g ON payload_digest = digest"""
+
+
+def collocations() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, words, unnest(range(1, 6)) AS size FROM w WHERE len(words) > 0),
+g AS (SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM s WHERE len(words) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY lang, size, phrase),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 100),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+x AS (SELECT k.lang, k.phrase, k.size, k.words, k.f AS a, k.k, l.f AS l, r.f AS r, t.n, CAST((CAST(1000 AS HUGEINT) * k.f * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM k
+  JOIN f AS l ON l.lang = k.lang AND l.phrase = array_to_string(k.words[1 : k.k], ' ') JOIN f AS r ON r.lang = k.lang AND r.phrase = array_to_string(k.words[k.k + 1 : k.size], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+v AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.f >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM v)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""

@@ -78,6 +78,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and callable(q)}
 
@@ -85,4 +91,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc()}
+    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc(), "op11_collocations": oracles.collocations()}
