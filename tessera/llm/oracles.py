@@ -95,3 +95,26 @@ b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 v AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.f >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM v)
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
+def spelling() -> str:
+    """Check sums byte by byte from a table by rule; near words by the pieces around one wildcard or one deleted code point."""
+    run = "[A-Za-z\\x{00C0}-\\x{00FF}]+"
+    lower = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    # UTF-8 bytes of the ids' digits and signs and of letters up to U+00FF
+    return f"""WITH RECURSIVE b(i, k, c) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, {step} FROM b WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8),
+o AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{run}')) AS r FROM documents),
+d AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, {lower} AS r, count(*) AS times FROM o WHERE length(r) >= 7 GROUP BY ALL),
+y AS (SELECT *, flatten(list_transform(string_split(id || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END)) AS bytes FROM d),
+h AS (SELECT r, times, length(r) AS l, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM y, tab),
+v AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT CASE WHEN crc % 31 = 0 THEN substr(r, 1, CAST(crc % l AS BIGINT)) || substr(r, CAST(crc % l AS BIGINT) + 2) ELSE r END AS word, times FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+q AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+w AS MATERIALIZED (SELECT DISTINCT word, n, length(word) AS l, substr(word, 1, i - 1) AS before, substr(word, i + 1) AS after FROM q),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM w AS a JOIN w AS b ON a.before = b.before AND a.after = b.after AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM w AS a JOIN v ON a.before || a.after = v.word UNION SELECT v.word, a.word, a.n FROM w AS a JOIN v ON a.before || a.after = v.word),
+f AS (SELECT word, count(*) AS n_near, min_by(near, (-near_n, near)) AS best, max(near_n) AS best_n FROM e GROUP BY word),
+j AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f ON v.word = f.word),
+c(word, root, form) AS (SELECT word, word, form FROM j UNION ALL SELECT c.word, c.form, j.form FROM c JOIN j ON j.word = c.form)
+SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM j JOIN c ON c.word = j.word WHERE c.form IS NULL"""

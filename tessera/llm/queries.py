@@ -84,6 +84,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and callable(q)}
 
@@ -91,4 +97,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc(), "op11_collocations": oracles.collocations()}
+    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc(), "op11_collocations": oracles.collocations(), "op12_spelling_variants": oracles.spelling()}
