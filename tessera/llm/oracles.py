@@ -118,3 +118,15 @@ f AS (SELECT word, count(*) AS n_near, min_by(near, (-near_n, near)) AS best, ma
 j AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f ON v.word = f.word),
 c(word, root, form) AS (SELECT word, word, form FROM j UNION ALL SELECT c.word, c.form, j.form FROM c JOIN j ON j.word = c.form)
 SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM j JOIN c ON c.word = j.word WHERE c.form IS NULL"""
+
+
+def substrings() -> str:
+    return """WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS place, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS MATERIALIZED (SELECT row, place, i, sha256(array_to_string(words[i : i + 49], ' ')) AS code FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM t WHERE len(words) >= 50)),
+f AS (SELECT code, min(place) AS first FROM w GROUP BY code),
+g AS (SELECT DISTINCT row, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (code) WHERE first < place),
+r AS (SELECT row, list(i ORDER BY i) AS gone FROM g GROUP BY row),
+x AS (SELECT t.row, t.words[k] AS word, k FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS k FROM t WHERE row IN (SELECT row FROM r)) AS t),
+k AS (SELECT x.row, string_agg(word, ' ' ORDER BY x.k) AS kept FROM x ANTI JOIN g ON x.row = g.row AND x.k = g.i GROUP BY x.row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM t LEFT JOIN r ON t.row = r.row LEFT JOIN k ON t.row = k.row"""

@@ -90,6 +90,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicated_words
+
+    return deduplicated_words(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, q in globals().items() if name.startswith("op") and callable(q)}
 
@@ -97,4 +103,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc(), "op11_collocations": oracles.collocations(), "op12_spelling_variants": oracles.spelling()}
+    return {"op2_secret_scan": oracles.secret_scan(), "op4_quality_rules": oracles.quality(), "op6_warc": oracles.warc(), "op11_collocations": oracles.collocations(), "op12_spelling_variants": oracles.spelling(), "op13_substring_dedup": oracles.substrings()}

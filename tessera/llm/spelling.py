@@ -237,7 +237,6 @@ def letters_of(vocabulary: DataFrame) -> bytes:
 
 def bitmap_of(vocabulary: DataFrame):
     """A broadcast bitmap of the words, of at most 2 ** 27 bits; with very many words it lets more strangers through to the join."""
-    width = Bitmap.width_for(vocabulary.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +246,9 @@ def bitmap_of(vocabulary: DataFrame):
             up = powers(int(size.max(initial=0)))
             place = np.arange(len(flat)) - np.repeat(ends - size, size)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[place])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(Bitmap.places(mix64(total[ends] - total[ends - size]), width)))], names=["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(total[ends] - total[ends - size]).view(np.int64))], names=["hash"])
 
-    return Bitmap.of(vocabulary.select("word").mapInArrow(run, "place long"), width).shared(vocabulary.sparkSession)
+    return Bitmap.of(vocabulary.select("word").mapInArrow(run, "hash long"), vocabulary.count()).shared(vocabulary.sparkSession)
 
 
 def roots(forms: DataFrame) -> DataFrame:

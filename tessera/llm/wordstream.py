@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, mix64, slices, span_hashes, text_bytes
 
+HELD_HASHES = 1 << 21  # that a task gathers before it hands them on
 CLIP = 256  # bytes of a word that its hash looks at, beside its length
 BLOCK_BITS = 15  # of bitmap_construct_agg's blocks
+MOST_BITS = 27  # of a bitmap's width: 16 MB
 
 
 def byte_table(members: bytes) -> np.ndarray:
@@ -110,22 +112,21 @@ class Bitmap:
     def __init__(self, bits: np.ndarray, width: int):
         self.bits, self.width = bits, width
 
-    @staticmethod
-    def width_for(count: int, most: int = 27, each: int = 128) -> int:
-        """The power of two for `each` bits a member, from one block to the bound."""
-        return min(most, max(BLOCK_BITS, int(count * each).bit_length()))
+    @classmethod
+    def of(cls, hashes: DataFrame, count: int, most: int = MOST_BITS, each: int = 128) -> Bitmap:
+        """Of a column `hash` (long), with about `each` bits a member below the bound.
 
-    @staticmethod
-    def places(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes >> np.uint64(64 - width)).astype(np.int64), ((mix64(hashes)) >> np.uint64(64 - width)).astype(np.int64)
+        Bits are dealt by block, so each block is built by one task; the driver holds at most 2 ** most bits.
+        """
+        width = min(most, max(BLOCK_BITS, int(count * each).bit_length()))
 
-    @classmethod
-    def of(cls, members: DataFrame, width: int) -> Bitmap:
-        """Of a column `place`. Places are dealt by block, so each block is built by one task; the driver holds 2 ** width bits."""
-        blocks = (
-            members.select(F.expr(f"place div {1 << BLOCK_BITS}").alias("block"), F.expr(f"place % {1 << BLOCK_BITS}").alias("bit"))
-            .repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = batch.column("hash").to_numpy().view(np.uint64)
+                places = np.concatenate([found >> np.uint64(64 - width), mix64(found) >> np.uint64(64 - width)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places >> BLOCK_BITS), pa.array(places & ((1 << BLOCK_BITS) - 1))], names=["block", "bit"])
+
+        blocks = hashes.select("hash").mapInArrow(run, "block long, bit long").repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
         bits = np.zeros(1 << (width - 3), np.uint8)
         for row in blocks.toLocalIterator():
             start = row.block << (BLOCK_BITS - 3)
@@ -143,3 +144,71 @@ class Bitmap:
 
     def shared(self, spark: SparkSession):
         return spark.sparkContext.broadcast(self)
+
+
+def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising 32-bit codes and their counts (cut off at 65,535) as planes of bytes, of which most are alike and shrink when compressed."""
+    steps = np.diff(codes, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    times = np.minimum(counts, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return steps.tobytes() + times.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    planes = np.frombuffer(data, np.uint8).reshape(6, n)
+    steps = np.ascontiguousarray(planes[:4].T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32), np.ascontiguousarray(planes[4:].T).view("<u2").ravel().astype(np.int64)
+
+
+def common_hashes(rows: DataFrame, hashes_in, least: int, buckets: int) -> DataFrame:
+    """Hashes (column `hash`) that occur `least` times or more, with only their first bits, as `cut_hash` leaves them.
+
+    hashes_in gives arrays of hashes from a batch. Hashes are dealt to 2 ** buckets groups by their first bits, and travel
+    packed: about three bytes each. Others that share those bits may be among the found ones; none is missing.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if not held:
+                    return
+                found = np.concatenate(held) >> np.uint64(32 - buckets)
+                found.sort()
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                counts, found = np.diff(np.append(first, len(found))), found[first]
+                bucket, code = (found >> np.uint64(32)).astype(np.int32), found.astype(np.uint32)
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
+                blobs = [packed(code[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "codes"])
+
+            for some in hashes_in(batch):
+                held.append(some)
+                size += len(some)
+                if size > HELD_HASHES:
+                    yield from flush()
+                    held, size = [], 0
+            yield from flush()
+
+    def join(group: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in group.column("codes").to_pylist()]
+        codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        often = np.add.reduceat(counts, first) >= min(least, 65535)  # counts in a part were cut off there
+        bucket = group.column("bucket")[0].as_py()
+        found = (np.uint64(bucket) << np.uint64(32) | codes[first][often].astype(np.uint64)) << np.uint64(32 - buckets)
+        return pa.table({"hash": pa.array(found.view(np.int64))})
+
+    return rows.mapInArrow(deal, "bucket int, codes binary").groupBy("bucket").applyInArrow(join, "hash long")
+
+
+def cut_hash(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return hashes >> np.uint64(32 - buckets) << np.uint64(32 - buckets)
+
+
+def bucket_bits(count: int) -> int:
+    """So many bits that a bucket has about a million of `count` hashes."""
+    return min(24, max(8, (int(count) >> 20).bit_length()))
