@@ -1,25 +1,28 @@
 """Collocations: phrases of two to five words that occur together more often than their parts make likely.
 
-N-grams of all sizes are exploded into rows and counted by language. A phrase can't be more common than a part of it, so
-the sizes are counted in three steps, each of which explodes only what the step before left possible: words, pairs of
-frequent words, then longer phrases of frequent pairs. What is possible is asked of a bitmap that has false members but
-misses none, so all counts from min_count on are exact. Candidates are then cut after each word, joined with the
-counts of both parts, scored in decimals of 38 digits, thinned by an anti-join with their one-word extensions, and ranked.
+N-grams of all sizes are exploded into rows and counted by language. Most of them occur once, and would make the shuffle
+many times the input, so a sieve goes before: words are counted, then hashes of pairs of frequent words, then hashes
+of longer phrases whose pairs are frequent; a phrase can't be more common than its parts. Only phrases whose hash is common
+enough are exploded. Hashes and bitmaps may let rare phrases through, never lose a frequent one, and all counts come
+from the rows. Candidates are then cut after each word, joined with the counts of both parts, scored in decimals
+of 38 digits, thinned by an anti-join with their one-word extensions, and ranked.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import pinned, strings, text_bytes, text_or_empty
-from .wordstream import Bitmap, Splitter, byte_table, run_hashes, spans_where, string_array, word_hashes
+from .wordstream import Bitmap, Splitter, bucket_bits, byte_table, common_hashes, cut_hash, run_hashes, spans_where, string_array, word_hashes
 
 BLANKS = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -47,15 +50,22 @@ def hashes_of(array: pa.Array) -> np.ndarray:
     return word_hashes(raw, offsets[:-1], offsets[1:])
 
 
-def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, words: int) -> np.ndarray:
-    """A hash of each run of so many words in their language; lang has the languages' hashes, one a word."""
-    hashes = word_hashes(raw, starts, ends) ^ lang
-    return hashes if words == 1 else run_hashes(hashes, words)
+@dataclass(frozen=True)
+class Sieve:
+    """What may be frequent: runs of `unit` words in `parts`, and, where it is given, the phrases themselves in `whole`, by hashes cut to `buckets`."""
+
+    parts: Broadcast | None = None
+    unit: int = 1
+    whole: Broadcast | None = None
+    buckets: int = 0
 
 
-def grams(text: pa.Array, lang: pa.Array, sizes: range, splitter: Splitter, possible: Bitmap | None, unit: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(row number, phrase) of the phrases of these sizes; possible knows which runs of `unit` words to look at, None all."""
+def possible(text: pa.Array, lang: pa.Array, sizes: range, splitter: Splitter, sieve: Sieve) -> Iterator[tuple]:
+    """(row numbers, hashes, phrases) of what the sieve lets through; phrases is a function that makes their strings."""
     tongue = hashes_of(lang)
+    parts = sieve.parts.value if sieve.parts else None
+    whole = sieve.whole.value if sieve.whole else None
+    unit = sieve.unit
     for raw, offsets, rows, own in splitter.pieces(text):
         raw = _LOWER[raw]
         starts, ends, owner = spans_where(~splitter.space[raw], offsets)
@@ -64,25 +74,39 @@ def grams(text: pa.Array, lang: pa.Array, sizes: range, splitter: Splitter, poss
         breaks = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(_BREAK[raw], out=breaks[1:])
         part = breaks[starts] + owner  # words of one part of a text have one number
-        alive = np.ones(len(starts) - unit + 1, bool)
-        if possible is not None and len(alive):
-            alive = possible.has(unit_hashes(raw, starts, ends, tongue[rows][owner], unit))
+        hashes = word_hashes(raw, starts, ends) ^ tongue[rows][owner]
+        alive = np.ones(max(len(starts) - unit + 1, 0), bool)
+        if parts is not None:
+            alive = parts.has(cut_hash(run_hashes(hashes, unit), sieve.buckets))
         dead = np.concatenate([[0], np.cumsum(~alive)])
-        # all words, each followed by one space
-        joined_ends = np.cumsum(ends - starts + 1) - 1
-        joined_starts = joined_ends - (ends - starts)
-        joined = np.full(int(joined_ends[-1]) + 1, 32, np.uint8)
-        joined[np.arange(int((ends - starts).sum())) + np.repeat(np.arange(len(starts)), ends - starts)] = raw[~splitter.space[raw]]
+
+        @functools.cache
+        def joined(raw=raw, starts=starts, ends=ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All words, each followed by one space, and where they begin and end."""
+            after = np.cumsum(ends - starts + 1) - 1
+            line = np.full(int(after[-1]) + 1, 32, np.uint8)
+            line[np.arange(int((ends - starts).sum())) + np.repeat(np.arange(len(starts)), ends - starts)] = raw[~splitter.space[raw]]
+            return line, after - (ends - starts), after
+
         for n in sizes:
             count = len(starts) - n + 1
-            if count > 0:
-                inside = (part[:count] == part[n - 1 :]) & (starts[:count] < own) & (dead[n - unit + 1 : n - unit + 1 + count] == dead[:count])
-                at = np.flatnonzero(inside)
-                if len(at):
-                    yield rows[owner[at]], string_array(joined, joined_starts[at], joined_ends[at + n - 1])
+            if count <= 0:
+                continue
+            at = np.flatnonzero((part[:count] == part[n - 1 :]) & (starts[:count] < own) & (dead[n - unit + 1 : n - unit + 1 + count] == dead[:count]))
+            found = run_hashes(hashes, n)[at]
+            if whole is not None:
+                good = whole.has(cut_hash(found, sieve.buckets))
+                at, found = at[good], found[good]
+
+            def phrases(at=at, n=n, joined=joined) -> pa.Array:
+                line, begin, end = joined()
+                return string_array(line, begin[at], end[at + n - 1])
+
+            if len(at):
+                yield rows[owner[at]], found, phrases
 
 
-def counted(docs: DataFrame, sizes: range, least: int, possible=None, unit: int = 1, totals: bool = False) -> DataFrame:
+def counted(docs: DataFrame, sizes: range, least: int, sieve: Sieve = Sieve(), totals: bool = False) -> DataFrame:
     """(lang, phrase, n) of phrases with `least` occurrences or more, and, if asked for, all words of a language under a null phrase.
 
     docs: (lang, text). Each task counts what it explodes before it is shuffled, so common phrases are few rows.
@@ -90,24 +114,23 @@ def counted(docs: DataFrame, sizes: range, least: int, possible=None, unit: int
     splitter = Splitter(BLANKS + BREAKS, max(sizes) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = None if possible is None else possible.value
         for batch in batches:
-            text, names = strings(batch, "text"), strings(batch, "lang").dictionary_encode()
+            lang = strings(batch, "lang")
+            names = lang.dictionary_encode()
             code, tables, held = names.indices.to_numpy(), [], 0
 
             def flush() -> Iterator[pa.RecordBatch]:
                 if tables:
                     summed = pa.concat_tables(tables).group_by(["code", "phrase"]).aggregate([([], "count_all")])
-                    lang = names.dictionary.take(summed.column("code").combine_chunks())
-                    whole = pa.table({"lang": lang, "phrase": summed.column("phrase"), "n": summed.column("count_all")})
+                    whole = pa.table({"lang": names.dictionary.take(summed.column("code").combine_chunks()), "phrase": summed.column("phrase"), "n": summed.column("count_all")})
                     if totals:
                         found = whole.group_by("lang").aggregate([("n", "sum")])
                         whole = pa.concat_tables([whole, pa.table({"lang": found.column("lang"), "phrase": pa.nulls(len(found), pa.string()), "n": found.column("n_sum")})])
                     yield from whole.combine_chunks().to_batches()
 
-            for rows, phrases in grams(text, strings(batch, "lang"), sizes, splitter, look, unit):
-                tables.append(pa.table({"code": pa.array(code[rows], pa.int32()), "phrase": phrases}))
-                held += phrases.nbytes
+            for rows, _, phrases in possible(strings(batch, "text"), lang, sizes, splitter, sieve):
+                tables.append(pa.table({"code": pa.array(code[rows], pa.int32()), "phrase": phrases()}))
+                held += tables[-1].nbytes
                 if held > FLUSH_BYTES:
                     yield from flush()
                     tables, held = [], 0
@@ -117,35 +140,48 @@ def counted(docs: DataFrame, sizes: range, least: int, possible=None, unit: int
     return found.where((F.col("n") >= least) | F.col("phrase").isNull())
 
 
-def bitmap_of(phrases: DataFrame, unit: int):
-    """A broadcast bitmap, of at most 2 ** 27 bits, of the phrases (lang, phrase) of `unit` words."""
-    spark = phrases.sparkSession
-    width = Bitmap.width_for(phrases.count())
+def sieved(docs: DataFrame, sizes: range, least: int, sieve: Sieve) -> DataFrame:
+    """Cut hashes of the phrases of these sizes that may have `least` occurrences."""
+    splitter = Splitter(BLANKS + BREAKS, max(sizes) - 1)
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, found, _ in possible(strings(batch, "text"), strings(batch, "lang"), sizes, splitter, sieve):
+            yield found
+
+    return pinned(common_hashes(docs, hashes, least, sieve.buckets))
+
+
+def word_codes(words: DataFrame, buckets: int) -> DataFrame:
+    """The cut hashes of words (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(strings(batch, "phrase"))
-            starts, ends, owner = spans_where(raw != 32, offsets)
-            if len(starts):
-                hashes = unit_hashes(raw, starts, ends, hashes_of(strings(batch, "lang"))[owner], unit)
-                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(Bitmap.places(hashes[first], width)))], names=["place"])
+            found = run_hashes(hashes_of(strings(batch, "phrase")) ^ hashes_of(strings(batch, "lang")), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(cut_hash(found, buckets).view(np.int64))], names=["hash"])
 
-    return Bitmap.of(phrases.select("lang", "phrase").mapInArrow(run, "place long"), width).shared(spark)
+    return words.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
 def frequent_phrases(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(lang, phrase, n) of all phrases of 1 to max_words words with min_count occurrences or more, and (lang, null, words)."""
-    least = limits.min_count
+    least, spark = limits.min_count, docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     words = pinned(counted(rows, range(1, 2), least, totals=True))
-    found = words
-    if limits.max_words > 1:
-        pairs = pinned(counted(rows, range(2, 3), least, bitmap_of(words.where("phrase is not null"), 1), 1))
-        found = found.unionByName(pairs)
+    if limits.max_words < 2:
+        return words
+    n_words, common = words.agg(F.coalesce(F.sum(F.when(F.col("phrase").isNull(), F.col("n"))), F.lit(0)), F.count("phrase")).first()
+    buckets = bucket_bits(n_words)
+    one = Bitmap.of(word_codes(words.where("phrase is not null"), buckets), common).shared(spark)
+    codes = sieved(rows, range(2, 3), least, Sieve(one, 1, None, buckets))
+    n_pairs = codes.count()
+    pairs = Bitmap.of(codes, n_pairs).shared(spark)
     if limits.max_words > 2:
-        found = found.unionByName(pinned(counted(rows, range(3, limits.max_words + 1), least, bitmap_of(pairs, 2), 2)))
-    return found
+        longer = sieved(rows, range(3, limits.max_words + 1), least, Sieve(pairs, 2, None, buckets))
+        all_codes, count = codes.unionByName(longer), n_pairs + longer.count()
+        pairs_and_longer = Bitmap.of(all_codes, count).shared(spark)
+    else:
+        pairs_and_longer = pairs
+    return words.unionByName(pinned(counted(rows, range(2, limits.max_words + 1), least, Sieve(None, 1, pairs_and_longer, buckets))))
 
 
 def scored(found: DataFrame, limits: Limits) -> DataFrame:
