@@ -931,3 +931,6 @@ def semantic_built_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  {"price": ("price", semantic.ADDITIVE, "SUM(price)"), "discount": ("discount", semantic.NON_ADDITIVE, "AT GRAIN")}, {"date": ("year", "quarter", "month")})
     out = semantic.query(model, tables, semantic.Request(("price",), group_by=("customer.segment", "date.year"), time_role="ordered"))
     return out.select(F.col("`customer.segment`").alias("segment"), F.col("`date.year`").alias("year"), F.col("price").cast("double").alias("price"))
+
+
+from tessera import queries_discovery  # noqa: E402, F401 - registers its queries
