@@ -6,11 +6,12 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components, settled
+from tessera.operators.graph import connected_components, joined_by_weight, settled
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,7 @@ class Spec:
     include_review: bool = False
     u_pairs: int = 50_000
     max_pairs: int = 10_000_000_000
+    tile: int = 2_000  # records of a block that meet others in one tile
     seed: int = 11
 
     def __post_init__(self):
@@ -57,33 +59,76 @@ class Spec:
             raise ValueError("UNSAFE_BLOCKING_RULE: each rule needs fields")
 
 
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Code points as rows of one width; what is beyond a text's end is never looked at."""
+    width = max(width, 1)
+    return np.array(texts, f"U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def jaro_winkler_batch(left: list[str], right: list[str], cells: int = 1 << 22) -> np.ndarray:
+    """Similarity of pairs of texts by common characters near each other, raised for a common start of up to four.
+
+    Pairs of alike lengths go together: one step for each character of the longest left text, over all pairs at once.
+    """
+    out = np.zeros(len(left))
+    long, short = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    order = np.lexsort((short, long))
+    begin = 0
+    while begin < len(order):
+        width = 8 + max(int(long[order[begin]]), 1)
+        stop = begin + int(np.searchsorted(long[order[begin:]], width, side="right"))
+        # as many pairs as fit, by the widest right text among them
+        wide = np.maximum.accumulate(short[order[begin:stop]]) * np.arange(1, stop - begin + 1)
+        stop = begin + max(1, int(np.searchsorted(wide, cells, side="right")))
+        at = order[begin:stop]
+        out[at] = _jaro_winkler_codes(_codes([left[i] for i in at], int(long[at].max())), _codes([right[i] for i in at], int(short[at].max())), long[at], short[at])
+        begin = stop
+    return out
+
+
+def _jaro_winkler_codes(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n, places = len(a), np.arange(b.shape[1])
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free = places < lb[:, None]
+    mine = np.zeros(a.shape, bool)
+    rows = np.arange(n)
+    for i in range(a.shape[1]):
+        hit = (b == a[:, i, None]) & free & (np.abs(places - i) <= reach[:, None]) if b.shape[1] else np.zeros((n, 0), bool)
+        some = hit.any(axis=1) & (i < la)
+        if some.any():
+            first = hit[some].argmax(axis=1)
+            mine[some, i] = True
+            free[rows[some], first] = False
+    theirs = (places < lb[:, None]) & ~free
+    m = mine.sum(axis=1)
+    width = int(m.max(initial=0))
+    one = np.take_along_axis(a, np.argsort(~mine, axis=1, kind="stable")[:, :width], axis=1)
+    two = np.take_along_axis(b, np.argsort(~theirs, axis=1, kind="stable")[:, :width], axis=1)
+    swaps = ((one != two) & (np.arange(width) < m[:, None])).sum(axis=1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        base = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    reachable = min(4, a.shape[1], b.shape[1])
+    same = (a[:, :reachable] == b[:, :reachable]) & (np.arange(reachable) < np.minimum(la, lb)[:, None])
+    start = np.cumprod(same, axis=1).sum(axis=1) if reachable else np.zeros(n)
+    out = base + start * 0.1 * (1 - base)
+    return np.where((la == 0) & (lb == 0), 1.0, np.where(m > 0, out, 0.0))
+
+
 def jaro_winkler(a: str, b: str) -> float:
-    """Similarity by common characters near each other, raised for a common start of up to four."""
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    mine = []
-    for i, c in enumerate(a):
-        hit = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
-        if hit is not None:
-            free[hit] = False
-            mine.append(c)
-    if not mine:
-        return 0.0
-    theirs = [c for c, f in zip(b, free, strict=True) if not f]
-    m, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
-    base = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    start = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return base + start * 0.1 * (1 - base)
+    return float(jaro_winkler_batch([a], [b])[0])
 
 
 def _jaro_winkler_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Each distinct pair of values of a batch is compared once; a missing side gives none."""
+    pairs = pd.DataFrame({"a": a.to_numpy(), "b": b.to_numpy()}).dropna()
+    kinds = pairs.drop_duplicates()
+    kinds = kinds.assign(s=jaro_winkler_batch(kinds["a"].tolist(), kinds["b"].tolist()))
+    return pd.Series(np.arange(len(a))).map(pairs.reset_index().merge(kinds, on=["a", "b"]).set_index("index")["s"]).astype("float64")
 
 
 def jaro_winkler_of(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_jaro_winkler_series, "double")(a, b)
+    """Similarity of two texts that differ; equal ones, told without Python, give null."""
+    return F.pandas_udf(_jaro_winkler_series, "double")(F.when(a != b, a), b)
 
 
 def load(records: DataFrame, ref: str = "record_ref") -> DataFrame:
@@ -116,22 +161,51 @@ def check_budget(records: DataFrame, spec: Spec) -> None:
 
 
 def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> DataFrame:
-    """(l, r) references of the pairs that agree on all fields of a rule, once each; nulls never agree."""
+    """(l, r) references of the pairs that agree on all fields of a rule, once each; nulls never agree.
+
+    A block's pairs are a triangle, which is cut into tiles: its records are dealt to groups of about `spec.tile`, and each
+    two groups, and each one with itself, are a tile of their own. So a common key's pairs are dealt to all tasks in
+    even parts, and a rare key's block is one tile.
+    """
     fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule})
-    left = records.select(F.col(ref).alias("l"), F.col(source).alias("ls"), *[F.col(f).alias(f"l_{f}") for f in fields])
-    right = records.select(F.col(ref).alias("r"), F.col(source).alias("rs"), *[F.col(f).alias(f"r_{f}") for f in fields])
-    sides = {"LINK_ONLY": F.col("ls") != F.col("rs"), "DEDUPE_ONLY": F.col("ls") == F.col("rs"), "LINK_AND_DEDUPE": F.lit(True)}[spec.mode]
+    cells = F.struct(F.col(ref).alias("ref"), F.col(source).alias("source"), *[F.col(f).alias(f"f_{f}") for f in fields])
+
+    def agree(rule: tuple[str, ...]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"x.f_{f}") == F.col(f"y.f_{f}") for f in rule])
+
+    sides = {"LINK_ONLY": F.col("x.source") != F.col("y.source"), "DEDUPE_ONLY": F.col("x.source") == F.col("y.source"), "LINK_AND_DEDUPE": F.lit(True)}[spec.mode]
     out = None
     for k, rule in enumerate(spec.blocking):
-        on = reduce(lambda x, y: x & y, [F.col(f"l_{f}") == F.col(f"r_{f}") for f in rule])
+        known = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in rule])
+        keyed = records.where(known).select(F.struct(*[F.col(f).alias(f"k{i}") for i, f in enumerate(rule)]).alias("key"), cells.alias("cells"))
+        left, right = tiled(keyed, spec.tile, spec.seed)
         # a pair belongs to the first rule it agrees on, so no distinct is needed afterwards
-        earlier = [reduce(lambda x, y: x & y, [F.col(f"l_{f}") == F.col(f"r_{f}") for f in other]) for other in spec.blocking[:k]]
-        new = reduce(lambda x, y: x & y, [~F.coalesce(e, F.lit(False)) for e in earlier], F.lit(True))
-        one = left.join(right, on).where((F.col("l") < F.col("r")) & sides & new)
+        new = reduce(lambda x, y: x & y, [~F.coalesce(agree(other), F.lit(False)) for other in spec.blocking[:k]], F.lit(True))
+        met = left.withColumnRenamed("cells", "x").join(right.withColumnRenamed("cells", "y"), ["key", "low", "high"])
+        before = F.col("x.ref") < F.col("y.ref")
+        # inside a group each pair is met both ways, between two groups once
+        pairs = met.where(agree(rule) & sides & new & (before | ((F.col("low") < F.col("high")) & (F.col("x.ref") > F.col("y.ref")))))
+        a, b = F.when(before, F.col("x")).otherwise(F.col("y")), F.when(before, F.col("y")).otherwise(F.col("x"))
+        two = pairs.select(a.alias("a"), b.alias("b"))
+        one = two.select(F.col("a.ref").alias("l"), F.col("a.source").alias("ls"), *[F.col(f"a.f_{f}").alias(f"l_{f}") for f in fields], F.col("b.ref").alias("r"), F.col("b.source").alias("rs"), *[F.col(f"b.f_{f}").alias(f"r_{f}") for f in fields])
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def tiled(keyed: DataFrame, tile: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The two sides (key, low, high, cells) of all tiles of all keys; keyed: (key, cells), where cells.ref tells records apart.
+
+    A record of group g stands on the left of the tiles (g, g), (g, g + 1)… and on the right of (0, g), (1, g)… (g, g).
+    """
+    keyed = keyed.withColumn("spread", F.xxhash64("cells.ref", F.lit(seed)))
+    sizes = settled(keyed.groupBy("key").agg(F.count("*").alias("n")))
+    dealt = joined_by_weight(keyed, sizes, "key", "n").withColumn("groups", F.ceil(F.col("n") / F.lit(tile)))
+    dealt = dealt.withColumn("group", F.pmod("spread", "groups"))
+    left = dealt.select("key", F.col("group").alias("low"), F.explode(F.sequence("group", F.col("groups") - 1)).alias("high"), "cells")
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "group")).alias("low"), F.col("group").alias("high"), "cells")
+    return left, right
+
+
 def level(c: Comparison) -> Column:
     """The agreement level of a pair in a field: null where a side is missing."""
     a, b = F.col(f"l_{c.field}"), F.col(f"r_{c.field}")

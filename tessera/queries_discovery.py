@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import discovery, inclusions
+from tessera.operators import dependencies, discovery, entity_resolution, inclusions, matching, structure
 from tessera.queries import functional_sql, query, table
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -86,3 +86,158 @@ def deps_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deps_partial_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusions of one to three columns that cover four fifths of the left values or more."""
     return included(spark, sf_dir, 0.8)
+
+
+# --- matchers by structure and by distribution -----------------------------------------------------------------------
+
+SIDES = {
+    "left": {"customer": {"c_custkey": "number", "c_name": "string", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "string"}, "orders": {"o_orderkey": "number", "o_custkey": "number", "o_totalprice": "number", "o_orderstatus": "string"}},
+    "right": {"supplier": {"s_suppkey": "number", "s_name": "string", "s_nationkey": "number", "s_acctbal": "number"}, "lineitem": {"l_orderkey": "number", "l_suppkey": "number", "l_extendedprice": "number", "l_linestatus": "string"}},
+}
+DOUBLES = ("c_acctbal", "o_totalprice", "s_acctbal", "l_extendedprice")
+TRUTH = [("customer.c_custkey", "supplier.s_suppkey"), ("customer.c_name", "supplier.s_name"), ("customer.c_nationkey", "supplier.s_nationkey"), ("customer.c_acctbal", "supplier.s_acctbal"), ("orders.o_custkey", "lineitem.l_suppkey"), ("orders.o_totalprice", "lineitem.l_extendedprice"), ("orders.o_orderstatus", "lineitem.l_linestatus")]
+ROUNDS = 4
+
+
+def side(spark: SparkSession, sf_dir: str, name: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t, list(columns)) for t, columns in SIDES[name].items()}
+
+
+def side_edges(tables: dict[str, DataFrame]) -> DataFrame:
+    """The schema's edges, with references found in the rows: inclusions in another table's key of one column."""
+    keys = None
+    for t, rows in tables.items():
+        found = dependencies.search_unique(rows, budget=dependencies.Budget(arity=1)).found.select(F.concat(F.lit(f"{t}."), "columns").alias("right"))
+        keys = found if keys is None else keys.unionByName(found)
+    inside = dependencies.inclusion_candidates(tables).where(F.substring_index("left", ".", 1) != F.substring_index("right", ".", 1))
+    return structure.schema_edges(tables, structure.references(inside, keys))
+
+
+def column_pairs(spark: SparkSession) -> DataFrame:
+    """All pairs of columns with `name`, the likeness of their names without the tables' letters."""
+    pairs = [(f"{t}.{a}", f"{u}.{b}") for t, x in SIDES["left"].items() for a in x for u, y in SIDES["right"].items() for b in y]
+    bare = [F.substring(F.substring_index(c, ".", -1), 3, 99) for c in ("left", "right")]
+    return spark.createDataFrame(pairs, "left string, right string").withColumn("name", 1 - F.levenshtein(*bare) / F.greatest(F.length(bare[0]), F.length(bare[1])))
+
+
+def edges_sql(name: str) -> str:
+    tables = SIDES[name]
+    rows = [f"('{t}', 'column', '{t}.{c}'), ('{t}.{c}', 'type', 'type:{kind}')" for t, columns in tables.items() for c, kind in columns.items()]
+    kind = lambda c, k: "double" if c in DOUBLES else k
+    refers = [
+        f"SELECT '{t}.{a}', 'refers', '{u}' WHERE NOT EXISTS (SELECT 1 FROM {t} WHERE {a} NOT IN (SELECT {b} FROM {u})) AND (SELECT count(DISTINCT {b}) = count(*) FROM {u})"
+        for t, x in tables.items() for u, y in tables.items() if t != u for a, ka in x.items() for b, kb in y.items() if kind(a, ka) == kind(b, kb)
+    ]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(s, label, t) UNION {' UNION '.join(refers)}"
+
+
+def structure_sql() -> str:
+    """CTEs up to `pairs` (left, right, name, structure): the rounds are written out."""
+    names = [f"('{t}.{a}', '{u}.{b}', '{a[2:]}', '{b[2:]}')" for t, x in SIDES["left"].items() for a in x for u, y in SIDES["right"].items() for b in y]
+    rounds = "".join(
+        f"r{k} AS MATERIALIZED (SELECT s.pair, start, start + now + coalesce(got, 0) AS next FROM s{k - 1} AS s LEFT JOIN (SELECT b AS pair, sum((start + now) * share) AS got FROM e JOIN s{k - 1} AS x ON e.a = x.pair GROUP BY b) AS g ON g.pair = s.pair), s{k} AS MATERIALIZED (SELECT pair, start, next / (SELECT max(next) FROM r{k}) AS now FROM r{k}), "
+        for k in range(1, ROUNDS + 1)
+    )
+    return f"""WITH le AS ({edges_sql("left")}), re AS ({edges_sql("right")}),
+p AS (SELECT le.label, le.s || '|' || re.s AS s, le.t || '|' || re.t AS t FROM le JOIN re ON le.label = re.label WHERE le.t NOT LIKE 'type:%' OR le.t = re.t),
+w AS (SELECT label, 0 AS way, s AS a, t AS b FROM p UNION ALL SELECT label, 1, t, s FROM p), f AS (SELECT label, way, a, 1.0 / count(*) AS share FROM w GROUP BY ALL),
+e AS MATERIALIZED (SELECT w.a, w.b, sum(CAST(share AS DOUBLE)) AS share FROM w JOIN f ON w.label = f.label AND w.way = f.way AND w.a = f.a GROUP BY w.a, w.b), n AS (SELECT a AS pair FROM e UNION SELECT b FROM e),
+i AS (SELECT l, r, CAST(1 - levenshtein(x, y) / greatest(length(x), length(y)) AS DOUBLE) AS name FROM (VALUES {', '.join(names)}) AS v(l, r, x, y)),
+s0 AS MATERIALIZED (SELECT pair, coalesce(name, 0) AS start, coalesce(name, 0) AS now FROM n LEFT JOIN i ON pair = l || '|' || r), {rounds}
+pairs AS MATERIALIZED (SELECT l AS "left", r AS "right", name, now AS structure FROM i LEFT JOIN s{ROUNDS} AS s ON s.pair = l || '|' || r)"""
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = column_pairs(spark)
+    start = pairs.select("left", "right", F.col("name").alias("start"))
+    return structure.with_structure(pairs, side_edges(side(spark, sf_dir, "left")), side_edges(side(spark, sf_dir, "right")), start, tolerance=0.0, rounds=ROUNDS)
+
+
+@query(f'{structure_sql()} SELECT "left", "right", round(structure, 9) AS structure FROM pairs')
+def match_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds of similarity carried along the two schemas' tables, types and references."""
+    return structured(spark, sf_dir).select("left", "right", F.round("structure", 9).alias("structure"))
+
+
+NUMBERS = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], "part": ["p_size", "p_retailprice"], "orders": ["o_totalprice"], "customer": ["c_acctbal"], "supplier": ["s_acctbal"]}
+
+
+def quantiles_sql(tables: dict[str, list[str]]) -> str:
+    """q (column, k, v): the values at the 33 places of each column's sorted rows."""
+    parts = [f"SELECT '{t}.{c}' AS col, CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n FROM {t} WHERE {c} IS NOT NULL" for t, columns in tables.items() for c in columns]
+    return f"q AS MATERIALIZED (SELECT col, k, v FROM ({' UNION ALL '.join(parts)}) JOIN (SELECT unnest(range(33)) AS k) ON i = greatest(1, CAST(ceil(n * k / 32.0) AS BIGINT)))"
+
+
+TRANSPORT = 'SELECT a.col AS "left", b.col AS "right", CASE WHEN max(greatest(a.v, b.v)) > min(least(a.v, b.v)) THEN 1 - avg(abs(a.v - b.v)) / (max(greatest(a.v, b.v)) - min(least(a.v, b.v))) ELSE 1 END AS transport FROM q AS a JOIN q AS b ON a.k = b.k'
+
+
+def sketches(spark: SparkSession, sf_dir: str, tables: dict[str, list[str]]) -> DataFrame:
+    found = None
+    for t, columns in tables.items():
+        one = structure.quantile_sketches(t, table(spark, sf_dir, t, columns), columns, accuracy=10_000_000)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f'WITH {quantiles_sql(NUMBERS)} SELECT "left", "right", round(transport, 9) AS transport FROM ({TRANSPORT} WHERE a.col < b.col GROUP BY ALL)')
+def match_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near the distributions of all numbers are to each other."""
+    names = [f"{t}.{c}" for t, columns in NUMBERS.items() for c in columns]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "left string, right string")
+    return structure.with_transport(pairs, sketches(spark, sf_dir, NUMBERS)).select("left", "right", F.round("transport", 9).alias("transport"))
+
+
+NUMBERS_OF = {name: {t: [c for c, kind in columns.items() if kind == "number"] for t, columns in tables.items()} for name, tables in SIDES.items()}
+
+
+@query(f"""{structure_sql()}, {quantiles_sql(NUMBERS_OF["left"] | NUMBERS_OF["right"])}, d AS ({TRANSPORT} GROUP BY ALL),
+s AS (SELECT 'name' AS matcher, "left", "right", name AS score FROM pairs UNION ALL SELECT 'structure', "left", "right", structure FROM pairs WHERE structure IS NOT NULL UNION ALL SELECT 'transport', d.* FROM d JOIN pairs ON d."left" = pairs."left" AND d."right" = pairs."right"),
+r AS (SELECT *, row_number() OVER (PARTITION BY matcher, "left" ORDER BY round(score, 9) DESC, "left", "right") AS rank FROM s QUALIFY rank <= 3),
+t("left", "right") AS (VALUES {', '.join(str(p) for p in TRUTH)}), h AS (SELECT m.matcher, r.rank FROM t CROSS JOIN (SELECT DISTINCT matcher FROM s) AS m LEFT JOIN r ON r.matcher = m.matcher AND r."left" = t."left" AND r."right" = t."right")
+SELECT matcher, count(*) AS truths, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, round(avg(coalesce(CAST(rank <= 1 AS DOUBLE), 0)), 9) AS recall_1, round(avg(coalesce(CAST(rank <= 3 AS DOUBLE), 0)), 9) AS recall_3 FROM h GROUP BY matcher""")
+def match_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How high matchers by name, structure and distribution rank the columns that belong together."""
+    found = structure.with_transport(structured(spark, sf_dir), sketches(spark, sf_dir, NUMBERS_OF["left"] | NUMBERS_OF["right"]))
+    ranks = matching.ranked(found.withColumns({c: F.round(c, 9) for c in ("name", "structure", "transport")}), ["name", "structure", "transport"])
+    truth = spark.createDataFrame(TRUTH, "left string, right string")
+    return matching.evaluated(ranks, truth).select("matcher", "truths", *[F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_3")])
+
+
+# --- pairs of records ------------------------------------------------------------------------------------------------
+
+COMMON = "CASE WHEN c_custkey % 2 = 0 THEN 'common' ELSE c_mktsegment || c_nationkey END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, {COMMON} AS block FROM customer) SELECT a.block, count(*) AS pairs, CAST(sum(a.k * 31 + b.k) AS BIGINT) AS mark FROM c AS a JOIN c AS b ON a.block = b.block AND a.k < b.k GROUP BY a.block""")
+def er_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of blocks of which one has half of all records."""
+    rows = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"]).select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("record_ref"), F.lit("s").alias("source_id"), F.expr(COMMON).alias("block"))
+    spec = entity_resolution.Spec((entity_resolution.Comparison("block"),), (("block",),), mode="DEDUPE_ONLY", tile=64)
+    pairs = entity_resolution.candidate_pairs(rows, spec)
+    return pairs.groupBy(F.col("l_block").alias("block")).agg(F.count("*").alias("pairs"), F.sum(F.col("l").cast("long") * 31 + F.col("r").cast("long")).alias("mark"))
+
+
+FIXED = entity_resolution.Spec((entity_resolution.Comparison("name", "levenshtein", (1, 2)), entity_resolution.Comparison("segment"), entity_resolution.Comparison("nation")), (("nation", "segment"), ("name",)), prior=0.01)
+M = {"name": [0.05, 0.05, 0.1, 0.8], "segment": [0.1, 0.9], "nation": [0.05, 0.95]}
+U = {"name": [0.93, 0.05, 0.015, 0.005], "segment": [0.8, 0.2], "nation": [0.96, 0.04]}
+
+
+def weights(field: str, level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN {i} THEN log2({a}::DOUBLE / {b}::DOUBLE)" for i, (a, b) in enumerate(zip(M[field], U[field], strict=True))) + " END"
+
+
+@query(f"""WITH r AS (SELECT 'crm-' || c_custkey AS ref, 'crm' AS source, lower(c_name) AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer UNION ALL SELECT 'erp-' || c_custkey, 'erp', CASE WHEN c_custkey % 4 = 0 THEN lower(c_name) ELSE replace(lower(c_name), 'customer#', 'custmer #') END, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 2 = 0),
+p AS (SELECT a.ref AS l, b.ref AS r, levenshtein(a.name, b.name) AS d, a.segment = b.segment AS s, a.nation = b.nation AS n FROM r AS a JOIN r AS b ON a.source = 'crm' AND b.source = 'erp' AND ((a.nation = b.nation AND a.segment = b.segment) OR a.name = b.name)),
+w AS (SELECT *, log2(0.01::DOUBLE / 0.99::DOUBLE) + {weights("name", "(CASE WHEN d = 0 THEN 3 WHEN d <= 1 THEN 2 WHEN d <= 2 THEN 1 ELSE 0 END)")} + {weights("segment", "CAST(s AS INTEGER)")} + {weights("nation", "CAST(n AS INTEGER)")} AS weight, CAST(d = 0 AS INTEGER) + CAST(s AS INTEGER) + CAST(n AS INTEGER) AS agreements FROM p),
+b AS (SELECT l, r, round(weight, 6) AS weight, CASE WHEN 1 / (1 + pow(2.0, -weight)) >= 0.95 AND agreements >= 2 THEN 'STRONG_LINK_EVIDENCE' WHEN 1 / (1 + pow(2.0, -weight)) >= 0.8 THEN 'REVIEW_LINK_EVIDENCE' ELSE 'BELOW_EVIDENCE_THRESHOLD' END AS band FROM w)
+SELECT band, count(*) AS pairs, round(sum(weight), 4) AS weight, min(l) AS first_left, max(r) AS last_right FROM b GROUP BY band""")
+def er_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of two sources under given parameters, by band."""
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
+    other = F.when(F.col("c_custkey") % 4 == 0, F.lower("c_name")).otherwise(F.replace(F.lower("c_name"), F.lit("customer#"), F.lit("custmer #")))
+    rest = [F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")]
+    crm = c.select(F.concat(F.lit("crm-"), "c_custkey").alias("record_ref"), F.lit("crm").alias("source_id"), F.lower("c_name").alias("name"), *rest)
+    erp = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("erp-"), "c_custkey").alias("record_ref"), F.lit("erp").alias("source_id"), other.alias("name"), *rest)
+    pairs = entity_resolution.with_levels(entity_resolution.candidate_pairs(crm.unionByName(erp), FIXED), FIXED)
+    found = entity_resolution.scored(pairs, FIXED, M, U, FIXED.prior).withColumn("weight", F.round("weight", 6))
+    return found.groupBy("band").agg(F.count("*").alias("pairs"), F.round(F.sum("weight"), 4).alias("weight"), F.min("l").alias("first_left"), F.max("r").alias("last_right"))
