@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dependencies, discovery, entity_resolution, inclusions, matching, structure
+from tessera.operators import dependencies, discovery, entity_resolution, hypotheses, inclusions, matching, structure
+from tessera.operators.graph import settled, shared_folder
+from tessera.plans import statements
 from tessera.queries import functional_sql, query, table
+from tessera.sources import watch
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
@@ -241,3 +245,98 @@ def er_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = entity_resolution.with_levels(entity_resolution.candidate_pairs(crm.unionByName(erp), FIXED), FIXED)
     found = entity_resolution.scored(pairs, FIXED, M, U, FIXED.prior).withColumn("weight", F.round("weight", 6))
     return found.groupBy("band").agg(F.count("*").alias("pairs"), F.round(F.sum("weight"), 4).alias("weight"), F.min("l").alias("first_left"), F.max("r").alias("last_right"))
+
+
+# --- files, statements and hypotheses --------------------------------------------------------------------------------
+
+
+def footers_sql(name: str, numbers: list[str], others: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS \"values\", count(*) - count({c}) AS nulls, CAST(min({c}) + 0 AS DOUBLE) AS least, CAST(max({c}) + 0 AS DOUBLE) AS most FROM {name}" for c in numbers]
+    parts += [f"SELECT '{c}', count(*), count({c}), count(*) - count({c}), NULL, NULL FROM {name}" for c in others]
+    return " UNION ALL ".join(parts)
+
+
+@query(footers_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_shipdate"]))
+def source_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and bounds of the lines from the files' footers alone."""
+    found = watch.footer_statistics(spark, f"{sf_dir}/lineitem.parquet")
+    return found.withColumns({c: F.col(c).cast("double") for c in ("least", "most")})
+
+
+@query("SELECT 'UNCHANGED' AS state, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders")
+def source_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum over the orders, of files that are the same before and after it."""
+    with watch.unchanged(spark, f"{sf_dir}/orders.parquet") as rows:
+        found = settled(rows.agg(F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")))
+    return found.select(F.lit("UNCHANGED").alias("state"), "rows", "total")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders""")
+def source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders from eight staged parts, of which each has been held against its digest."""
+    folder = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    watch.stage_parts(rows, folder, ["o_orderkey"], 8)
+    watch.stage_parts(rows, folder, ["o_orderkey"], 8)
+    return watch.read_parts(spark, folder)
+
+
+#: statements made of a customer's name and key, and what they are
+STATEMENTS = [
+    ("SELECT * FROM c WHERE name = '{0}; DROP TABLE c'", "READ_QUERY"),
+    ("/* {0} /* inner */ UPDATE */ select 1 from c", "READ_QUERY"),
+    ("WITH x AS (SELECT {1} AS k) SELECT * FROM x", "READ_QUERY"),
+    ("WITH x AS (DELETE FROM c WHERE k = {1} RETURNING *) SELECT * FROM x", "WRITE_DML"),
+    ("WITH x AS (SELECT {1} AS k) INSERT INTO c SELECT * FROM x", "WRITE_DML"),
+    ("UPDATE c SET name = '{0}'", "WRITE_DML"),
+    ("SELECT {1}; -- {0}\n SELECT 2", "MULTI_STATEMENT"),
+    ("-- {0}", "MULTI_STATEMENT"),
+    ("SELECT k INTO d FROM c WHERE k = {1}", "FILESYSTEM_EXPORT"),
+    ("SELECT replace(name, '{0}', 'x') AS \"update\" FROM c", "READ_QUERY"),
+    ("DROP TABLE c{1}", "DDL"),
+    ("ATTACH DATABASE '{0}' AS d", "DDL"),
+    ("CALL run({1})", "PROCEDURE_EXECUTION"),
+    ("SELECT * FROM information_schema.tables WHERE k = {1}", "METADATA_QUERY"),
+    ("PRAGMA table_info(c{1})", "METADATA_QUERY"),
+    ("ROLLBACK", "TRANSACTION_CONTROL_ALLOWED"),
+    ("SELECT 'it''s {0} FROM c", "UNKNOWN"),
+    ("please read {1}", "UNKNOWN"),
+]
+
+
+@query(f"""WITH t(i, kind) AS (VALUES {', '.join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(STATEMENTS))}) SELECT kind, count(*) AS statements, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer JOIN t ON c_custkey % {len(STATEMENTS)} = i GROUP BY kind""")
+def guard_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What statements are, of which each has a customer's name or key in it."""
+    forms = F.array(*[F.lit(text) for text, _ in STATEMENTS])
+    text = F.get(forms, (F.col("c_custkey") % len(STATEMENTS)).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{0}"), F.col("c_name")), F.lit("{1}"), F.col("c_custkey").cast("string"))
+    rows = table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select("c_custkey", statements.classified(text).alias("kind"))
+    return rows.groupBy("kind").agg(F.count("*").alias("statements"), F.sum("c_custkey").alias("keys"))
+
+
+@query("""WITH d AS (SELECT c_custkey AS decision, CASE WHEN c_nationkey % 2 = 0 THEN 'RELATIONSHIP' ELSE 'MAPPING' END AS kind, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ACCEPTED' ELSE 'REVIEW_REQUIRED' END AS state, c_custkey % 50 = 0 AS old FROM customer),
+r AS (SELECT o_orderkey AS review, o_custkey AS decision, CASE WHEN o_orderpriority = '5-LOW' THEN 'REVIEW_ANALYTICAL_PLAN' ELSE 'REVIEW_EVIDENCE_DECISIONS' END AS checkpoint, CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'SKIPPED' ELSE 'REJECTED' END AS verdict, o_orderkey % 5 = 0 AS superseded FROM orders),
+a AS (SELECT decision, count(*) AS accepted FROM r WHERE verdict <> 'REJECTED' AND NOT superseded AND checkpoint = 'REVIEW_EVIDENCE_DECISIONS' GROUP BY decision),
+b AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS binding, 'RELATIONSHIP' AS kind, l_partkey AS decision, CASE WHEN l_tax > 0 THEN l_orderkey END AS review, l_returnflag AS source FROM lineitem),
+j AS (SELECT b.*, d.kind AS dk, d.state, d.old, r.decision AS rd, r.checkpoint, r.verdict, r.superseded, a.accepted FROM b LEFT JOIN d ON d.decision = b.decision LEFT JOIN r ON r.review = b.review LEFT JOIN a ON a.decision = b.decision),
+x AS (SELECT 'DECISION_UNKNOWN' AS reason, binding FROM j WHERE dk IS NULL UNION ALL SELECT 'DECISION_OF_ANOTHER_KIND', binding FROM j WHERE dk <> kind UNION ALL SELECT 'DECISION_NOT_FOR_REVIEW', binding FROM j WHERE state = 'ACCEPTED'
+UNION ALL SELECT 'REVIEW_MISSING', binding FROM j WHERE review IS NULL UNION ALL SELECT 'REVIEW_OF_ANOTHER_CHECKPOINT', binding FROM j WHERE checkpoint = 'REVIEW_ANALYTICAL_PLAN' UNION ALL SELECT 'REVIEW_NOT_ACCEPTED', binding FROM j WHERE verdict = 'REJECTED' UNION ALL SELECT 'REVIEW_SUPERSEDED', binding FROM j WHERE superseded
+UNION ALL SELECT 'REVIEW_OF_ANOTHER_DECISION', binding FROM j WHERE rd IS NOT NULL AND rd <> decision UNION ALL SELECT 'REVIEW_OF_OTHER_EVIDENCE', binding FROM j WHERE dk IS NOT NULL AND rd IS NOT NULL AND rd <> decision UNION ALL SELECT 'REVIEWED_TWICE', binding FROM j WHERE accepted > 1
+UNION ALL SELECT 'SOURCE_OUTSIDE', binding FROM j WHERE source = 'N' UNION ALL SELECT 'DECISION_OF_ANOTHER_SNAPSHOT', binding FROM j WHERE old AND source <> 'N')
+SELECT reason, count(*) AS bindings, min(binding) AS first FROM x GROUP BY reason""")
+def canonical_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why bindings are refused: lines bound to customers as decisions and to orders as reviews of them."""
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    evidence = F.sha2(F.concat(F.lit("evidence "), F.col("c_custkey").cast("string")), 256)
+    decisions = c.select(F.col("c_custkey").alias("decision"), F.when(F.col("c_nationkey") % 2 == 0, "RELATIONSHIP").otherwise("MAPPING").alias("kind"), F.when(F.col("c_mktsegment") == "BUILDING", "ACCEPTED").otherwise("REVIEW_REQUIRED").alias("state"), evidence.alias("fingerprint"), F.when(F.col("c_custkey") % 50 == 0, "s0").otherwise("s1").alias("snapshot"))
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"])
+    reviews = o.select(
+        F.col("o_orderkey").alias("review"), F.when(F.col("o_orderpriority") == "5-LOW", "REVIEW_ANALYTICAL_PLAN").otherwise(hypotheses.CHECKPOINT).alias("checkpoint"), F.col("o_custkey").alias("decision"),
+        F.when(F.col("o_orderstatus") == "F", "ACCEPTED").when(F.col("o_orderstatus") == "O", "SKIPPED").otherwise("REJECTED").alias("verdict"), (F.col("o_orderkey") % 5 == 0).alias("superseded"),
+        F.sha2(F.concat(F.lit("evidence "), F.col("o_custkey").cast("string")), 256).alias("fingerprint"), F.lit("s1").alias("snapshot"),
+    )
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_returnflag"])
+    bindings = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("binding"), F.lit("RELATIONSHIP").alias("kind"), F.col("l_partkey").alias("decision"), F.when(F.col("l_tax") > 0, F.col("l_orderkey")).alias("review"), F.col("l_returnflag").alias("source"))
+    snapshots = spark.createDataFrame([("A", "s1"), ("R", "s1")], "source string, snapshot string")
+    found = hypotheses.refusals(hypotheses.judged(bindings, decisions, reviews, snapshots))
+    return found.groupBy("reason").agg(F.count("*").alias("bindings"), F.min("binding").alias("first"))
