@@ -19,7 +19,7 @@ from tessera.sources.files import SourceError
 
 def test_footers_give_counts_and_bounds_of_all_files(spark, tmp_path):
     for i, values in enumerate([[3, None, 7], [-2, 5, None], [None, None, None]]):
-        t = pa.table({"n": pa.array(values, pa.int64()), "d": pa.array([v and v / 2 for v in values], pa.float64()), "s": pa.array([v and str(v) for v in values]), "day": pa.array([v and datetime.date(2024, 1, 1 + abs(v)) for v in values]), "l": pa.array([[1]] * 3)})
+        t = pa.table({"n": pa.array(values, pa.int64()), "d": pa.array([v and v / 2 for v in values], pa.float64()), "s": pa.array([v and str(v) for v in values], pa.string()), "day": pa.array([v and datetime.date(2024, 1, 1 + abs(v)) for v in values], pa.date32()), "l": pa.array([[1]] * 3)})
         pq.write_table(t, f"{tmp_path}/{i}.parquet")
     got = {r.column: tuple(r)[1:] for r in watch.footer_statistics(spark, str(tmp_path)).collect()}
     assert got == {"n": (9, 4, 5, "-2", "7"), "d": (9, 4, 5, "-1.0", "3.5"), "s": (9, 4, 5, None, None), "day": (9, 4, 5, "2024-01-03", "2024-01-08"), "l": (9, None, None, None, None)}
