@@ -1,10 +1,10 @@
 """Surrogates for personal data, with DataFrame functions alone.
 
 Entities are found by one pattern. Each distinct entity of the corpus, in its normal form, gets a replacement from a
-keyed hash: digits for digits, letters for letters of the same script, given names from lists of the same gender, and
+keyed hash: digits for digits, for each letter another one of the same script, given names from lists of the same gender, and
 check digits and number ranges as the kind wants them. Candidates that two entities share, or that are entities of the
 corpus themselves, are drawn again until all are distinct; then every mention is replaced in its own format, so that
-equal entities stay equal and different ones different. A name's given and family name are entities of their own, so a
+equal entities stay equal and different ones different. A mail domain is an entity of its own. A name's given and family name are entities of their own, so a
 person keeps the family name where the given name isn't said, and where a title isn't, in the same text.
 """
 
@@ -35,7 +35,8 @@ PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2
 HE, SHE = "Mr Sir Herr Monsieur Señor Don Господин Κύριος".split(), "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Doña Госпожа Κυρία".split()
 ANY = "Dr Prof Professor Doctor".split()
 TITLES = sorted(HE + SHE + ANY, key=len, reverse=True)
-WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+PART = r"\p{Lu}\p{M}*(?:\p{Ll}\p{M}*)+"
+WORD = rf"(?:\p{{Lu}}['’])?{PART}(?:['’-]?{PART})*"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:{'|'.join(TITLES)})\.? {WORD}(?: {WORD})?"
 PATTERNS = {"email": EMAIL, "iban": IBAN, "ip": IPV4, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -44,11 +45,13 @@ GIVEN = {
     "she": "Alice Berta Clara Diana Elena Flora Greta Helena Irene Julia Klara Laura Maria Nina Olga Paula Rosa Sofia Teresa Vera".split(),
     "any": "Alex Andrea Charlie Chris Dominique Elia Jamie Jean Jordan Kim Lou Luca Maxime Mika Noa Robin Sam Sascha Toni Yael".split(),
 }
-#: Letters that stand for each other: vowels and consonants of three scripts, small ones.
+#: By script: a pattern of its letters, one of its vowels, and the small vowels and consonants that stand for others. Letters of all other scripts become Latin ones.
 LETTERS = {
-    "latin": ("aeiou", "bcdfghklmnprstvz"),
-    "cyrillic": ("аеиоу", "бвгдзклмнпрст"),
-    "greek": ("αεηιο", "βγδζκλμνπρστ"),
+    "cyrillic": (r"\p{IsCyrillic}", "[аеёиоуыэюяіїєѐѝӑӓӗәӣӧөӯӱӳ]", "аеиоу", "бвгдзклмнпрст"),
+    "greek": (r"\p{IsGreek}", "[αεηιουωάέήίόύώϊϋΐΰἀ-ὠὰ-ᾯᾰ-ᾷῂ-ῇῐ-ῗῠ-ῧῲ-ῷ]", "αεηιο", "βγδζκλμνπρστ"),
+    "armenian": (r"\p{IsArmenian}", "[աեէըիոօև]", "աէըիո", "բգդզթլկհմնպսվտ"),
+    "georgian": (r"\p{IsGeorgian}", "[აეიოუ]", "აეიოუ", "ბგდვზთკლმნპრსტ"),
+    "latin": (r"\p{L}", "[aeiouyà-æè-ïðò-öøù-ýÿāăąēĕėęěĩīĭįıōŏőœũūŭůűųŷǎǐǒǔạ-ỹ]", "aeiou", "bcdfghklmnprstvz"),
 }
 
 
@@ -121,40 +124,52 @@ def pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), (number % len(letters) + 1).cast("int"), F.lit(1))
 
 
+def other_than(letter: Column, letters: str, number: Column) -> Column:
+    """One of the letters, but never the given one."""
+    at = F.instr(F.lit(letters), letter)
+    away = (at + number % (len(letters) - 1)) % len(letters) + 1
+    return F.substring(F.lit(letters), F.when(at > 0, away).otherwise(number % len(letters) + 1).cast("int"), F.lit(1))
+
+
 def like(value: Column, hexes: Column, keep: Column | int = 0) -> Column:
-    """value with each letter and digit after the first keep characters replaced by one of its own kind, script and case."""
+    """value with each letter and digit after the first keep characters replaced by another one of its own kind, script and case.
+
+    No letter stays, of whatever script, and marks that are set on letters go with them. Digits may come out as they were.
+    """
 
     def one(c: Column, i: Column) -> Column:
         n = number_at(hexes, i)
-        choice = F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
         small = F.lower(c)
-        for vowels, consonants in LETTERS.values():
-            group = {"latin": "a-zà-öø-ÿ", "cyrillic": "а-яё", "greek": "α-ωά-ώ"}[next(k for k, v in LETTERS.items() if v == (vowels, consonants))]
-            letter = F.when(small.rlike(f"[{vowels}]"), pick(vowels, n)).otherwise(pick(consonants, n))
-            choice = choice.when(small.rlike(f"[{group}]"), F.when(c == small, letter).otherwise(F.upper(letter)))
-        return F.when(i < keep, c).otherwise(choice.otherwise(c))
+        letter = None
+        for script, vowel, vowels, consonants in LETTERS.values():
+            drawn = F.when(small.rlike(vowel), other_than(small, vowels, n)).otherwise(other_than(small, consonants, n))
+            letter = F.when(c.rlike(script), drawn) if letter is None else letter.when(c.rlike(script), drawn)
+        placed = F.when(c.rlike(r"\p{Lu}|\p{Lt}"), F.upper(letter)).otherwise(letter)
+        choice = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), placed).when(c.rlike(r"\p{M}"), "").otherwise(c)
+        return F.when(i < keep, c).otherwise(choice)
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
 
 def longer(entity: Column, hexes: Column, attempt: Column) -> Column:
     """Syllables of the entity's script to put behind a candidate: none at first, one more with every second attempt."""
-    out = F.lit("")
-    for (vowels, consonants), group in zip(LETTERS.values(), (None, "Ѐ-ӿ", "Ͱ-Ͽ"), strict=True):
+    out = None
+    for script, _, vowels, consonants in LETTERS.values():
         parts = [pick(letters, number_at(hexes, F.lit(40 + 2 * k + j))) for k in range(8) for j, letters in enumerate((consonants, vowels))]
         syllables = F.substring(F.concat(*parts), F.lit(1), F.least(F.floor(attempt / 2) * 2, F.lit(16)).cast("int"))
-        out = syllables if group is None else F.when(entity.rlike(f"[{group}]"), syllables).otherwise(out)
-    return out
+        out = F.when(entity.rlike(script), syllables) if out is None else out.when(entity.rlike(script), syllables)
+    return F.coalesce(out, F.lit(""))
 
 
 def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: Column) -> Column:
-    """A candidate for an entity in its normal form. A mail domain has its own hash, so that addresses of one domain keep one."""
+    """A candidate for an entity in its normal form. An address keeps its domain here, as domains are entities of their own."""
     hexes = noise([F.lit(key), kind, entity, attempt.cast("string")])
     more = longer(entity, hexes, attempt)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    email = F.concat(like(local, hexes), more, F.lit("@"), like(host, noise([F.lit(key), F.lit("domain"), domain])), top)
+    email = F.concat(like(local, hexes), more, F.lit("@"), domain)
+    site = F.concat(like(host, hexes), more, top)
     # the first four digits say what card it is
     body = F.substring(like(entity, hexes, 4), F.lit(1), F.length(entity) - 1)
     card = F.concat(body, ((10 - luhn_sum(body, False) % 10) % 10).cast("string"))
@@ -172,8 +187,8 @@ def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: C
     country, account = F.substring(entity, 1, 2), F.substring(digits, F.lit(5), F.length(entity))
     iban = F.concat(country, F.lpad((98 - remainder_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     listed = reduce(lambda other, g: F.when(gender == g, F.element_at(F.array(*map(F.lit, GIVEN[g])), number_at(hexes, F.lit(0)) % len(GIVEN[g]) + 1)).otherwise(other), GIVEN, F.lit(""))
-    name = F.concat(F.when((kind == "given") & ~entity.rlike(r"[Ͱ-ϿЀ-ӿ]"), listed).otherwise(digits), more)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind.isin("given", "family"), name).otherwise(digits)
+    name = F.concat(F.when((kind == "given") & ~entity.rlike(r"[^\p{IsLatin}\p{M}'’-]"), listed).otherwise(digits), more)
+    return F.when(kind == "email", email).when(kind == "domain", site).when(kind == "card", card).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind.isin("given", "family"), name).otherwise(digits)
 
 
 def shuffled(entity: Column, size: int, key: str) -> Column:
@@ -252,7 +267,9 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     family = F.struct(F.lit(1).alias("part"), F.lit("family").alias("of"), F.element_at(words, -1).alias("entity"))
     given = F.struct(F.lit(0).alias("part"), F.lit("given").alias("of"), F.element_at(words, 1).alias("entity"))
     other = F.struct(F.lit(0).alias("part"), F.col("kind").alias("of"), normal_form(F.col("kind"), F.col("value")).alias("entity"))
-    parts = F.when(F.col("kind") == "name", F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(other))
+    domain = F.struct(F.lit(1).alias("part"), F.lit("domain").alias("of"), F.lower(F.substring_index("value", "@", -1)).alias("entity"))
+    of_name = F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))
+    parts = F.when(F.col("kind") == "name", of_name).when(F.col("kind") == "email", F.array(other, domain)).otherwise(F.array(other))
     return out.select("*", F.explode(parts).alias("p")).select("doc_id", "text_key", "n", "value", "kind", "p.*", F.when(F.col("kind") == "name", gender_of(F.col("value"))).otherwise("any").alias("gender"))
 
 
@@ -277,7 +294,10 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     parts = F.sort_array(F.collect_list(F.struct("part", "entity", "surrogate")))
     whole = rows.groupBy("doc_id", "text_key", "n").agg(F.first("value").alias("value"), F.first("kind").alias("kind"), parts.alias("parts"))
     joint = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), " ")
-    new = F.when(F.col("kind").isNotNull(), in_format(F.col("kind"), F.col("value"), joint("surrogate"))).otherwise(F.col("value"))
+    drawn_part = lambda k: F.get("parts", F.lit(k))["surrogate"]
+    address = F.concat(F.substring_index(drawn_part(0), "@", 1), F.lit("@"), drawn_part(1))
+    replaced = F.when(F.col("kind") == "email", address).otherwise(joint("surrogate"))
+    new = F.when(F.col("kind").isNotNull(), in_format(F.col("kind"), F.col("value"), replaced)).otherwise(F.col("value"))
     last = F.element_at("parts", -1)
     known = F.when(F.col("kind") == "name", F.array(F.struct(joint("entity").alias("old"), joint("surrogate").alias("new")), F.struct(last["entity"].alias("old"), last["surrogate"].alias("new"))))
     listed = whole.select("doc_id", "text_key", F.struct("n", new.alias("new"), F.col("kind").isNotNull().alias("hit")).alias("r"), known.alias("known"))

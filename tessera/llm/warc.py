@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,9 +42,21 @@ def http_head(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def clean(value: str) -> str:
-    """Header values stand on one line; other characters are kept by percent escapes."""
-    return "".join(c if c.isprintable() and c not in "%" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in value)
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+ESCAPED = "WARC-X-Target-URI-Escaped: yes"
+
+
+def target_lines(url: str) -> list[str]:
+    """Header lines with an address as it is. One with control characters, which can't stand in a header, has these and its percent signs escaped, and says so."""
+    if not _CONTROL.search(url):
+        return [f"WARC-Target-URI: {url}"]
+    return ["WARC-Target-URI: " + re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", url), ESCAPED]
+
+
+def target_of(fields: dict[str, str]) -> str:
+    """The address that target_lines wrote."""
+    url, (name, mark) = fields["WARC-Target-URI"], ESCAPED.split(": ")
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url) if fields.get(name) == mark else url
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -53,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {NO_DATE}",
-        f"WARC-Target-URI: {clean(url or '')}",
+        *target_lines(url or ""),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -231,7 +244,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                             raise ValueError(f"{path}: a payload differs from its digest")
-                        rows.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
+                        rows.append((page_of(fields["WARC-Record-ID"]), target_of(fields), size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
                         if len(rows) >= 4096:
                             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
                             rows = []
