@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pinned, strings, text_bytes, text_or_empty
-from .wordstream import Bitmap, Splitter, bucket_bits, byte_table, common_hashes, cut_hash, run_hashes, spans_where, string_array, word_hashes
+from .common import pinned, span_hashes, strings, text_bytes, text_or_empty
+from .wordstream import Bitmap, Splitter, bucket_bits, byte_table, common_hashes, cut_hash, run_hashes, spans_where, string_array
 
 BLANKS = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -47,7 +47,7 @@ class Limits:
 def hashes_of(array: pa.Array) -> np.ndarray:
     """A hash of each string as a whole."""
     raw, offsets = text_bytes(array)
-    return word_hashes(raw, offsets[:-1], offsets[1:])
+    return span_hashes(raw, offsets[:-1], offsets[1:])
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def possible(text: pa.Array, lang: pa.Array, sizes: range, splitter: Splitter, s
         breaks = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(_BREAK[raw], out=breaks[1:])
         part = breaks[starts] + owner  # words of one part of a text have one number
-        hashes = word_hashes(raw, starts, ends) ^ tongue[rows][owner]
+        hashes = span_hashes(raw, starts, ends) ^ tongue[rows][owner]
         alive = np.ones(max(len(starts) - unit + 1, 0), bool)
         if parts is not None:
             alive = parts.has(cut_hash(run_hashes(hashes, unit), sieve.buckets))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ SLICE_BYTES = 1 << 18  # text handled at once by the numpy code; one longer text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_POWERS: dict[str, np.ndarray] = {}
+LONG_SPAN = 1024  # bytes, from which a span is hashed on its own
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,23 +117,32 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal spans hash alike wherever they stand. Another seed gives another function.
 
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running polynomial sum; equal spans hash alike wherever they stand."""
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    Eight bytes at a time go through a mixer, so that no two spans collide by the algebra of a polynomial. What is held
+    beside a copy of the bytes grows with the number of spans, not with their length.
+    """
+    length = (ends - starts).astype(np.int64)
+    out = mix64(length.astype(np.uint64) * _ODD + np.uint64(seed * 0x2545F4914F6CDD1D % (1 << 64)))
+    if not len(length):
+        return out
+    data = np.zeros(len(raw) + 8, np.uint8)
+    data[: len(raw)] = raw
+    lanes = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        whole = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(whole, "little")
+    at, step = np.flatnonzero((length > 0) & (length <= LONG_SPAN)), 0
+    while len(at):
+        left = length[at] - step
+        lane = lanes[starts[at] + step]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix64((out[at] ^ lane) + _ODD)
+        step += 8
+        at = at[left > 8]
+    return out
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -276,6 +276,8 @@ def node_components(
     found = rows.join(involved.withColumnRenamed("node", "_node"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("_node")))
     # nodes that are in buckets of four and more may be compared again
     sets = pinned(shingle_sets(found.select("node", "text"), words, weighting))
+    if sets.groupBy("node").count().where("count > 1").take(1):  # repeated rows: one set for each text
+        sets = pinned(sets.dropDuplicates(["node"]))
     labels = components(checked(pairs, sets, least))
     open_members = members.where(f"n > 3 AND n <= {wide}").select("key", "node")
     large = members.where(f"n > {wide}")

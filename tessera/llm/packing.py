@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, span_hashes, strings, text_or_empty
+from .common import slices, span_hashes, strings, text_or_empty
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -164,7 +164,7 @@ class WordIds:
         sign[1:] = both[1:] == both[:-1]
         starts, ends, owner = np.where(sign, ends[both] - 1, starts[both]), ends[both] - (closed[both] & ~sign), owner[both]
         if len(raw) <= STRETCH_BYTES:
-            hashed, checks = span_hashes(raw, starts, ends), span_hashes(BYTE_CODES[raw], starts, ends)
+            hashed, checks = span_hashes(raw, starts, ends), span_hashes(raw, starts, ends, seed=1)
             keys, first, slot = np.unique(hashed, return_index=True, return_inverse=True)
             clash = np.flatnonzero(checks != checks[first][slot])
             ids, at, n = self.look_up(raw, starts[first], ends[first], keys, checks[first])
@@ -187,7 +187,6 @@ ODD_CASES = re.compile("[\u03a3\u0130]")
 SIGNS = ".,;:!?"
 MARK = "\x01"  # between words that are encoded together; words that hold it are encoded one by one
 IS_SIGN = np.isin(np.arange(256), list(SIGNS.encode()))
-BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64))
 _CODERS: dict[tuple[str, int], WordIds] = {}
 
 

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_weight, pinned, removed, shared_dir, strings, text_bytes, text_or_empty, weight_sums
+from .common import joined_by_weight, pinned, removed, shared_dir, span_hashes, strings, text_bytes, text_or_empty, weight_sums
 from .fm_index import FMIndex
-from .wordstream import Bitmap, Splitter, bucket_bits, common_hashes, cut_hash, run_hashes, spans_where, string_array, word_hashes
+from .wordstream import Bitmap, Splitter, bucket_bits, common_hashes, cut_hash, run_hashes, spans_where, string_array
 
 SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 50
@@ -36,7 +36,7 @@ SEGMENTS = "doc_id long, node binary, place long, windows int, anchor long, word
 def run_codes(raw: np.ndarray, offsets: np.ndarray, splitter: Splitter, run: int):
     """Starts, ends, text numbers of words, and a hash of the run from each word on; `whole` tells which runs lie in one text."""
     starts, ends, owner = spans_where(~splitter.space[raw], offsets)
-    codes = run_hashes(word_hashes(raw, starts, ends), run)
+    codes = run_hashes(span_hashes(raw, starts, ends), run)
     return starts, ends, owner, codes, owner[: len(codes)] == owner[run - 1 : run - 1 + len(codes)]
 
 

@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix64, slices, span_hashes, text_bytes
+from .common import SLICE_BYTES, mix64, slices, text_bytes
 
 HELD_HASHES = 1 << 21  # that a task gathers before it hands them on
-CLIP = 256  # bytes of a word that its hash looks at, beside its length
 BLOCK_BITS = 15  # of bitmap_construct_agg's blocks
 MOST_BITS = 27  # of a bitmap's width: 16 MB
 
@@ -86,17 +85,6 @@ def string_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's first bytes and length. Different words may share one: it only ever chooses and filters."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    length = (ends - starts).astype(np.uint64)
-    if int(length.max()) > CLIP:
-        raw, offsets = gathered(raw, starts, np.minimum(ends, starts + CLIP))
-        starts, ends = offsets[:-1], offsets[1:]
-    return mix64(span_hashes(raw, starts, ends) + length)
-
-
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive values, in order, across texts: the caller drops those that cross an end."""
     size = max(len(hashes) - n + 1, 0)
