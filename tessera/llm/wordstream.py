@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, mix64, slices, text_bytes
 
-HELD_HASHES = 1 << 21  # that a task gathers before it hands them on
+HELD_HASHES = 1 << 20  # that a task gathers before it hands them on
 BLOCK_BITS = 15  # of bitmap_construct_agg's blocks
 MOST_BITS = 27  # of a bitmap's width: 16 MB
 
