@@ -17,6 +17,7 @@ SLICE_BYTES = 1 << 18  # text handled at once by the numpy code; one longer text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 LONG_SPAN = 1024  # bytes, from which a span is hashed on its own
 
 
@@ -130,18 +131,16 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     data = np.zeros(len(raw) + 8, np.uint8)
     data[: len(raw)] = raw
     lanes = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
+    # eight bytes of each span at a time; bytes beyond its end count as none
+    out = mix64((out ^ (lanes[starts] & _FIRST_BYTES[np.minimum(length, 8)])) + _ODD)
+    at, step = np.flatnonzero((length > 8) & (length <= LONG_SPAN)), 8
+    while len(at):
+        left = length[at] - step
+        out[at] = mix64((out[at] ^ (lanes[starts[at] + step] & _FIRST_BYTES[np.minimum(left, 8)])) + _ODD)
+        at, step = at[left > 8], step + 8
     for i in np.flatnonzero(length > LONG_SPAN).tolist():
         whole = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
         out[i] = int.from_bytes(whole, "little")
-    at, step = np.flatnonzero((length > 0) & (length <= LONG_SPAN)), 0
-    while len(at):
-        left = length[at] - step
-        lane = lanes[starts[at] + step]
-        short = left < 8
-        lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
-        out[at] = mix64((out[at] ^ lane) + _ODD)
-        step += 8
-        at = at[left > 8]
     return out
 
 
