@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators.graph import connected_components
 
@@ -41,10 +40,10 @@ def survivors(values: DataFrame, policy: str, priority: tuple[str, ...] = ()) ->
         rank = -F.unix_micros(F.col("observed_at").cast("timestamp"))
     elif policy == "MOST_COMPLETE":
         able = F.col("value").isNotNull()
-    order = Window.partitionBy("canonical_ref", "attribute").orderBy((~able).cast("int"), rank.asc_nulls_last(), "value_ref")
-    group = Window.partitionBy("canonical_ref", "attribute")
-    seen = values.withColumn("able", able).withColumn("place", F.row_number().over(order)).withColumn("kinds", F.size(F.collect_set("value").over(group))).withColumn("undated", F.count_if(F.col("observed_at").isNull()).over(group))
-    first = seen.where("place = 1")
+    # the best value is a smallest struct, so a group of any size is put together before it is shuffled
+    best = F.min(F.struct((~able).cast("int").alias("unable"), rank.isNull().alias("unranked"), rank.alias("rank"), "value_ref", "value")).alias("best")
+    kinds, undated = F.countDistinct("value").alias("kinds"), F.count_if(F.col("observed_at").isNull()).alias("undated")
+    first = values.groupBy("canonical_ref", "attribute").agg(best, kinds, undated).select("canonical_ref", "attribute", "kinds", "undated", (F.col("best.unable") == 0).alias("able"), "best.value_ref", "best.value")
     if policy == "PREFERRED_SOURCE":
         chosen, reason = F.col("able"), F.lit("MISSING_AUTHORITY_CONFLICT")
     elif policy == "MOST_RECENT_VALID":

@@ -8,8 +8,8 @@ from itertools import permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dependencies, discovery, entity_resolution, hypotheses, inclusions, matching, structure
-from tessera.operators.graph import settled, shared_folder
+from tessera.operators import canonical, dependencies, discovery, entity_resolution, evaluation, hypotheses, inclusions, matching, structure
+from tessera.operators.graph import connected_components, settled, shared_folder
 from tessera.plans import statements
 from tessera.queries import functional_sql, query, table
 from tessera.sources import watch
@@ -340,3 +340,32 @@ def canonical_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = spark.createDataFrame([("A", "s1"), ("R", "s1")], "source string, snapshot string")
     found = hypotheses.refusals(hypotheses.judged(bindings, decisions, reviews, snapshots))
     return found.groupBy("reason").agg(F.count("*").alias("bindings"), F.min("binding").alias("first"))
+
+
+# --- graphs, survivors and splits ------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' AS p, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS k0, lag(o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH') OVER (ORDER BY o_orderkey) AS p0 FROM orders),
+i AS (SELECT k, CAST(sum(CASE WHEN k0 = k - 1 AND p0 = p THEN 0 ELSE 1 END) OVER (ORDER BY k) AS BIGINT) AS run FROM o) SELECT k AS node, min(k) OVER (PARTITION BY run) AS component FROM i""")
+def graph_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many components: chains of orders that follow each other with one urgency, and orders that stand alone."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"]).select(F.col("o_orderkey").alias("left"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("urgent"))
+    after = o.select((F.col("left") - 1).alias("left"), "urgent", F.col("left").alias("right"))
+    links = o.join(after, ["left", "urgent"]).select("left", "right")
+    return connected_components(links.unionByName(o.select("left", F.col("left").alias("right"))))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS canonical_ref, first(o_orderpriority ORDER BY (o_orderstatus = 'P'), printf('%012d', o_orderkey)) AS value, CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'P') = 0 THEN 'NO_COMPLETE_VALUE' WHEN count(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus <> 'P') > 1 THEN 'DIFFERING_SOURCE_VALUES' END AS conflict
+FROM (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority FROM orders) GROUP BY 1""")
+def canonical_most_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first value that isn't missing, of all orders of a customer."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"])
+    value = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    rows = o.select(F.col("o_custkey").cast("string").alias("canonical_ref"), F.lit("priority").alias("attribute"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("value_ref"), F.lit("s").alias("source_id"), value.alias("value"), F.col("o_orderdate").alias("observed_at"))
+    return canonical.survivors(rows, "MOST_COMPLETE").select("canonical_ref", "value", "conflict")
+
+
+@query("""WITH g AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 3 AS p FROM (SELECT DISTINCT user_id FROM events)) SELECT event_id, ['TRAIN', 'VALIDATION', 'TEST'][p + 1] AS split FROM events JOIN g USING (user_id)""")
+def evaluate_grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the place of their user among all, three by three."""
+    return evaluation.grouped_split(table(spark, sf_dir, "events", ["event_id", "user_id"]), "user_id").select("event_id", "split")
