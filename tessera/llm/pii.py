@@ -124,11 +124,11 @@ def pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), (number % len(letters) + 1).cast("int"), F.lit(1))
 
 
-def other_than(letter: Column, letters: str, number: Column) -> Column:
+def other_than(letter: Column, letters: Column, number: Column) -> Column:
     """One of the letters, but never the given one."""
-    at = F.instr(F.lit(letters), letter)
-    away = (at + number % (len(letters) - 1)) % len(letters) + 1
-    return F.substring(F.lit(letters), F.when(at > 0, away).otherwise(number % len(letters) + 1).cast("int"), F.lit(1))
+    at, count = F.instr(letters, letter), F.length(letters)
+    place = F.when(at > 0, (at + number % (count - 1)) % count).otherwise(number % count)
+    return F.substring(letters, (place + 1).cast("int"), F.lit(1))
 
 
 def like(value: Column, hexes: Column, keep: Column | int = 0) -> Column:
@@ -137,18 +137,24 @@ def like(value: Column, hexes: Column, keep: Column | int = 0) -> Column:
     No letter stays, of whatever script, and marks that are set on letters go with them. Digits may come out as they were.
     """
 
-    def one(c: Column, i: Column) -> Column:
-        n = number_at(hexes, i)
-        small = F.lower(c)
-        letter = None
+    # three steps, so that no part of the expression stands in it twice
+    def with_table(c: Column, i: Column) -> Column:
+        table = None
         for script, vowel, vowels, consonants in LETTERS.values():
-            drawn = F.when(small.rlike(vowel), other_than(small, vowels, n)).otherwise(other_than(small, consonants, n))
-            letter = F.when(c.rlike(script), drawn) if letter is None else letter.when(c.rlike(script), drawn)
-        placed = F.when(c.rlike(r"\p{Lu}|\p{Lt}"), F.upper(letter)).otherwise(letter)
-        choice = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), placed).when(c.rlike(r"\p{M}"), "").otherwise(c)
-        return F.when(i < keep, c).otherwise(choice)
+            letters = F.when(F.lower(c).rlike(vowel), vowels).otherwise(consonants)
+            table = F.when(c.rlike(script), letters) if table is None else table.when(c.rlike(script), letters)
+        return F.struct(c.alias("c"), (i < keep).alias("keep"), number_at(hexes, i).alias("n"), table.alias("table"))
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+    def with_letter(x: Column) -> Column:
+        return F.struct(x["c"].alias("c"), x["keep"].alias("keep"), x["n"].alias("n"), other_than(F.lower(x["c"]), x["table"], x["n"]).alias("letter"))
+
+    def chosen(x: Column) -> Column:
+        placed = F.when(x["c"].rlike(r"\p{Lu}|\p{Lt}"), F.upper(x["letter"])).otherwise(x["letter"])
+        choice = F.when(x["keep"], x["c"]).when(x["letter"].isNotNull(), placed).when(x["c"].rlike("[0-9]"), (x["n"] % 10).cast("string"))
+        return choice.when(x["c"].rlike(r"\p{M}"), "").otherwise(x["c"])
+
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.array_join(F.transform(F.transform(F.transform(chars, with_table), with_letter), chosen), "")
 
 
 def longer(entity: Column, hexes: Column, attempt: Column) -> Column:
