@@ -16,18 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import fresh, mix64, pinned, slices, span_hashes, strings, text_bytes, text_or_empty, word_spans
 
 CUT = 0.3  # score from which a document is predicted good
 FOLDS = 5
+WINDOW_BYTES = 1 << 18  # bytes whose n-grams are taken at once
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows_per_class bounds the labelled rows that training reads; all else shapes the model."""
+    """rows_per_class bounds the labelled rows that training reads, bytes_per_class their features; all else shapes the model."""
 
     rows_per_class: int = 800
+    bytes_per_class: int = 128 << 20
     buckets: int = 1 << 18
     dim: int = 12
     ngrams: tuple[int, ...] = (3, 5)
@@ -38,36 +41,59 @@ class Settings:
     seed: int = 17
 
 
-def feature_buckets(array: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every feature of the whole texts. An empty text has none."""
+def feature_parts(array: pa.Array, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every feature of the whole texts, in parts; an empty text has none.
+
+    Byte n-grams come in windows of WINDOW_BYTES, so that what is held beside the texts grows with their words alone.
+    """
     mask = np.uint64(settings.buckets - 1)
     raw, offsets = text_bytes(array)
-    owners, codes = [], []
     starts, ends, owner = word_spans(raw, offsets)
     if len(starts):
         words = span_hashes(raw, starts, ends)
-        pairs = mix64(words[:-1] * np.uint64(3) + words[1:])
+        del starts, ends
+        yield owner, (words & mask).astype(np.int64)
+        yield owner, (recurrence(owner, words, 1) & mask).astype(np.int64)
         same = owner[:-1] == owner[1:]
-        pair_owner, pairs = owner[:-1][same], pairs[same]
-        owners += [owner, pair_owner, owner, pair_owner]
-        codes += [words & mask, pairs & mask, recurrence(owner, words, 1) & mask, recurrence(pair_owner, pairs, 2) & mask]
-    place = np.repeat(np.arange(len(array)), np.diff(offsets))
-    wide = raw.astype(np.uint64)
+        pair_owner, pairs = owner[:-1][same], mix64(words[:-1] * np.uint64(3) + words[1:])[same]
+        del words, same
+        yield pair_owner, (pairs & mask).astype(np.int64)
+        yield pair_owner, (recurrence(pair_owner, pairs, 2) & mask).astype(np.int64)
+        del pair_owner, pairs
+    del owner
     for n in settings.ngrams:
-        count = len(raw) - n + 1
-        if count <= 0:
-            continue
-        value = np.full(count, n, np.uint64)
-        for k in range(n):
-            value = value * np.uint64(0x100000001B3) + wide[k : k + count]
-        same = place[:count] == place[n - 1 : n - 1 + count]
-        value ^= value >> np.uint64(29)
-        value *= np.uint64(0xBF58476D1CE4E5B9)
-        owners.append(place[:count][same])
-        codes.append((value[same] >> np.uint64(40)) & mask)
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(owners), np.concatenate(codes).astype(np.int64)
+        for at in range(0, len(raw) - n + 1, WINDOW_BYTES):
+            # windows overlap by n - 1 bytes, so each n-gram starts in one of them
+            wide = raw[at : at + WINDOW_BYTES + n - 1].astype(np.uint64)
+            place = np.searchsorted(offsets, np.arange(at, at + len(wide)), side="right") - 1
+            count = len(wide) - n + 1
+            value = np.full(count, n, np.uint64)
+            for k in range(n):
+                value = value * np.uint64(0x100000001B3) + wide[k : k + count]
+            same = place[:count] == place[n - 1 : n - 1 + count]
+            value ^= value >> np.uint64(29)
+            value *= np.uint64(0xBF58476D1CE4E5B9)
+            yield place[:count][same], ((value[same] >> np.uint64(40)) & mask).astype(np.int64)
+
+
+def feature_buckets(array: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every feature of texts that are short enough to hold all of them."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *feature_parts(array, settings)]
+    return np.concatenate([o for o, _ in parts]), np.concatenate([c for _, c in parts])
+
+
+def bucket_counts(array: pa.Array, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each text, ascending, and how many of its features are in each."""
+    if len(array) == 1:  # it may be of any length
+        total = np.zeros(settings.buckets, np.int64)
+        for _, code in feature_parts(array, settings):
+            total += np.bincount(code, minlength=settings.buckets)
+        found = np.flatnonzero(total)
+        return [(found, total[found])]
+    owner, code = feature_buckets(array, settings)
+    key, counts = np.unique(owner * settings.buckets + code, return_counts=True)
+    cut = np.searchsorted(key, np.arange(len(array) + 1) * settings.buckets)
+    return [(key[s:e] & (settings.buckets - 1), counts[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def recurrence(owner: np.ndarray, values: np.ndarray, kind: int) -> np.ndarray:
@@ -89,9 +115,10 @@ class Model:
     settings: Settings
 
     def score(self, array: pa.Array) -> np.ndarray:
-        owner, code = feature_buckets(array, self.settings)
-        total = np.bincount(owner, weights=self.weights[code], minlength=len(array))
-        count = np.bincount(owner, minlength=len(array))
+        total, count = np.zeros(len(array)), np.zeros(len(array), np.int64)
+        for owner, code in feature_parts(array, self.settings):
+            total += np.bincount(owner, weights=self.weights[code], minlength=len(array))
+            count += np.bincount(owner, minlength=len(array))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
@@ -140,7 +167,8 @@ def fold_of(column: str):
 def training_samples(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> list:
     """Features of at most rows_per_class labelled texts of each class, outside fold 0.
 
-    Rows are chosen by the hash of their id. An id with several labels takes their majority, a tie counts as good;
+    Rows are chosen by the hash of their id, as many as have bytes_per_class of features together, and one at least.
+    An id with several labels takes their majority, a tie counts as good;
     null ids and null labels aren't used.
     """
     known = (
@@ -159,10 +187,7 @@ def training_samples(docs: DataFrame, labels: DataFrame, settings: Settings, id_
         for batch in batches:
             array = strings(batch, "text")
             for a, b in slices(array):
-                owner, code = feature_buckets(array.slice(a, b - a), settings)
-                key, counts = np.unique(owner * settings.buckets + code, return_counts=True)
-                cut = np.searchsorted(key, np.arange(b - a + 1) * settings.buckets)
-                rows = [(key[s:e] & (settings.buckets - 1), counts[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                rows = bucket_counts(array.slice(a, b - a), settings)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").slice(a, b - a),
@@ -174,7 +199,13 @@ def training_samples(docs: DataFrame, labels: DataFrame, settings: Settings, id_
                 )
 
     kind = dict(texts.dtypes)["key"]
-    rows = picked.select("key", "text", "label").mapInArrow(features, f"key {kind}, codes binary, shares binary, label int").collect()
+    # at most rows_per_class rows a class stand in a window
+    rows = pinned(picked.select("key", "text", "label").mapInArrow(features, f"key {kind}, codes binary, shares binary, label int"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
+    size = (F.octet_length("codes") + F.octet_length("shares")).cast("long")
+    sized = rows.select("key", "label", F.sum(size).over(order).alias("bytes"), F.row_number().over(order).alias("place"))
+    within = sized.where((F.col("bytes") <= settings.bytes_per_class) | (F.col("place") == 1)).select("key")
+    rows = rows.join(F.broadcast(within), "key").collect()
     rows.sort(key=lambda r: r.key)
     return [(np.frombuffer(r.codes, "<u4"), np.frombuffer(r.shares, "<f4"), r.label) for r in rows]
 
