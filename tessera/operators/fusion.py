@@ -27,6 +27,14 @@ RELATIONSHIP = (
     Dimension("type_compatibility", ("type_compatibility",), 0.75, "compatibility"),
     Dimension("declared_constraint", ("declared_foreign_key",), 1.0, required=False),
 )
+# The weights and metrics of the mapping policy; one matcher at least has to rank the pair.
+MAPPING = (
+    Dimension("matcher:coma:rank", ("matcher_rank:coma",), 1.0, "ordinal", required=False),
+    Dimension("matcher:cupid:rank", ("matcher_rank:cupid",), 1.0, "ordinal", required=False),
+    Dimension("type_compatibility", ("type_compatibility",), 0.75, "compatibility"),
+)
+MAPPING_FAMILIES = ("PROFILE", "QUALITY", "DEPENDENCY")
+MAPPING_MATCHERS = ("matcher:coma:rank", "matcher:cupid:rank")
 BANDS = (("HIGH", 0.75), ("MEDIUM", 0.4))
 
 
@@ -160,11 +168,11 @@ def deduplicated(signals: DataFrame) -> DataFrame:
     return once
 
 
-def decisions(signals: DataFrame, policy: tuple[Dimension, ...] = RELATIONSHIP, required: tuple[str, ...] = (), conflicts: DataFrame | None = None) -> DataFrame:
+def decisions(signals: DataFrame, policy: tuple[Dimension, ...] = RELATIONSHIP, required: tuple[str, ...] = (), conflicts: DataFrame | None = None, one_of: tuple[str, ...] = ()) -> DataFrame:
     """A decision for each subject, with what speaks for and against it; all are for review, none is taken here.
 
     (subject, score, band, state, supports, contradicts, missing, conflicts, limitations, fingerprint). A subject lacks
-    evidence if a required dimension or a required family has none. The explanations are lists of one subject's own
+    evidence if a required dimension or a required family has none, or all the dimensions of one_of. The explanations are lists of one subject's own
     evidence, in order. The fingerprint is that of the evidence and the policy; another one makes an old review stale.
     """
     found = conflicts if conflicts is not None else find_conflicts(signals)
@@ -176,13 +184,15 @@ def decisions(signals: DataFrame, policy: tuple[Dimension, ...] = RELATIONSHIP,
         F.array_sort(F.collect_set(F.when(F.col("direction") == "CONTRADICTS", said))).alias("contradicts"),
         F.array_sort(F.collect_set(F.when(F.col("normal").isNull(), F.concat("evidence_id", F.lit(": doesn't score"))))).alias("silent"),
         F.array_sort(F.collect_set("family")).alias("families"),
+        F.max(F.col("dimension").isin(*one_of) & F.col("normal").isNotNull() if one_of else F.lit(True)).alias("chosen"),
         F.sha2(F.concat_ws("|", F.lit(repr(policy)), F.array_sort(F.collect_set(F.concat_ws("=", "evidence_id", "direction", F.col("value").cast("string"))))), 256).alias("fingerprint"),
     )
     clashes = found.groupBy("subject").agg(F.array_sort(F.collect_set("conflict")).alias("conflicts"))
     out = scored.join(lists, "subject").join(clashes, "subject", "left")
     producers = F.transform(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), "families"), lambda f: F.concat(F.lit("producer:"), F.lower(f)))
     dimensions = F.transform(F.filter(F.split("missing", ","), lambda d: d != ""), lambda d: F.concat(F.lit("dimension:"), d))
-    missing = F.array_sort(F.concat(producers, dimensions))
+    lacking = F.when(F.coalesce("chosen", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("dimension:" + "|".join(one_of))))
+    missing = F.array_sort(F.concat(producers, dimensions, lacking))
     clash = F.coalesce("conflicts", F.array().cast("array<string>"))
     state = F.when(F.size(missing) > 0, "INCOMPLETE_REQUIRED_EVIDENCE").otherwise("REVIEW_REQUIRED")
     return out.select("subject", "score", "band", state.alias("state"), "supports", "contradicts", missing.alias("missing"), clash.alias("conflicts"), F.concat(missing, F.transform(clash, lambda c: F.concat(F.lit("conflict "), c)), "silent").alias("limitations"), "fingerprint")

@@ -44,8 +44,9 @@ class Dimension:
     rows: DataFrame = field(compare=False)
 
 
-def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: dict[str, Column], required: tuple[str, ...] = (), unknown_member: bool = False, check: bool = True) -> Dimension:
+def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: dict[str, Column], required: tuple[str, ...] = (), unknown_member: bool = False, check: bool = True, history: str = "TYPE1_SNAPSHOT") -> Dimension:
     """One row for each canonical reference. Repeated references, null required attributes and key clashes are errors."""
+    history_mode(history)
     key = f"{name}_key"
     out = rows.select(reference.cast("string").alias("canonical_ref"), *[c.alias(a) for a, c in attributes.items()])
     out = out.select(surrogate_key(name, F.col("canonical_ref")).alias(key), "*")
@@ -63,6 +64,23 @@ def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: d
     return Dimension(name, key, out)
 
 
+def history_mode(mode: str = "TYPE1_SNAPSHOT", overwrite: bool = True, columns: tuple[str | None, str | None, str | None] = (None, None, None)) -> str:
+    """The mode in which a dimension may be built: the present snapshot alone, written over the last.
+
+    Histories can be prepared by naming their columns (valid from, valid to, current), but none is built: no source has a
+    contract of history, so TYPE2_PREPARED is refused where rows are asked for.
+    """
+    if mode == "TYPE1_SNAPSHOT":
+        if not overwrite:
+            raise StarError("SNAPSHOT_MUST_OVERWRITE", mode)
+        return mode
+    if mode != "TYPE2_PREPARED":
+        raise StarError("UNKNOWN_HISTORY_MODE", mode)
+    if not all(columns):
+        raise StarError("HISTORY_COLUMNS_MISSING", mode)
+    raise StarError("HISTORY_NOT_SUPPORTED", mode)
+
+
 def unknown_row(rows: DataFrame, name: str, key: str) -> DataFrame:
     reference = f"__UNKNOWN__:{name}"
     one = rows.sparkSession.range(1).select(F.lit(reference).alias("canonical_ref"))

@@ -140,6 +140,65 @@ def dispositions(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return check("dispositions", both.where(~F.col("e").eqNullSafe(F.col("o"))))
 
 
+def snapshot_universe(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """Sources whose records aren't all of the one snapshot that is pinned for them, with a fingerprint of its schema.
+
+    records: (source, snapshot); declared: (source, snapshot, schema). Pinned sources without records, sources with records
+    that aren't pinned, and sources pinned twice differ, too.
+    """
+    found = records.groupBy("source").agg(F.min("snapshot").alias("low"), F.max("snapshot").alias("high"), F.count_if(F.col("snapshot").isNull()).alias("without"))
+    pinned = declared.groupBy("source").agg(F.min("snapshot").alias("snapshot"), F.countDistinct("snapshot").alias("pins"), F.count_if(F.coalesce(F.trim("schema"), F.lit("")) == "").alias("bare"))
+    both = pinned.join(found, "source", "full")
+    fine = (F.col("pins") == 1) & (F.col("bare") == 0) & (F.col("without") == 0) & (F.col("low") == F.col("snapshot")) & (F.col("high") == F.col("snapshot"))
+    return check("snapshot_universe", both.where(~F.coalesce(fine, F.lit(False))))
+
+
+def event_errors(events: DataFrame, maps: DataFrame, instances: DataFrame) -> DataFrame:
+    """(record_ref, reason) of event records whose map or instance isn't what the source says; a record has one reason, the first.
+
+    events: (record_ref, entity, type), what is expected; maps: (record_ref, entity, type), one a record; instances:
+    (entity, kind), of which events have the kind EVENT.
+    """
+    mapped = maps.select("record_ref", F.col("entity").alias("_entity"), F.col("type").alias("_type"), F.lit(True).alias("_map"))
+    known = instances.select("entity", F.col("kind").alias("_kind"), F.lit(True).alias("_instance"))
+    both = events.join(mapped, "record_ref", "left").join(known, "entity", "left")
+    reason = (
+        F.when(F.col("_map").isNull(), "NO_MAP").when(F.col("_instance").isNull(), "NO_INSTANCE").when(~F.col("_kind").eqNullSafe(F.lit("EVENT")), "NOT_AN_EVENT")
+        .when(~F.col("_entity").eqNullSafe(F.col("entity")), "ANOTHER_ENTITY").when(~F.col("_type").eqNullSafe(F.col("type")), "ANOTHER_TYPE")
+    )
+    return both.select("record_ref", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def event_relationships(events: DataFrame, maps: DataFrame, instances: DataFrame, needed: DataFrame, declared: DataFrame) -> DataFrame:
+    """Event records with a wrong identity, and relationships (relationship) that are needed and not declared; without any event it isn't evaluated."""
+    missing = needed.select("relationship").distinct().join(declared.select("relationship").distinct(), "relationship", "left_anti")
+    bad = event_errors(events, maps, instances).select("reason").unionByName(missing.select(F.lit("NOT_DECLARED").alias("reason")))
+    status = F.when(~F.col("any"), "NOT_EVALUATED").otherwise(F.col("status"))
+    some = events.limit(1).agg((F.count("*") > 0).alias("any"))
+    return check("event_relationships", bad).join(some, F.lit(True)).select("check", status.alias("status"), "discrepancies", "severity")
+
+
+def entity_counts(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """(type, expected, observed) of the types whose entities (type, entity) differ in number."""
+    counts = [rows.groupBy("type").agg(F.countDistinct("entity").alias(n)) for rows, n in ((expected, "expected"), (observed, "observed"))]
+    both = counts[0].join(counts[1], "type", "full").fillna(0, ["expected", "observed"])
+    return both.where("expected <> observed")
+
+
+def unexplained_merges(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """(entity, reason) of declared consolidations (entity, record_ref) that the maps (record_ref, entity, disposition) don't show as such.
+
+    Every member has to be mapped to the entity as CONSOLIDATED, and nothing else may be mapped to it.
+    """
+    theirs = maps.select("record_ref", F.col("entity").alias("_entity"), "disposition")
+    both = groups.distinct().join(theirs, "record_ref", "left")
+    member = F.when(~F.col("_entity").eqNullSafe(F.col("entity")), "MEMBER_ELSEWHERE").when(F.col("disposition") != "CONSOLIDATED", "MEMBER_NOT_CONSOLIDATED")
+    inside = both.select("entity", member.alias("reason")).where("reason IS NOT NULL")
+    named = groups.select("entity").distinct()
+    more = maps.join(named, "entity", "left_semi").join(groups.select("entity", "record_ref").distinct(), ["entity", "record_ref"], "left_anti")
+    return inside.unionByName(more.select("entity", F.lit("MEMBER_TOO_MANY").alias("reason"))).distinct()
+
+
 def gate(checks: list[DataFrame]) -> DataFrame:
     """All checks under each other."""
     return reduce(lambda a, b: a.unionByName(b), checks)

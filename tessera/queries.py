@@ -933,4 +933,4 @@ def semantic_built_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("`customer.segment`").alias("segment"), F.col("`date.year`").alias("year"), F.col("price").cast("double").alias("price"))
 
 
-from tessera import queries_discovery  # noqa: E402, F401 - registers its queries
+from tessera import queries_discovery, queries_truth  # noqa: E402, F401 - register their queries
