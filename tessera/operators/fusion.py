@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.graph import settled
+
 
 @dataclass(frozen=True)
 class Dimension:
@@ -161,7 +163,7 @@ def signals_of(rows: DataFrame, family: str, metric: Column, value: Column, dire
 
 def deduplicated(signals: DataFrame) -> DataFrame:
     """signals, each once; an id with several contents is an error."""
-    once = signals.distinct()
+    once = settled(signals.distinct())  # measured once, however often decisions read it
     clash = collisions(once).select("evidence_id").take(3)
     if clash:
         raise ValueError(f"EVIDENCE_COLLISION: {[r[0] for r in clash]}")

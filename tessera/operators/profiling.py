@@ -94,13 +94,13 @@ def value_counts(rows: DataFrame, columns: list[str], markers: tuple[str, ...] =
     return rows.select(F.explode(cells).alias("cell")).select("cell.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def spread(rows: DataFrame, columns: list[str], markers: tuple[str, ...] = (), limit: int = DISTINCT_LIMIT) -> DataFrame:
+def spread(rows: DataFrame, columns: list[str], markers: tuple[str, ...] = (), limit: int | None = DISTINCT_LIMIT) -> DataFrame:
     """(column, non_missing, distinct_count, distinct_ratio, gini, uniqueness) from value counts.
 
-    Above the limit of distinct values, counts and impurity are reported as not computed.
+    Above the limit of distinct values, counts and impurity are reported as not computed; without one, always computed.
     """
     found = value_counts(rows, columns, markers).groupBy("column").agg(F.sum("n").alias("non_missing"), F.count("*").alias("d"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    within = F.col("d") <= limit
+    within = F.lit(True) if limit is None else F.col("d") <= limit
     return found.select(
         "column",
         "non_missing",

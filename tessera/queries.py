@@ -872,7 +872,7 @@ CASE WHEN subject LIKE 'rel:orders%' THEN '' ELSE 'producer:profile' END AS miss
 def fusion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for review, of which two lack the evidence of a profile."""
     signals = relationship_evidence(spark, sf_dir)
-    spread = profiling.spread(table(spark, sf_dir, "orders", ["o_custkey"]), ["o_custkey"]).withColumn("subject", F.lit("rel:orders.o_custkey->customer.c_custkey"))
+    spread = profiling.spread(table(spark, sf_dir, "orders", ["o_custkey"]), ["o_custkey"], limit=None).withColumn("subject", F.lit("rel:orders.o_custkey->customer.c_custkey"))
     profile = fusion.signals_of(spread, "PROFILE", F.lit("distinct_ratio"), F.col("distinct_ratio"))
     found = fusion.decisions(fusion.deduplicated(signals.unionByName(profile)), required=("DEPENDENCY", "PROFILE"))
     return found.select("subject", F.round("score", 9).alias("score"), "state", F.concat_ws(",", "missing").alias("missing"), F.size("supports").alias("supports"), F.size("contradicts").alias("contradicts"))
