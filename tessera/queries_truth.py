@@ -196,7 +196,7 @@ def fusion_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on three relationships from dependency, declared, profile, quality, learned, semantic and asserted evidence."""
     o, c = table(spark, sf_dir, "orders", ["o_custkey"]), table(spark, sf_dir, "customer", ["c_custkey"])
     first, third = "rel:orders.o_custkey->customer.c_custkey", "rel:customer.c_nationkey->supplier.s_nationkey"
-    spread = profiling.spread(o, ["o_custkey"]).withColumn("subject", F.lit(first))
+    spread = profiling.spread(o, ["o_custkey"], limit=None).withColumn("subject", F.lit(first))
     valid = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").agg((F.count("c_custkey") / F.count("*")).alias("ratio")).withColumn("subject", F.lit(first))
     declared = spark.createDataFrame([(first, 1.0), (third, 1.0)], "subject string, value double")
     told = [
