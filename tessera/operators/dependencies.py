@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import settled
+
 LOW_DISTINCT, LOW_RATIO = 8, 0.05
 MAX_ARITY = 3
 MAX_APPROXIMATE_ERROR = 0.2
@@ -57,14 +59,14 @@ def key(columns: Iterable[str]) -> Column:
     return F.struct(*columns)
 
 
-def distinct_counts(rows: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Exact distinct counts of many column sets in one job: rows are spread once by set and hashed key, then counted."""
-    if not sets:
-        return {}
-    cells = F.array(*[F.struct(F.lit(i).alias("s"), F.sha2(F.to_json(key(s), {"ignoreNullFields": "false"}), 256).alias("h")) for i, s in enumerate(sets)])
-    found = rows.select(F.explode(cells).alias("c")).select("c.*").distinct().groupBy("s").count().collect()
-    by = {r.s: r["count"] for r in found}
-    return {s: by.get(i, 0) for i, s in enumerate(sets)}
+def distinct_counts(rows: DataFrame, sets: list[tuple[str, ...]], together: int = 64) -> dict[tuple[str, ...], int]:
+    """Exact distinct counts of many column sets, so many sets a job: each set's own values are shuffled, without hashes, and no task holds more than one set's."""
+    by: dict[tuple[str, ...], int] = {}
+    for begin in range(0, len(sets), together):
+        some = sets[begin : begin + together]
+        parts = [rows.select(*[F.col(f"`{c}`") for c in s]).distinct().agg(F.count("*").alias("n")).select(F.lit(i).alias("s"), "n") for i, s in enumerate(some)]
+        by |= {some[r.s]: r.n for r in reduce(DataFrame.unionByName, parts).collect()}
+    return by
 
 
 def unique_combinations(rows: DataFrame, columns: list[str] | None = None, max_arity: int = MAX_ARITY, policy: str = "EXCLUDE") -> DataFrame:
@@ -200,23 +202,51 @@ def inclusion_measures(left: DataFrame, left_columns: list[str], right: DataFram
     return one.withColumn("low_cardinality", (F.col("right_distinct") <= LOW_DISTINCT) | (F.col("target_uniqueness") <= LOW_RATIO))
 
 
+def marked(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(marks, n): how many distinct keys stand in the same parts. marks has a bit for each part, 63 to a number; keys with a null stand in none.
+
+    Bits are or-ed before and after one shuffle, so a key is shuffled once a task and part, as what it is.
+    """
+    words = range((len(parts) + 62) // 63)
+    bits = [p.dropna(subset=keys).select(*keys, *[F.lit(1 << i % 63 if i // 63 == w else 0).cast("bigint").alias(f"w{w}") for w in words]) for i, p in enumerate(parts)]
+    sets = reduce(DataFrame.union, bits).groupBy(*keys).agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words])
+    return sets.groupBy(F.array(*[f"w{w}" for w in words]).alias("marks")).agg(F.count("*").alias("n"))
+
+
+def shared_counts(marks: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(a, b, n): how many keys stand in both parts of each pair; pairs that share none are left out."""
+
+    def has(i: str) -> Column:
+        return F.get("marks", F.floor(F.col(i) / 63).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, {i} % 63)")) != 0
+
+    asked = marks.sparkSession.createDataFrame(pairs, "a int, b int")  # metadata: within a search's bounds
+    return marks.join(F.broadcast(asked), has("a") & has("b")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def inclusion_candidates(tables: dict[str, DataFrame], min_coverage: float = 1.0) -> DataFrame:
     """(left, right, left_distinct, right_distinct, coverage) of single-column inclusions between all tables.
 
-    Columns of one type are laid end to end once; each value keeps the set of columns that have it, and pairs of columns
-    are counted from those sets. A set is no longer than the number of columns, whatever the rows.
+    Columns of one type are laid end to end once; each value keeps one bit for each column that has it, and pairs of columns
+    are counted from those bits.
     """
-    parts = None
+    families: dict[str, list[tuple[str, DataFrame]]] = {}
     for table, rows in sorted(tables.items()):
         for name, kind in rows.dtypes:
             if kind.startswith(("array", "map", "struct", "binary")):
                 continue
             tag = "integer" if kind in ("tinyint", "smallint", "int", "bigint") else kind
-            one = rows.select(F.concat(F.lit(f"{tag}|"), F.col(name).cast("string")).alias("value"), F.lit(f"{table}.{name}").alias("column")).where("value IS NOT NULL").distinct()
-            parts = one if parts is None else parts.unionByName(one)
-    sets = parts.groupBy("value").agg(F.sort_array(F.collect_set("column")).alias("columns"))
-    pairs = sets.select("columns", F.explode("columns").alias("left")).select("left", F.explode("columns").alias("right"))
-    counts = pairs.groupBy("left", "right").agg(F.count("*").alias("both"))
+            value = F.col(f"`{name}`").cast("bigint" if tag == "integer" else "string")
+            families.setdefault(tag, []).append((f"{table}.{name}", rows.select(value.alias("value"))))
+    counts = None
+    for columns in families.values():
+        names = [c for c, _ in columns]
+        marks = marked([rows for _, rows in columns], ["value"])
+        one = shared_counts(marks, [(i, j) for i in range(len(names)) for j in range(len(names))])
+        label = F.array(*map(F.lit, names))
+        one = one.select(F.get(label, F.col("a")).alias("left"), F.get(label, F.col("b")).alias("right"), F.col("n").alias("both"))
+        counts = one if counts is None else counts.unionByName(one)
+    # as many rows as pairs of columns
+    counts = settled(counts)
     own = counts.where("left = right")
     sizes = own.select(F.col("left").alias("c"), F.col("both").alias("n"))
     found = counts.where("left != right").join(sizes.select(F.col("c").alias("left"), F.col("n").alias("left_distinct")), "left").join(sizes.select(F.col("c").alias("right"), F.col("n").alias("right_distinct")), "right")

@@ -13,6 +13,7 @@ import math
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -138,22 +139,35 @@ def hitting_sets(must: np.ndarray, columns: list[int], arity: int) -> list[int]:
     return done
 
 
-def counter_examples(rows: DataFrame, refuted: list[tuple[int, int]]) -> np.ndarray:
-    """Agree sets of two rows each that agree on a left side and differ on the right one (or anywhere, for a key), in one job."""
+def counter_examples(rows: DataFrame, refuted: list[tuple[int, int]], total: int, looked: int = 4_000_000) -> np.ndarray:
+    """Agree sets of two rows each that agree on a left side and differ on the right one (or anywhere, for a key).
+
+    Left values are looked through by hash, of about `looked` rows for each left side, until one stands with several right
+    values; only that one's rows are fetched. A missed or false example does no harm: an agree set is told by the two rows' cells.
+    """
     names = rows.columns
     texts = [F.col(f"`{c}`").cast("string") for c in names]
-    cells = F.array(*texts)
-
-    def case(i: int, left: int, right: int):
-        rest = F.to_json(F.array(texts[right] if right != NO_RIGHT else F.to_json(cells, {"ignoreNullFields": "false"})), {"ignoreNullFields": "false"})
-        key = F.to_json(F.array(*[texts[c] for c in members(left)]), {"ignoreNullFields": "false"})
-        return F.struct(F.lit(i).alias("i"), F.xxhash64(key).alias("k"), rest.alias("rest"))
-
-    spread = F.array(*[case(i, left, right) for i, (left, right) in enumerate(refuted)])
-    wide = rows.select(cells.alias("cells"), F.explode(spread).alias("s")).select("cells", "s.*")
-    ends = wide.groupBy("i", "k").agg(F.min(F.struct("rest", "cells")).alias("a"), F.max(F.struct("rest", "cells")).alias("b")).where("a.rest <> b.rest")
-    found = ends.groupBy("i").agg(F.min(F.struct(F.col("a.cells").alias("a"), F.col("b.cells").alias("b"))).alias("p")).collect()
-    both = [x for r in found for x in (r.p.a, r.p.b)]
+
+    def hashed(columns: Iterable[int]):
+        return F.xxhash64(*[x for c in columns for x in (texts[c], texts[c].isNull())])
+
+    share = math.ceil(max(1, total) / looked)
+    rights: dict[int, list[int]] = {}
+    for left, right in refuted:
+        rights.setdefault(left, []).append(right)
+    found = []
+    for left, own in rights.items():
+        part = rows.select(hashed(members(left)).alias("k"), *[hashed(range(len(names)) if a == NO_RIGHT else (a,)).alias(f"h{i}") for i, a in enumerate(own)]).where(F.pmod("k", F.lit(share)) == 0)
+        ends = part.groupBy("k").agg(*[f(f"h{i}").alias(f"{n}{i}") for i in range(len(own)) for f, n in ((F.min, "a"), (F.max, "b"))])
+        one = ends.agg(*[F.min(F.when(F.col(f"a{i}") != F.col(f"b{i}"), F.col("k"))).alias(f"k{i}") for i in range(len(own))])
+        found.append(one.select(F.explode(F.array(*[F.struct(F.lit(left).cast("string").alias("l"), F.lit(a).alias("r"), F.col(f"k{i}").alias("k")) for i, a in enumerate(own)])).alias("c")).select("c.*").where("k IS NOT NULL"))
+    keys = [(int(r.l), r.r, r.k) for r in reduce(DataFrame.unionByName, found).collect()] if found else []
+    if not keys:
+        return np.zeros(0, np.uint64)
+    cases = F.array(*[F.when(hashed(members(left)) == k, F.struct(F.lit(i).alias("i"), hashed(range(len(names)) if a == NO_RIGHT else (a,)).alias("h"))) for i, (left, a, k) in enumerate(keys)])
+    few = rows.select(F.array(*texts).alias("cells"), F.explode(F.array_compact(cases)).alias("s")).select("cells", "s.*")
+    pairs = few.groupBy("i").agg(F.min(F.struct("h", "cells")).alias("a"), F.max(F.struct("h", "cells")).alias("b")).collect()
+    both = [x for r in pairs for x in (r.a.cells, r.b.cells)]
     at = np.arange(0, len(both), 2)
     return agree_masks(both, (at, at + 1))
 
@@ -199,7 +213,7 @@ def _search(rows: DataFrame, rights: list[int], policy: Policy) -> tuple[dict[in
                 weak[a].append(x)
                 refuted.append((x, a))
         if refuted:
-            agree = np.unique(np.concatenate([agree, counter_examples(rows, refuted[: policy.examples])]))
+            agree = np.unique(np.concatenate([agree, counter_examples(rows, refuted[: policy.examples], total)]))
             agree = agree[agree != np.uint64(everything)]
     lattice = sum(math.comb(len(names), k) for k in range(1, policy.arity + (NO_RIGHT not in rights) + 1))
     return holds, {"counted": len(counts), "lattice": lattice, "agree_sets": len(agree), "rounds": rounds, "truncated": reasons}
