@@ -1,20 +1,21 @@
 """Inclusions of sequences of one to several columns between tables, level by level.
 
-A sequence of column pairs is a candidate where all its parts were found on the level before. All candidates of a level are
-measured by one job: the tables' rows are spread once into (sequence, digest of its values), each digest keeps the set of
-sequences that have it, and shared digests are counted for the candidate pairs alone.
+A sequence of column pairs is a candidate where all its parts were found on the level before. The candidates of a level are
+measured by one job for each list of families: the sequences' values are laid end to end, each keeps a bit for every
+sequence that has it, and shared values are counted for the candidate pairs alone.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.dependencies import marked, shared_counts
+
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 Pairs = tuple[tuple[str, str], ...]  # (left column, right column), in the order of the left table's columns
 SCHEMA = "left string, right string, arity int, left_distinct long, right_distinct long, matched long, coverage double"
@@ -48,39 +49,29 @@ def families(rows: DataFrame) -> dict[str, str]:
     return {c: "integer" if t in INTEGERS else t for c, t in rows.dtypes if not t.startswith(("array", "map", "struct", "binary", "variant"))}
 
 
-def digests(rows: DataFrame, sequences: list[tuple[int, tuple[str, ...]]], kinds: dict[str, str]) -> DataFrame:
-    """(id, h): the distinct values of column sequences as digests; rows with a null in a sequence have none there."""
-
-    def digest(columns: tuple[str, ...]):
-        some_null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in columns])
-        value = F.to_json(F.array(*[F.concat(F.lit(f"{kinds[c]}|"), F.col(f"`{c}`").cast("string")) for c in columns]))
-        return F.when(~some_null, F.unhex(F.sha2(value, 256)))
-
-    cells = F.array(*[F.struct(F.lit(i).alias("id"), digest(s).alias("h")) for i, s in sequences])
-    return rows.select(F.explode(cells).alias("c")).select("c.*").where("h IS NOT NULL").distinct()
+def typed(kind: str) -> str:
+    """The type in which values of a family are compared."""
+    return "bigint" if kind == "integer" else "string"
 
 
 def measured(spark: SparkSession, tables: dict[str, DataFrame], kinds: dict[str, dict[str, str]], candidates: list[tuple[str, str, Pairs]]) -> list[tuple[int, int, int]]:
-    """(left distinct, right distinct, shared) for each candidate (left table, right table, pairs)."""
-    numbers: dict[tuple[str, tuple[str, ...]], int] = {}
-
-    def number(table: str, columns: tuple[str, ...]) -> int:
-        return numbers.setdefault((table, columns), len(numbers))
-
-    both = [(number(t, tuple(a for a, _ in p)), number(u, tuple(b for _, b in p))) for t, u, p in candidates]
-    parts = []
-    for table, rows in tables.items():
-        own = [(i, columns) for (t, columns), i in numbers.items() if t == table]
-        if own:
-            parts.append(digests(rows, own, kinds[table]))
-    partners: dict[int, set[int]] = {i: {i} for i in numbers.values()}
-    for a, b in both:
-        partners[a].add(b)
-    wanted = spark.createDataFrame([(a, sorted(bs)) for a, bs in partners.items()], "a int, partners array<int>")  # within the budget's bound
-    sets = reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.collect_set("id").alias("ids"))
-    shared = sets.select("ids", F.explode("ids").alias("a")).join(F.broadcast(wanted), "a").select("a", F.explode(F.array_intersect("ids", "partners")).alias("b"))
-    counts = {(r.a, r.b): r["count"] for r in shared.groupBy("a", "b").count().collect()}
-    return [(counts.get((a, a), 0), counts.get((b, b), 0), counts.get((a, b), 0)) for a, b in both]
+    """(left distinct, right distinct, shared) for each candidate (left table, right table, pairs).
+
+    Sequences of the same families are laid end to end, each with a bit of its own, and their values' bits are or-ed.
+    """
+    numbers: dict[tuple[str, ...], dict[tuple[str, tuple[str, ...]], int]] = {}
+    both = []
+    for t, u, p in candidates:
+        family = tuple(kinds[t][a] for a, _ in p)
+        own = numbers.setdefault(family, {})
+        both.append((family, *(own.setdefault(s, len(own)) for s in ((t, tuple(a for a, _ in p)), (u, tuple(b for _, b in p))))))
+    counts: dict[tuple[tuple[str, ...], int, int], int] = {}
+    for family, sequences in numbers.items():
+        keys = [f"v{i}" for i in range(len(family))]
+        parts = [tables[t].select(*[F.col(f"`{c}`").cast(typed(kind)).alias(k) for c, kind, k in zip(columns, family, keys, strict=True)]) for t, columns in sequences]
+        wanted = {(a, b) for f, a, b in both if f == family} | {(i, i) for i in sequences.values()}
+        counts |= {(family, r.a, r.b): r.n for r in shared_counts(marked(parts, keys), sorted(wanted)).collect()}
+    return [(counts.get((f, a, a), 0), counts.get((f, b, b), 0), counts.get((f, a, b), 0)) for f, a, b in both]
 
 
 def next_level(found: set[tuple[str, str, Pairs]], order: dict[str, list[str]]) -> list[tuple[str, str, Pairs]]:

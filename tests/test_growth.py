@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import dependencies, inclusions
 from tessera.queries import ORACLES, QUERIES
 
 
@@ -22,3 +24,31 @@ def test_evidence_of_a_profile_with_many_distinct_values(spark, tmp_path, name):
     columns = [c[0] for c in answer.description]
     want = sorted(answer.fetchall())
     assert sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def shuffled_rows(frames):
+    """The plans' exchanges as text, with what they carry."""
+    return [df._jdf.queryExecution().executedPlan().toString() for df in frames]
+
+
+def test_distinct_counts_shuffle_values_and_no_digests(spark, monkeypatch):
+    seen = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (seen.append(self), collect(self))[1])
+    rows = spark.createDataFrame([(1, 2, "a"), (1, 3, "a"), (2, 3, None), (2, 3, None)], "a long, b long, c string")
+    assert dependencies.distinct_counts(rows, [("a",), ("a", "b"), ("b", "c"), ("c",)], together=3) == {("a",): 2, ("a", "b"): 3, ("b", "c"): 3, ("c",): 2}
+    assert all("sha2" not in p and "Generate explode" not in p for p in shuffled_rows(seen))
+
+
+def test_inclusions_shuffle_bits_and_no_sets(spark, monkeypatch):
+    seen = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (seen.append(self), collect(self))[1])
+    # more sequences than one number has bits
+    wide = spark.createDataFrame([tuple(i + j for j in range(40)) for i in range(30)], ", ".join(f"a{j} int" for j in range(40)))
+    other = spark.createDataFrame([tuple(i + j for j in range(40)) for i in range(60)], ", ".join(f"b{j} bigint" for j in range(40)))
+    found = inclusions.search_inclusions({"wide": wide, "other": other}, 1).found.collect()
+    assert {(r.left, r.right) for r in found} == {(f"wide(a{i})", f"other(b{j})") for i in range(40) for j in range(40) if j <= i <= j + 30}
+    assert all("collect_set" not in p and "sha2" not in p for p in shuffled_rows(seen))
+    pairs = dependencies.inclusion_candidates({"wide": wide, "other": other})
+    assert {(r.left, r.right) for r in pairs.collect()} == {(f"wide.a{i}", f"other.b{j}") for i in range(40) for j in range(40) if j <= i <= j + 30}
