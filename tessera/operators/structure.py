@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.graph import settled
 
@@ -77,16 +78,34 @@ def references(inclusions: DataFrame, keys: DataFrame) -> DataFrame:
     return inclusions.join(keys, "right").select(F.col("left").alias("column"), F.substring_index("right", ".", 1).alias("table")).distinct()
 
 
-def quantile_sketches(table: str, rows: DataFrame, columns: list[str] | None = None, points: int = POINTS, accuracy: int = ACCURACY) -> DataFrame:
-    """(column, quantiles) of all numbers of a table in one pass; each part's summary is merged with the others'.
+def quantile_sketches(table: str, rows: DataFrame, columns: list[str] | None = None, points: int = POINTS, accuracy: int = ACCURACY, ranges: int = 64) -> DataFrame:
+    """(column, quantiles) of all numbers of a table: the values at the places ceil(n * k / (points - 1)) of each column's sorted rows.
 
-    A quantile's rank is off by at most rows / accuracy. Nulls are left out, and a column without values has no quantiles.
+    Equal numbers are counted first; their running counts are summed over ranges of values, so no task holds a column. The
+    places are exact, within rows / accuracy whatever it is. Nulls are left out, and a column without values has no quantiles.
     """
     numbers = columns or [c for c, t in rows.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
-    places = F.array(*[F.lit(k / (points - 1)) for k in range(points)])
-    one = rows.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), places, accuracy).alias(f"q{i}") for i, c in enumerate(numbers)])
-    cells = F.array(*[F.struct(F.lit(f"{table}.{c}").alias("column"), F.col(f"q{i}").alias("quantiles")) for i, c in enumerate(numbers)])
-    return one.select(F.explode(cells).alias("c")).select("c.*").where("quantiles IS NOT NULL")
+    each = [rows.select(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")).where("v IS NOT NULL") for i, c in enumerate(numbers)]
+    if not each:
+        return rows.sparkSession.createDataFrame([], "column string, quantiles array<double>")
+    counts = settled(reduce(DataFrame.union, each).groupBy("i", "v").agg(F.count("*").alias("n")))
+    # a bounded number of borders for each column; they only say how the work is dealt
+    edges = F.percentile_approx("v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 1000)
+    borders = {r.i: sorted(set(r.b)) for r in counts.groupBy("i").agg(edges.alias("b")).collect()}
+    at = F.lit(0)
+    for i, own in borders.items():
+        at = F.when(F.col("i") == i, F.size(F.filter(F.array(*map(F.lit, own)), lambda b: b < F.col("v")))).otherwise(at)
+    placed = counts.withColumn("range", at)
+    totals = placed.groupBy("i", "range").agg(F.sum("n").alias("total"))
+    own = Window.partitionBy("i").orderBy("range")  # over totals, at most `ranges` a column
+    before = totals.select("i", "range", (F.sum("total").over(own) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy("i")).alias("size"))
+    inside = F.sum("n").over(Window.partitionBy("i", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = placed.withColumn("inside", inside).join(F.broadcast(before), ["i", "range"]).select("i", "v", "n", "size", (F.col("before") + F.col("inside")).alias("upto"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("k"), F.greatest(F.lit(1), F.floor((F.col("size") * k + points - 2) / (points - 1))).alias("place")))
+    hit = F.filter(places, lambda p: (p.place > F.col("upto") - F.col("n")) & (p.place <= F.col("upto")))
+    found = upto.select("i", "v", F.explode(F.transform(hit, lambda p: p.k)).alias("k"))
+    names = F.array(*[F.lit(f"{table}.{c}") for c in numbers])
+    return found.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("quantiles")).select(F.get(names, F.col("i")).alias("column"), "quantiles")
 
 
 def with_transport(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
