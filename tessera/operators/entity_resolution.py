@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import connected_components, joined_by_weight, settled
 
 
+GROUPS = 40  # of a key at most: 820 tiles, to which each record goes 41 times
+
+
 @dataclass(frozen=True)
 class Comparison:
     """How a field of two records is compared: exact, jaro_winkler or levenshtein, with levels from the strictest on."""
@@ -165,15 +168,17 @@ def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", sou
 
     A block's pairs are a triangle, which is cut into tiles: its records are dealt to groups of about `spec.tile`, and each
     two groups, and each one with itself, are a tile of their own. So a common key's pairs are dealt to all tasks in
-    even parts, and a rare key's block is one tile.
+    even parts, and a rare key's block is one tile. A key has GROUPS groups at most, so that copies of its records grow as
+    the records do; its tiles grow instead.
     """
     fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule})
     cells = F.struct(F.col(ref).alias("ref"), F.col(source).alias("source"), *[F.col(f).alias(f"f_{f}") for f in fields])
+    names = ["ref", "source", *[f"f_{f}" for f in fields]]
 
     def agree(rule: tuple[str, ...]) -> Column:
-        return reduce(lambda x, y: x & y, [F.col(f"x.f_{f}") == F.col(f"y.f_{f}") for f in rule])
+        return reduce(lambda x, y: x & y, [F.col(f"x_f_{f}") == F.col(f"y_f_{f}") for f in rule])
 
-    sides = {"LINK_ONLY": F.col("x.source") != F.col("y.source"), "DEDUPE_ONLY": F.col("x.source") == F.col("y.source"), "LINK_AND_DEDUPE": F.lit(True)}[spec.mode]
+    sides = {"LINK_ONLY": F.col("x_source") != F.col("y_source"), "DEDUPE_ONLY": F.col("x_source") == F.col("y_source"), "LINK_AND_DEDUPE": F.lit(True)}[spec.mode]
     out = None
     for k, rule in enumerate(spec.blocking):
         known = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in rule])
@@ -181,13 +186,18 @@ def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", sou
         left, right = tiled(keyed, spec.tile, spec.seed)
         # a pair belongs to the first rule it agrees on, so no distinct is needed afterwards
         new = reduce(lambda x, y: x & y, [~F.coalesce(agree(other), F.lit(False)) for other in spec.blocking[:k]], F.lit(True))
-        met = left.withColumnRenamed("cells", "x").join(right.withColumnRenamed("cells", "y"), ["key", "low", "high"])
-        before = F.col("x.ref") < F.col("y.ref")
+        parts = 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        x, y = (s.select("key", "low", "high", *[F.col(f"cells.{c}").alias(f"{n}_{c}") for c in names]).repartition(parts, "key", "low", "high") for s, n in ((left, "x"), (right, "y")))
+        # few bytes, but much work: tasks aren't joined by size
+        met = x.hint("merge").join(y, ["key", "low", "high"])
+        before = F.col("x_ref") < F.col("y_ref")
         # inside a group each pair is met both ways, between two groups once
-        pairs = met.where(agree(rule) & sides & new & (before | ((F.col("low") < F.col("high")) & (F.col("x.ref") > F.col("y.ref")))))
-        a, b = F.when(before, F.col("x")).otherwise(F.col("y")), F.when(before, F.col("y")).otherwise(F.col("x"))
-        two = pairs.select(a.alias("a"), b.alias("b"))
-        one = two.select(F.col("a.ref").alias("l"), F.col("a.source").alias("ls"), *[F.col(f"a.f_{f}").alias(f"l_{f}") for f in fields], F.col("b.ref").alias("r"), F.col("b.source").alias("rs"), *[F.col(f"b.f_{f}").alias(f"r_{f}") for f in fields])
+        pairs = met.where(sides & new & (before | ((F.col("low") < F.col("high")) & (F.col("x_ref") > F.col("y_ref")))))
+
+        def of(name: str, first: bool) -> Column:
+            return F.when(before if first else ~before, F.col(f"x_{name}")).otherwise(F.col(f"y_{name}"))
+
+        one = pairs.select(of("ref", True).alias("l"), of("source", True).alias("ls"), *[of(f"f_{f}", True).alias(f"l_{f}") for f in fields], of("ref", False).alias("r"), of("source", False).alias("rs"), *[of(f"f_{f}", False).alias(f"r_{f}") for f in fields])
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -195,11 +205,11 @@ def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", sou
 def tiled(keyed: DataFrame, tile: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The two sides (key, low, high, cells) of all tiles of all keys; keyed: (key, cells), where cells.ref tells records apart.
 
-    A record of group g stands on the left of the tiles (g, g), (g, g + 1)… and on the right of (0, g), (1, g)… (g, g).
+    Groups have `tile` records, or a GROUPS-th of the key's if these are more. A record of group g stands on the left of the tiles (g, g), (g, g + 1)… and on the right of (0, g), (1, g)… (g, g).
     """
     keyed = keyed.withColumn("spread", F.xxhash64("cells.ref", F.lit(seed)))
     sizes = settled(keyed.groupBy("key").agg(F.count("*").alias("n")))
-    dealt = joined_by_weight(keyed, sizes, "key", "n").withColumn("groups", F.ceil(F.col("n") / F.lit(tile)))
+    dealt = joined_by_weight(keyed, sizes, "key", "n").withColumn("groups", F.least(F.ceil(F.col("n") / F.lit(tile)), F.lit(GROUPS)))
     dealt = dealt.withColumn("group", F.pmod("spread", "groups"))
     left = dealt.select("key", F.col("group").alias("low"), F.explode(F.sequence("group", F.col("groups") - 1)).alias("high"), "cells")
     right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "group")).alias("low"), F.col("group").alias("high"), "cells")

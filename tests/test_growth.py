@@ -1,11 +1,13 @@
 """What only large tables show: limits that cut results, and work that grows faster than its rows."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import dependencies, inclusions
+from tessera.operators import dependencies, entity_resolution, inclusions, structure
 from tessera.queries import ORACLES, QUERIES
 
 
@@ -52,3 +54,27 @@ def test_inclusions_shuffle_bits_and_no_sets(spark, monkeypatch):
     assert all("collect_set" not in p and "sha2" not in p for p in shuffled_rows(seen))
     pairs = dependencies.inclusion_candidates({"wide": wide, "other": other})
     assert {(r.left, r.right) for r in pairs.collect()} == {(f"wide.a{i}", f"other.b{j}") for i in range(40) for j in range(40) if j <= i <= j + 30}
+
+
+def test_copies_of_a_common_keys_records_are_bounded(spark):
+    """A tile of one record would send each of 300 records to 301 tiles."""
+    keyed = spark.range(300).select(F.lit("common").alias("key"), F.struct("id").withField("ref", F.col("id")).alias("cells"))
+    left, right = entity_resolution.tiled(keyed, 1)
+    assert left.count() + right.count() <= 300 * (entity_resolution.GROUPS + 1)
+    spec = entity_resolution.Spec((entity_resolution.Comparison("key"),), (("key",),), mode="LINK_AND_DEDUPE", tile=1)
+    records = keyed.select("key", F.col("cells.ref").alias("record_ref"), F.lit("s").alias("source_id"))
+    pairs = entity_resolution.candidate_pairs(records, spec)
+    assert pairs.count() == pairs.select("l", "r").distinct().where("l < r").count() == 300 * 299 // 2
+
+
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_quantiles_are_exact_and_no_task_holds_a_column(spark, ranges):
+    rng = random.Random(3)
+    data = [(rng.choice([None, rng.gauss(0, 1)]), rng.randrange(7) ** 3, None) for _ in range(2000)]
+    rows = spark.createDataFrame(data, "a double, b int, c double")
+    found = structure.quantile_sketches("t", rows, ranges=ranges)
+    got = {r.column: r.quantiles for r in found.collect()}
+    for i, name in enumerate("ab"):
+        values = sorted(r[i] for r in data if r[i] is not None)
+        assert got[f"t.{name}"] == [values[max(1, -(-len(values) * k // 32)) - 1] for k in range(33)]
+    assert set(got) == {"t.a", "t.b"} and "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
