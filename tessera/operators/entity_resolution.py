@@ -221,10 +221,15 @@ def level(c: Comparison) -> Column:
     a, b = F.col(f"l_{c.field}"), F.col(f"r_{c.field}")
     top = c.levels
     out = F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(a == b, top)
+    if c.method == "levenshtein":
+        # one distance for each pair; beyond the last limit it isn't worked out, but -1
+        most = math.floor(max(c.limits))
+        told = [next(top - 1 - k for k, limit in enumerate(c.limits) if d <= limit) for d in range(most + 1)]
+        return out.otherwise(F.coalesce(F.get(F.array(*map(F.lit, told)), F.levenshtein(a, b, most)), F.lit(0)))
     if c.method != "exact":
-        measured = jaro_winkler_of(a, b) if c.method == "jaro_winkler" else F.levenshtein(a, b)
+        measured = jaro_winkler_of(a, b)
         for k, limit in enumerate(c.limits):
-            out = out.when(measured >= limit if c.method == "jaro_winkler" else measured <= limit, top - 1 - k)
+            out = out.when(measured >= limit, top - 1 - k)
     return out.otherwise(0)
 
 

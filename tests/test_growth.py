@@ -67,6 +67,14 @@ def test_copies_of_a_common_keys_records_are_bounded(spark):
     assert pairs.count() == pairs.select("l", "r").distinct().where("l < r").count() == 300 * 299 // 2
 
 
+def test_distances_beyond_the_last_limit_are_not_worked_out(spark):
+    c = entity_resolution.Comparison("n", "levenshtein", (1, 2))
+    rows = spark.createDataFrame([("abcdef", x) for x in ("abcdef", "abcdex", "abcdxy", "abcxyz", "", None)], "l_n string, r_n string")
+    found = rows.select(entity_resolution.level(c).alias("v"))
+    assert [r.v for r in found.collect()] == [3, 2, 1, 0, 0, None]
+    assert "levenshtein(l_n" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and ", Some(2)" in plan
+
+
 @pytest.mark.parametrize("ranges", [2, 64])
 def test_quantiles_are_exact_and_no_task_holds_a_column(spark, ranges):
     rng = random.Random(3)
