@@ -46,11 +46,18 @@ def head_of_hash(text: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, digits)
 
 
-def surrogate_key(namespace: str, reference: Column) -> Column:
-    """A positive 63-bit key that depends on namespace and reference alone; never 0."""
-    signed = F.conv(head_of_hash(canonical_json(canonical_reference=reference, namespace=F.lit(namespace))), 16, -10).cast("bigint")
-    key = signed.bitwiseAND(F.lit(_LARGEST))
-    return F.when(reference.isNotNull(), F.when(key == 0, F.lit(1).cast("bigint")).otherwise(key))
+def surrogate_key(namespace: str, reference: Column, plain: bool = False) -> Column:
+    """A positive 63-bit key that depends on namespace and reference alone; never 0.
+
+    plain: the reference is of characters that JSON leaves as they are, as numbers and dates are; it's then put together without a JSON writer.
+    """
+    if plain and namespace.isidentifier() and namespace.isascii():
+        text = F.concat(F.lit('{"canonical_reference":"'), reference, F.lit(f'","namespace":"{namespace}"}}'))
+    else:
+        text = F.when(reference.isNotNull(), canonical_json(canonical_reference=reference, namespace=F.lit(namespace)))
+    key = F.conv(head_of_hash(text), 16, -10).cast("bigint").bitwiseAND(F.lit(_LARGEST))
+    # 1 for 0 without a branch, in which the hash would be worked out again
+    return key + (key == 0).cast("bigint")
 
 
 def bucket(seed: int, key: Column, count: int) -> Column:

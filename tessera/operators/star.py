@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expressions import iso_weekday, surrogate_key
 
+# References without a member that facts are held against by broadcast, at most; with more of them all facts are joined.
+ABSENT = 100_000
+# Types whose text JSON leaves as it is.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "date")
 # What an unknown member holds, by type.
 UNKNOWN = {"string": "'UNKNOWN'", "date": "DATE '1970-01-01'", "timestamp": "TIMESTAMP '1970-01-01'", "timestamp_ntz": "TIMESTAMP_NTZ '1970-01-01'", "boolean": "FALSE"}
 
@@ -37,11 +41,15 @@ def check_grain(rows: DataFrame, grain: list[str], nulls: str = "REJECT") -> tup
 
 @dataclass(frozen=True)
 class Dimension:
-    """A dimension table: `key` is its surrogate key, `canonical_ref` what the facts refer to."""
+    """A dimension table: `key` is its surrogate key, `canonical_ref` what the facts refer to.
+
+    derived says that each key is `surrogate_key` of the name and the reference, so that it needs no look-up.
+    """
 
     name: str
     key: str
     rows: DataFrame = field(compare=False)
+    derived: bool = False
 
 
 def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: dict[str, Column], required: tuple[str, ...] = (), unknown_member: bool = False, check: bool = True, history: str = "TYPE1_SNAPSHOT") -> Dimension:
@@ -49,7 +57,7 @@ def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: d
     history_mode(history)
     key = f"{name}_key"
     out = rows.select(reference.cast("string").alias("canonical_ref"), *[c.alias(a) for a, c in attributes.items()])
-    out = out.select(surrogate_key(name, F.col("canonical_ref")).alias(key), "*")
+    out = out.select(surrogate_key(name, F.col("canonical_ref"), is_plain(rows, reference)).alias(key), "*")
     if check:
         facts = out.agg(F.count("*").alias("n"), F.countDistinct("canonical_ref").alias("refs"), F.countDistinct(key).alias("keys"), *[F.count_if(F.col(r).isNull()).alias(f"null_{r}") for r in required]).first()
         if facts.n != facts.refs:
@@ -61,7 +69,11 @@ def build_dimension(rows: DataFrame, name: str, reference: Column, attributes: d
                 raise StarError("NULL_REQUIRED_ATTRIBUTE", f"{name}.{r}")
     if unknown_member:
         out = out.unionByName(unknown_row(out, name, key))
-    return Dimension(name, key, out)
+    return Dimension(name, key, out, True)
+
+
+def is_plain(rows: DataFrame, reference: Column) -> bool:
+    return rows.select(reference).dtypes[0][1] in PLAIN
 
 
 def history_mode(mode: str = "TYPE1_SNAPSHOT", overwrite: bool = True, columns: tuple[str | None, str | None, str | None] = (None, None, None)) -> str:
@@ -95,7 +107,7 @@ def date_attributes(day: str = "full_date") -> list[Column]:
 
 
 def date_key(day: Column) -> Column:
-    return surrogate_key("date", F.date_format(day, "yyyy-MM-dd"))
+    return surrogate_key("date", F.date_format(day, "yyyy-MM-dd"), plain=True)
 
 
 def build_date_dimension(spark: SparkSession, days: DataFrame | None = None, start: str | None = None, end: str | None = None) -> Dimension:
@@ -109,7 +121,7 @@ def build_date_dimension(spark: SparkSession, days: DataFrame | None = None, sta
         raise StarError("EMPTY_DATE_DIMENSION")
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = both.distinct().select(date_key(F.col("full_date")).alias("date_key"), F.date_format("full_date", "yyyy-MM-dd").alias("canonical_ref"), "full_date", *date_attributes())
-    return Dimension("date", "date_key", rows)
+    return Dimension("date", "date_key", rows, True)
 
 
 @dataclass(frozen=True)
@@ -117,6 +129,7 @@ class ForeignKey:
     """How a fact column refers to a dimension, and what becomes of facts whose reference isn't there.
 
     policy: QUARANTINE_FACT, NULLABLE_FK or EXPLICIT_UNKNOWN_MEMBER. role names the key column for several of one dimension.
+    source: a table with all references that the facts can have, if that's cheaper to read than the facts' own rows.
     """
 
     column: Column
@@ -124,38 +137,63 @@ class ForeignKey:
     policy: str = "QUARANTINE_FACT"
     required: bool = True
     role: str | None = None
+    source: DataFrame | None = field(default=None, compare=False)
 
     @property
     def name(self) -> str:
         return f"{self.role or self.dimension.name}_key"
 
 
+def looked_up(out: DataFrame, k: ForeignKey, rows: DataFrame, i: int) -> DataFrame:
+    """out with `_c{i}`, the reference as text, `_lost{i}`, whether it has no member, and `_k{i}`, the member's key or null.
+
+    The distinct references are held against the dimension first. Where keys are derived, each reference has one member at
+    most and few have none, the key is worked out from the reference and only those without a member are broadcast, so the
+    facts aren't shuffled. Else they're joined with the dimension.
+    """
+    reference = k.column.cast("string")
+    out = out.withColumn(f"_c{i}", reference)
+    if k.dimension.derived:
+        asked = (rows if k.source is None else k.source).select(reference.alias("_ref")).where("_ref IS NOT NULL").distinct()
+        members = k.dimension.rows.groupBy(F.col("canonical_ref").alias("_ref")).agg(F.count("*").alias("_n"))
+        found = asked.join(members, "_ref", "left").agg(F.count_if(F.col("_n").isNull()).alias("absent"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+        if found.most <= 1 and found.absent <= ABSENT:
+            key = surrogate_key(k.dimension.name, F.col(f"_c{i}"), is_plain(rows, k.column))
+            if not found.absent:
+                return out.withColumns({f"_lost{i}": F.col(f"_c{i}").isNull(), f"_k{i}": key})
+            absent = asked.join(members, "_ref", "left_anti").select(F.col("_ref").alias(f"_r{i}"))
+            out = out.join(F.broadcast(absent), F.col(f"_c{i}") == F.col(f"_r{i}"), "left")
+            return out.withColumns({f"_lost{i}": F.col(f"_c{i}").isNull() | F.col(f"_r{i}").isNotNull(), f"_k{i}": F.when(F.col(f"_r{i}").isNull(), key)})
+    refs = k.dimension.rows.select(F.col("canonical_ref").alias(f"_r{i}"), F.col(k.dimension.key).alias(f"_k{i}"))
+    return out.join(refs, F.col(f"_c{i}") == F.col(f"_r{i}"), "left").withColumn(f"_lost{i}", F.col(f"_k{i}").isNull())
+
+
 def build_fact(
     rows: DataFrame, grain: list[str], keys: list[ForeignKey], dates: dict[str, Column] | None = None, measures: dict[str, Column] | None = None, degenerate: list[str] | None = None, lineage: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(facts, quarantine). Facts go to quarantine for the first of their keys that fails, in the given order.
 
-    Dimension references are looked up by left joins; key values are the dimensions'. Date keys follow from the day alone.
+    Key values are the dimensions' (`looked_up`). Date keys follow from the day alone.
     """
     out = rows
     reason = F.lit(None).cast("string")
     for g in grain:
         reason = F.coalesce(reason, F.when(F.col(g).isNull(), F.lit(f"NULL_GRAIN:{g}")))
     tags = []
+    values = [F.col(f"_k{i}") for i, _ in enumerate(keys)]
     for i, k in enumerate(keys):
         if k.required and k.policy == "NULLABLE_FK":
             raise StarError("REQUIRED_KEY_CANNOT_BE_NULLABLE", k.name)
-        refs = k.dimension.rows.select(F.col("canonical_ref").alias(f"_r{i}"), F.col(k.dimension.key).alias(f"_k{i}"))
-        out = out.withColumn(f"_c{i}", k.column.cast("string")).join(refs, F.col(f"_c{i}") == F.col(f"_r{i}"), "left")
-        lost = F.col(f"_k{i}").isNull()
+        out = looked_up(out, k, rows, i)
+        lost = F.col(f"_lost{i}")
         if k.policy == "QUARANTINE_FACT":
             reason = F.coalesce(reason, F.when(lost & (F.lit(k.required) | F.col(f"_c{i}").isNotNull()), F.lit(f"ORPHAN:{k.name}")))
         if k.policy == "EXPLICIT_UNKNOWN_MEMBER":
-            out = out.withColumn(f"_k{i}", F.coalesce(F.col(f"_k{i}"), surrogate_key(k.dimension.name, F.lit(f"__UNKNOWN__:{k.dimension.name}"))))
-            tags.append(F.when(F.col(f"_r{i}").isNull(), F.lit(f"policy:unknown-member:{k.name}")))
+            tags.append(F.when(lost, F.lit(f"policy:unknown-member:{k.name}")))
+            values[i] = F.coalesce(values[i], surrogate_key(k.dimension.name, F.lit(f"__UNKNOWN__:{k.dimension.name}")))
     out = out.withColumn("_reason", reason)
     refs = F.array(F.col(lineage).cast("string"), *tags) if lineage else F.array(*tags).cast("array<string>")
-    columns = [F.col(g) for g in grain] + [F.col(f"_k{i}").alias(k.name) for i, k in enumerate(keys)]
+    columns = [F.col(g) for g in grain] + [v.alias(k.name) for v, k in zip(values, keys)]
     columns += [date_key(c.cast("date")).alias(f"{role}_key") for role, c in (dates or {}).items()]
     columns += [F.col(d) for d in degenerate or []] + [c.alias(m) for m, c in (measures or {}).items()]
     facts = out.where("_reason IS NULL").select(*columns, F.to_json(F.array_compact(refs)).alias("source_record_refs"))

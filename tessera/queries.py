@@ -74,7 +74,8 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_fact(spark: SparkSession, sf_dir: str, customers: star.Dimension | None = None, policy: str = "QUARANTINE_FACT") -> tuple[DataFrame, DataFrame]:
-    keys = [star.ForeignKey(F.col("o_custkey"), customers or dim_customer(spark, sf_dir), policy), star.ForeignKey(F.col("l_partkey"), dim_part(spark, sf_dir)), star.ForeignKey(F.col("l_suppkey"), dim_supplier(spark, sf_dir))]
+    orders, lines = table(spark, sf_dir, "orders", ["o_custkey"]), table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"])
+    keys = [star.ForeignKey(F.col("o_custkey"), customers or dim_customer(spark, sf_dir), policy, source=orders), star.ForeignKey(F.col("l_partkey"), dim_part(spark, sf_dir), source=lines), star.ForeignKey(F.col("l_suppkey"), dim_supplier(spark, sf_dir), source=lines)]
     rows = line_rows(spark, sf_dir)
     measures = {"quantity": money("l_quantity"), "price": money("l_extendedprice"), "discount": money("l_discount")}
     return star.build_fact(rows, ["l_orderkey", "l_linenumber"], keys, {"order_date": F.col("o_orderdate"), "ship_date": F.col("l_shipdate")}, measures, ["l_returnflag", "l_linestatus"], "l_orderkey")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import dependencies, entity_resolution, inclusions, structure
+from tessera.functions import expressions as ex
+from tessera.operators import dependencies, entity_resolution, inclusions, star, structure
 from tessera.queries import ORACLES, QUERIES
 
 
@@ -86,3 +87,34 @@ def test_quantiles_are_exact_and_no_task_holds_a_column(spark, ranges):
         values = sorted(r[i] for r in data if r[i] is not None)
         assert got[f"t.{name}"] == [values[max(1, -(-len(values) * k // 32)) - 1] for k in range(33)]
     assert set(got) == {"t.a", "t.b"} and "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_find_their_keys_without_a_shuffle(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        people = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id long, name string")
+        dim = star.build_dimension(people, "customer", F.col("id"), {"name": F.col("name")}, check=False)
+        facts = spark.createDataFrame([(i, i % 50) for i in range(200)], "k int, c int")
+        good, bad = star.build_fact(facts, ["k"], [star.ForeignKey(F.col("c"), dim)], lineage="k")
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and good.count() == 200 and bad.count() == 0
+        assert good.select("customer_key").exceptAll(facts.join(dim.rows, F.col("c").cast("string") == F.col("canonical_ref")).select("customer_key")).count() == 0
+        # references that have no member, null ones, and members that stand twice, with and without the look-up
+        odd = facts.unionByName(spark.createDataFrame([(201, 77), (202, None), (203, -1)], "k int, c int"))
+        twice = star.build_dimension(people.unionByName(people.where("id = 7")), "customer", F.col("id"), {"name": F.col("name")}, check=False)
+        for d in (dim, twice):
+            for key in (star.ForeignKey(F.col("c"), d), star.ForeignKey(F.col("c"), d, required=False), star.ForeignKey(F.col("c"), d, "EXPLICIT_UNKNOWN_MEMBER"), star.ForeignKey(F.col("c"), d, "NULLABLE_FK", required=False)):
+                got = [sorted(map(str, rows.collect())) for rows in star.build_fact(odd, ["k"], [key], lineage="k")]
+                joined = star.ForeignKey(key.column, star.Dimension(d.name, d.key, d.rows), key.policy, key.required)
+                assert got == [sorted(map(str, rows.collect())) for rows in star.build_fact(odd, ["k"], [joined], lineage="k")]
+                assert len(got[0]) + len(got[1]) == (203 if d is dim else 207)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_of_plain_references_are_those_of_canonical_json(spark):
+    rows = spark.createDataFrame([(0,), (-12,), (2**62,), (None,)], "n long").withColumn("d", F.date_add(F.lit("1999-12-30").cast("date"), F.coalesce(F.col("n") % 7, F.lit(0)).cast("int")))
+    for c in ("n", "d"):
+        text = F.col(c).cast("string")
+        keys = rows.select(ex.surrogate_key("customer", text, plain=True).alias("a"), ex.surrogate_key("customer", text).alias("b")).collect()
+        assert [r.a for r in keys] == [r.b for r in keys] and (c == "d" or keys[3].a is None)
