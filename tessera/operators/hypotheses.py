@@ -33,7 +33,9 @@ def bound(bindings: DataFrame, decisions: DataFrame, reviews: DataFrame, snapsho
     pinned = snapshots.groupBy("source").agg(F.min("snapshot").alias("s_snapshot"), F.countDistinct("snapshot").alias("s_count"))
     # reviews of the same decision that were accepted beside the named one
     others = reviews.where(F.col("verdict").isin(*ACCEPTABLE) & ~F.coalesce("superseded", F.lit(False)) & (F.col("checkpoint") == CHECKPOINT)).groupBy("decision").agg(F.countDistinct("review").alias("accepted"))
-    return bindings.join(once, "decision", "left").join(read, "review", "left").join(pinned, "source", "left").join(others, "decision", "left")
+    # all that a decision's id gives at once, so that bindings are shuffled once for it, and before they have a review's columns
+    known = once.join(others, "decision", "full")
+    return bindings.join(known, "decision", "left").join(read, "review", "left").join(pinned, "source", "left")
 
 
 def _reasons() -> list[tuple[str, str, Column]]:
