@@ -257,12 +257,12 @@ def validate_sliced_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = published_star(spark, sf_dir)
     rows = line_rows(spark, sf_dir).select("o_custkey", "l_suppkey", money("l_quantity").alias("q"), money("l_extendedprice").alias("p"))
     each = rows.groupBy("o_custkey", "l_suppkey").agg(F.sum("q").alias("s"), F.max("q").alias("m"), F.sum("p").alias("p"))
-    each = each.withColumn("slice", F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("l_suppkey").cast("string")))
-    sums = each.select("slice", (F.col("s") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)).alias("value"))
-    most = each.select("slice", F.when(F.col("o_custkey") % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("m")).alias("value"))
+    slice_ = F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("l_suppkey").cast("string")).alias("slice")
+    sums = F.col("s") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)
+    most = F.when(F.col("o_custkey") % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("m"))
+    expected = each.select(slice_, sums.alias("sums"), most.alias("most"), F.col("p").alias("price"))
     slices = [("customer_key", tables["dim_customer"], "customer_key"), ("supplier_key", tables["dim_supplier"], "supplier_key")]
-    fact = tables["fact_line"]
-    return validation.gate([validation.aggregates(sums, fact, slices, "quantity"), validation.aggregates(most, fact, slices, "quantity", "max"), validation.aggregates(each.select("slice", F.col("p").alias("value")), fact, slices, "price")])
+    return validation.aggregates_together(expected, tables["fact_line"].select("customer_key", "supplier_key", "quantity", "price"), slices, [("sums", "quantity", "sum"), ("most", "quantity", "max"), ("price", "price", "sum")])
 
 
 @query("""SELECT 'dates' AS "check", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS discrepancies, 'BLOCKING' AS severity FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) d FROM lineitem) WHERE d NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""")

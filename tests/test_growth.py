@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as ex
-from tessera.operators import dependencies, entity_resolution, hypotheses, inclusions, star, structure
+from tessera.operators import dependencies, entity_resolution, hypotheses, inclusions, star, structure, validation
 from tessera.queries import ORACLES, QUERIES
 
 
@@ -137,3 +137,21 @@ def test_bindings_are_shuffled_once_for_their_decision(spark):
         assert {r.binding: [x.reason for x in r.refusals] for r in found.collect()} == {"b1": [], "b2": ["DECISION_UNKNOWN", "REVIEWED_TWICE"]}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_measures_of_the_same_slices_are_checked_in_one_pass(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "key long, canonical_ref string")
+    fact = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, None), (9, 1, 1)], "k long, q int, p int")
+    expected = spark.createDataFrame([("a", 11, 7, 3), ("b", 7, 6, None), ("c", 1, 1, 1), ("<orphan>", 1, 1, 1)], "slice string, s int, m int, p int")
+    slices, wanted = [("k", dim, "key")], [("s", "q", "sum"), ("m", "q", "max"), ("p", "p", "sum")]
+    found = validation.aggregates_together(expected, fact, slices, wanted)
+    assert [tuple(r) for r in found.collect()] == [("aggregate:sum:q", "FAIL", 1, "BLOCKING"), ("aggregate:max:q", "FAIL", 3, "BLOCKING"), ("aggregate:sum:p", "FAIL", 2, "BLOCKING")]
+    for value, measure, operation in wanted:
+        alone = validation.aggregates(expected.select("slice", F.col(value).alias("value")), fact, slices, measure, operation)
+        assert alone.exceptAll(found).count() == 0 and alone.count() == 1
+
+
+def test_the_sliced_query_reads_each_side_once(spark):
+    plan = QUERIES["validate_sliced_aggregates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the lines and the published facts
+    assert plan.count("Join FullOuter") == 1 and plan.count("Relation [l_orderkey") == 2
