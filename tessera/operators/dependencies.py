@@ -235,7 +235,8 @@ def inclusion_candidates(tables: dict[str, DataFrame], min_coverage: float = 1.0
             if kind.startswith(("array", "map", "struct", "binary")):
                 continue
             tag = "integer" if kind in ("tinyint", "smallint", "int", "bigint") else kind
-            value = F.col(f"`{name}`").cast("bigint" if tag == "integer" else "string")
+            # doubles stay as they are: shorter than their texts, and 0.0 equals -0.0
+            value = F.col(f"`{name}`").cast("bigint" if tag == "integer" else tag if tag in ("double", "float") else "string")
             families.setdefault(tag, []).append((f"{table}.{name}", rows.select(value.alias("value"))))
     counts = None
     for columns in families.values():

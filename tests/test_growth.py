@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import expressions as ex
 from tessera.operators import dependencies, entity_resolution, hypotheses, inclusions, star, structure, validation
 from tessera.queries import ORACLES, QUERIES
+from tessera.queries_discovery import side_edges
 
 
 @pytest.mark.parametrize("name", ["fusion_decisions", "fusion_families"])
@@ -155,3 +156,41 @@ def test_the_sliced_query_reads_each_side_once(spark):
     plan = QUERIES["validate_sliced_aggregates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # the lines and the published facts
     assert plan.count("Join FullOuter") == 1 and plan.count("Relation [l_orderkey") == 2
+
+
+def structure_tables(spark, folder, customers):
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(10, 1, 5.0, "F"), (11, 2, 6.0, "O"), (12, 2, 7.0, "O")], "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(1, "s1", 3, 0.0), (2, "s2", 4, 8.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(10, 1, -0.0, "F"), (11, 2, 8.0, "O")], "l_orderkey long, l_suppkey long, l_extendedprice double, l_linestatus string").write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("key", [2, 3])
+def test_references_are_to_columns_with_a_value_for_each_row(spark, tmp_path, key):
+    """A customer's key that stands twice is none, though one of its rows lacks a balance; 0.0 and -0.0 are one value."""
+    con = structure_tables(spark, tmp_path, [(1, "c1", 1, 1.0, "A"), (2, "c2", 1, 2.0, "A"), (key, "c3", 2, None, "B")])
+    want = {(a, b): x for a, b, x in con.execute(ORACLES["match_structure"]).fetchall()}
+    got = {(r.left, r.right): r.structure for r in QUERIES["match_structure"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_structure_shuffles_values_once(spark, tmp_path):
+    def written():
+        return spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    n = 20_000
+    numbers = spark.range(n, numPartitions=4).select(F.xxhash64("id").alias("k"), F.xxhash64("id", F.lit(1)).cast("double").alias("v"))
+    tables = {"a": numbers.select("k", "v"), "b": numbers.select(F.col("k").alias("k2"), F.col("v").alias("v2")).limit(10)}
+    files = {}
+    for t, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{t}")
+        files[t] = spark.read.parquet(f"{tmp_path}/{t}")
+    before = written()
+    edges = side_edges(files).where("label = 'refers'").collect()
+    assert {(r.source, r.target) for r in edges} == {("b.k2", "a"), ("b.v2", "a")}
+    # two columns of 20,000 values of eight bytes with their bits, once
+    assert written() - before < 2 * n * 18
