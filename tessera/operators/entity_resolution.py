@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components, joined_by_weight, settled
@@ -216,6 +217,52 @@ def tiled(keyed: DataFrame, tile: int, seed: int = 0) -> tuple[DataFrame, DataFr
     return left, right
 
 
+def partners(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> DataFrame:
+    """The distinct records with n, how many rows each has, and before and after: how many of its row's candidate pairs have a lesser and a greater other reference.
+
+    The pairs are those of `candidate_pairs`, of which none is made or left out: what is asked of a block are the places of
+    its sorted records. Pairs that agree on several rules, or that a mode leaves out, are taken off by the places among the
+    records that agree on all of that. So the work grows with the records, however many pairs they have.
+    """
+    modes = {"LINK_ONLY": [((), 1), ((source,), -1)], "DEDUPE_ONLY": [((source,), 1)], "LINK_AND_DEDUPE": [((), 1)]}[spec.mode]
+    signs: dict[tuple[str, ...], int] = {}
+    for n in range(1, len(spec.blocking) + 1):
+        for rules in combinations(spec.blocking, n):
+            for extra, sign in modes:
+                key = tuple(sorted({f for rule in rules for f in rule} | set(extra)))
+                signs[key] = signs.get(key, 0) + sign * (-1) ** (n + 1)
+    columns = records.columns
+    rows = records.groupBy(*columns).agg(F.count("*").alias("n"))
+    if spec.mode == "LINK_ONLY":
+        rows = rows.where(F.col(source).isNotNull())
+    signs = {key: sign for key, sign in signs.items() if sign}
+    if len(signs) > 1:
+        rows = settled(rows)
+    out = None
+    for key, sign in signs.items():
+        one = _placed(rows.dropna(subset=[*key, ref]), key, ref)
+        one = one.select(*columns, "n", (F.lit(sign) * F.col("before")).alias("before"), (F.lit(sign) * F.col("after")).alias("after"))
+        out = one if out is None else out.unionByName(one)
+    return out if len(signs) == 1 else out.groupBy(*columns, "n").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+
+
+def _placed(rows: DataFrame, key: tuple[str, ...], ref: str) -> DataFrame:
+    """rows, which stand n times each, with how many of their key have a lesser (before) and a greater (after) reference.
+
+    The sorted rows are cut into ranges, to whose running counts the totals of the key's ranges before them are added: a common key goes to many tasks.
+    """
+    ranged = settled(rows.repartitionByRange(*key, ref).withColumn("_range", F.spark_partition_id()))
+    of_key = Window.partitionBy(*key)
+    totals = ranged.groupBy(*key, "_range").agg(F.sum("n").alias("_here"))
+    totals = totals.withColumn("_all", F.sum("_here").over(of_key)).withColumn("_past", F.sum("_here").over(of_key.orderBy("_range")) - F.col("_here"))
+    inside = Window.partitionBy(*key, "_range")
+    # of rows with one reference none is before another
+    upto = F.sum("n").over(inside.orderBy(ref).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    beside = ranged.withColumn("_upto", upto).withColumn("_equal", F.sum("n").over(Window.partitionBy(*key, "_range", ref)))
+    met = beside.join(totals, [*key, "_range"])
+    return met.withColumn("before", F.col("_past") + F.col("_upto") - F.col("_equal")).withColumn("after", F.col("_all") - F.col("_past") - F.col("_upto"))
+
+
 def level(c: Comparison) -> Column:
     """The agreement level of a pair in a field: null where a side is missing."""
     a, b = F.col(f"l_{c.field}"), F.col(f"r_{c.field}")

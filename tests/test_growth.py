@@ -194,3 +194,42 @@ def test_structure_shuffles_values_once(spark, tmp_path):
     assert {(r.source, r.target) for r in edges} == {("b.k2", "a"), ("b.v2", "a")}
     # two columns of 20,000 values of eight bytes with their bits, once
     assert written() - before < 2 * n * 18
+
+
+@pytest.mark.parametrize("mode", ["LINK_ONLY", "DEDUPE_ONLY", "LINK_AND_DEDUPE"])
+@pytest.mark.parametrize("together", ["true", "false"])
+def test_partners_are_those_of_the_candidate_pairs(spark, mode, together):
+    rng = random.Random(5)
+    rows = [(rng.randrange(90), rng.choice(["a", "b", None]), rng.choice([None, "x", "x", "x", "y"]), rng.choice([None, 1, 2]), rng.choice("pq")) for _ in range(150)]
+    rows += rows[:20] + [(None, "a", "x", 1, "p")]
+    records = spark.createDataFrame(rows, "record_ref long, source_id string, name string, number int, other string")
+    spec = entity_resolution.Spec((entity_resolution.Comparison("name"),), (("name",), ("number", "other"), ("other", "name")), mode=mode)
+
+    def paired(a, b):
+        known = mode == "LINK_AND_DEDUPE" or (a[1] and b[1] and (a[1] == b[1]) == (mode == "DEDUPE_ONLY"))
+        return a[0] is not None and b[0] is not None and known and ((a[2] and a[2] == b[2]) or (a[3] and a[3:] == b[3:]))
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+    try:
+        got = {tuple(r)[:5]: (r.n, r.before, r.after) for r in entity_resolution.partners(records, spec).collect()}
+        pairs = entity_resolution.candidate_pairs(records, spec).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for a in set(rows):
+        want = (rows.count(a), sum(bool(paired(a, b) and b[0] < a[0]) for b in rows), sum(bool(paired(a, b) and b[0] > a[0]) for b in rows))
+        assert got.get(a, (rows.count(a), 0, 0)) == want
+    assert sum(n * after for n, _, after in got.values()) == sum(n * before for n, before, _ in got.values()) == pairs
+
+
+def test_sums_over_the_pairs_of_a_common_block_make_no_pair(spark, tmp_path, monkeypatch):
+    """Four fifths of the records are one block, of 51 billion pairs."""
+    monkeypatch.setattr(entity_resolution, "tiled", lambda *_: pytest.fail("pairs are made"))
+    n = 400_000
+    spark.range(n).select((F.col("id") * 2 + (F.col("id") % 5 == 0).cast("int")).alias("c_custkey"), F.concat(F.lit("S"), F.col("id") % 5).alias("c_mktsegment"), (F.col("id") % 7).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.block: (r.pairs, r.mark) for r in QUERIES["er_tiles"](spark, str(tmp_path)).collect()}
+    blocks = {}
+    for i in range(n):
+        k = i * 2 + (i % 5 == 0)
+        blocks.setdefault("common" if k % 2 == 0 else f"S{i % 5}{i % 7}", []).append(k)
+    assert len(blocks["common"]) > n // 2
+    assert got == {b: (len(ks) * (len(ks) - 1) // 2, sum(k * (31 * (len(ks) - 1 - i) + i) for i, k in enumerate(ks))) for b, ks in blocks.items()}
