@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import edits
 from tessera.operators.graph import connected_components, joined_by_weight, settled
 
-
+NEAR = 1 << 15  # records of a block whose texts meet in one task by what is left of them
 GROUPS = 40  # of a key at most: 820 tiles, to which each record goes 41 times
 
 
@@ -164,15 +167,17 @@ def check_budget(records: DataFrame, spec: Spec) -> None:
         raise ValueError(f"PAIR_BUDGET_EXCEEDED: {[(r.rule, r.pairs) for r in total]} > {spec.max_pairs}")
 
 
-def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> DataFrame:
+def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id", carried: tuple[str, ...] = (), after: int = 0) -> DataFrame:
     """(l, r) references of the pairs that agree on all fields of a rule, once each; nulls never agree.
 
+    The fields of both sides and `carried` columns come along. With `after`, only pairs that agree on none of the first so many rules.
+
     A block's pairs are a triangle, which is cut into tiles: its records are dealt to groups of about `spec.tile`, and each
     two groups, and each one with itself, are a tile of their own. So a common key's pairs are dealt to all tasks in
     even parts, and a rare key's block is one tile. A key has GROUPS groups at most, so that copies of its records grow as
     the records do; its tiles grow instead.
     """
-    fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule})
+    fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule} | set(carried))
     cells = F.struct(F.col(ref).alias("ref"), F.col(source).alias("source"), *[F.col(f).alias(f"f_{f}") for f in fields])
     names = ["ref", "source", *[f"f_{f}" for f in fields]]
 
@@ -182,6 +187,8 @@ def candidate_pairs(records: DataFrame, spec: Spec, ref: str = "record_ref", sou
     sides = {"LINK_ONLY": F.col("x_source") != F.col("y_source"), "DEDUPE_ONLY": F.col("x_source") == F.col("y_source"), "LINK_AND_DEDUPE": F.lit(True)}[spec.mode]
     out = None
     for k, rule in enumerate(spec.blocking):
+        if k < after:
+            continue
         known = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in rule])
         keyed = records.where(known).select(F.struct(*[F.col(f).alias(f"k{i}") for i, f in enumerate(rule)]).alias("key"), cells.alias("cells"))
         left, right = tiled(keyed, spec.tile, spec.seed)
@@ -263,6 +270,11 @@ def _placed(rows: DataFrame, key: tuple[str, ...], ref: str) -> DataFrame:
     return met.withColumn("before", F.col("_past") + F.col("_upto") - F.col("_equal")).withColumn("after", F.col("_all") - F.col("_past") - F.col("_upto"))
 
 
+def levels_told(c: Comparison) -> list[int]:
+    """The level of each edit distance of unequal texts, up to the last limit."""
+    return [next(c.levels - 1 - k for k, limit in enumerate(c.limits) if d <= limit) for d in range(math.floor(max(c.limits)) + 1)]
+
+
 def level(c: Comparison) -> Column:
     """The agreement level of a pair in a field: null where a side is missing."""
     a, b = F.col(f"l_{c.field}"), F.col(f"r_{c.field}")
@@ -270,9 +282,8 @@ def level(c: Comparison) -> Column:
     out = F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(a == b, top)
     if c.method == "levenshtein":
         # one distance for each pair; beyond the last limit it isn't worked out, but -1
-        most = math.floor(max(c.limits))
-        told = [next(top - 1 - k for k, limit in enumerate(c.limits) if d <= limit) for d in range(most + 1)]
-        return out.otherwise(F.coalesce(F.get(F.array(*map(F.lit, told)), F.levenshtein(a, b, most)), F.lit(0)))
+        told = levels_told(c)
+        return out.otherwise(F.coalesce(F.get(F.array(*map(F.lit, told)), F.levenshtein(a, b, len(told) - 1)), F.lit(0)))
     if c.method != "exact":
         measured = jaro_winkler_of(a, b)
         for k, limit in enumerate(c.limits):
@@ -289,6 +300,141 @@ def patterns(pairs: DataFrame, spec: Spec) -> list:
     return pairs.groupBy(*[f"v_{c.field}" for c in spec.comparisons]).agg(F.count("*").alias("n")).collect()
 
 
+def vector_counts(records: DataFrame, spec: Spec, ref: str = "record_ref", source: str = "source_id") -> DataFrame:
+    """(v_<field>…, pairs, first_left, last_right) of all candidate pairs' comparison vectors: how many pairs have it, their least left and greatest right reference.
+
+    References tell records apart. Where pairs of several sources are compared in one text by edits and else exactly, no block
+    makes all its pairs: what agrees in the exact fields is counted by classes of records that are equal in them, and all
+    their pairs count as far in the text. Those that are near are found by `edits.near` and counted at their level instead.
+    Of each record is known how many partners it has in each vector, hence the ends. Pairs of a rule with the text itself, and
+    of texts of over `edits.LONGEST` characters, are made, though once for all equal records. Other specs' pairs are all made.
+    """
+    names = [f"v_{c.field}" for c in spec.comparisons]
+    text = next((c for c in spec.comparisons if c.method == "levenshtein"), None)
+    exact = tuple(c for c in spec.comparisons if c is not text)
+    kinds_of = dict(records.dtypes)
+    wide = tuple(rule for rule in spec.blocking if text and text.field not in rule)
+    fields = sorted({c.field for c in spec.comparisons} | {f for rule in spec.blocking for f in rule})
+    plain = all(not kinds_of[f].startswith(("array", "map", "struct")) for f in fields) and all(c.method == "exact" for c in exact)
+    if not wide or spec.mode != "LINK_ONLY" or kinds_of[text.field] != "string" or max(text.limits) >= 3 or not plain:
+        pairs = with_levels(candidate_pairs(records, spec, ref, source), spec)
+        return pairs.groupBy(*names).agg(F.count("*").alias("pairs"), F.min("l").alias("first_left"), F.max("r").alias("last_right"))
+
+    whole = records.where(F.col(ref).isNotNull() & F.col(source).isNotNull())
+    kinds = whole.groupBy(source, *fields).agg(F.count("*").alias("_n"), F.min(ref).alias("_first"), F.max(ref).alias("_last"))
+    others = [f for f in fields if f != text.field]
+    same = F.struct(source, *others, F.col(text.field).isNull().alias("_none")).alias("_class")
+    kinds = settled(kinds.select("*", same, F.monotonically_increasing_id().alias("_kind")))
+    told = ["_kind", "_n", "_first", "_last", *names, "_partners"]
+    far = f"v_{text.field}"
+
+    def sides(pairs: DataFrame, near: bool = False) -> DataFrame:
+        """Both records of each pair, with the other's number; near ones are taken off the far ones."""
+        both = F.array(*[F.struct(F.col(a).alias("_kind"), *[F.col(f"{a}_{c}").alias(c) for c in ("_n", "_first", "_last")], F.col(f"{b}__n").alias("_partners")) for a, b in ("lr", "rl")])
+        rows = pairs.select(F.explode(both).alias("_s"), *names).select("_s.*", *names).select(*told)
+        return moved(rows) if near else rows
+
+    def moved(rows: DataFrame) -> DataFrame:
+        ways = F.array(F.struct(F.col(far), F.col("_partners")), F.struct(F.lit(0).alias(far), (-F.col("_partners")).alias("_partners")))
+        return rows.withColumn("_s", F.explode(ways)).drop(far, "_partners").select("*", "_s.*").select(*told)
+
+    # all pairs that agree on a rule without the text, as if their texts were far from each other
+    classes = settled(kinds.groupBy("_class").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))).select("_class.*", "*")
+    met = candidate_pairs(classes, replace(spec, comparisons=exact, blocking=wide), "_class", source, ("_n", "_kinds", "_none"))
+    unknown = F.when(~F.col("l__none") & ~F.col("r__none"), F.lit(0)).alias(far)
+    met = met.select("l", "r", "l__n", "r__n", "l__kinds", "r__kinds", *[level(c).alias(f"v_{c.field}") for c in exact], unknown)
+    ways = F.array(*[F.struct(F.col(a).alias("_class"), F.col(f"{a}__kinds").alias("_kinds"), F.col(f"{b}__n").alias("_partners")) for a, b in ("lr", "rl")])
+    met = met.select(F.explode(ways).alias("_s"), *names).select("_s.*", *names)
+    totals = settled(met.groupBy("_class", "_kinds", *names).agg(F.sum("_partners").alias("_partners")))
+    found = joined_by_weight(kinds, totals, "_class", "_kinds").select(*told)
+
+    long = kinds.where(F.length(text.field) > edits.LONGEST)
+    for k, rule in enumerate(wide):
+        found = found.unionByName(moved(_near(kinds.where(F.length(text.field) <= edits.LONGEST), spec, text, rule, wide[:k], source)))
+    carried = ("_n", "_first", "_last")
+    if long.take(1):
+        some = kinds.where(F.length(text.field) > edits.LONGEST - len(levels_told(text)) + 1)
+        pairs = candidate_pairs(some, replace(spec, blocking=wide), "_kind", source, carried)
+        pairs = pairs.where(F.greatest(F.length(f"l_{text.field}"), F.length(f"r_{text.field}")) > edits.LONGEST)
+        found = found.unionByName(sides(with_levels(pairs, spec).where(F.col(far) > 0), near=True))
+    narrow = tuple(rule for rule in spec.blocking if rule not in wide)
+    if narrow:
+        pairs = candidate_pairs(kinds, replace(spec, blocking=wide + narrow), "_kind", source, carried, len(wide))
+        found = found.unionByName(sides(with_levels(pairs, spec)))
+    each = found.groupBy("_kind", "_n", "_first", "_last", *names).agg(F.sum("_partners").alias("_partners")).where("_partners > 0")
+    return each.groupBy(*names).agg(F.expr("sum(_n * _partners) div 2").alias("pairs"), F.min("_first").alias("first_left"), F.max("_last").alias("last_right"))
+
+
+def _near(kinds: DataFrame, spec: Spec, text: Comparison, rule: tuple[str, ...], before: tuple[tuple[str, ...], ...], source: str) -> DataFrame:
+    """(_kind, _n, _first, _last, v_<field>…, _partners): records' partners of other sources in a rule whose texts are near, and that agree on no rule before it."""
+    fields = sorted({c.field for c in spec.comparisons if c is not text and c.field not in rule} | {f for other in before for f in other if f not in rule})
+    known = kinds.dropna(subset=[*rule, text.field])
+    keyed = known.select(F.struct(*[F.col(f).alias(f"k{i}") for i, f in enumerate(rule)]).alias("key"), F.struct(F.col("_kind").alias("ref"), "_n", "_first", "_last", F.col(source).alias("source"), F.col(text.field).alias("text"), *[F.col(f).alias(f"f_{f}") for f in fields]).alias("cells"))
+    left, right = tiled(keyed, NEAR, spec.seed)
+    met = left.select("*", F.lit(True).alias("is_left")).unionByName(right.select("*", F.lit(False).alias("is_left")))
+    # small tiles go together, so that no block is a call of its own
+    parts = 4 * int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundles = 1 + 4 * kinds.count() // NEAR
+    met = met.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(bundles)).alias("bundle"), "key.*", "low", "high", "is_left", "cells.*").repartition(min(parts, bundles), "bundle")
+    kind = dict(kinds.dtypes)["_first"]
+    schema = f"_kind long, _n long, _first {kind}, _last {kind}, " + "".join(f"`v_{c.field}` int, " for c in spec.comparisons) + "_partners long"
+    return met.groupBy("bundle").applyInArrow(_near_in(spec, text, rule, before), schema)
+
+
+def _near_in(spec: Spec, text: Comparison, rule: tuple[str, ...], before: tuple[tuple[str, ...], ...]) -> Callable[[pa.Table], pa.Table]:
+    told = np.array([text.levels, *levels_told(text)[1:]])
+    sizes = [c.levels + 2 for c in spec.comparisons]
+
+    def coded(rows: pa.Table, name: str) -> np.ndarray:
+        """Small numbers, equal where values are; -1 for null."""
+        return rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def found(rows: pa.Table) -> pa.Table:
+        tile = np.zeros(len(rows), np.int64)
+        for name in [*[f"k{i}" for i in range(len(rule))], "low", "high"]:
+            values = coded(rows, name)
+            tile = np.unique(tile * (values.max() + 1) + values, return_inverse=True)[1].astype(np.int64)
+        is_left, owner, n = rows["is_left"].to_numpy(), coded(rows, "source"), rows["_n"].to_numpy()
+        texts = np.array(rows["text"].to_pylist(), object)
+        inside = rows["low"].to_numpy() == rows["high"].to_numpy()
+        values = {name[2:]: coded(rows, name) for name in rows.column_names if name.startswith("f_")}
+        out: list[np.ndarray] = []
+        for s in range(int(owner.max()) + 1):
+            # inside a group each pair is met both ways, between two groups once
+            x, y = np.flatnonzero(is_left & (owner == s)), np.flatnonzero(~is_left & np.where(inside, owner > s, owner != s))
+            x, y = x[np.isin(tile[x], tile[y])], y[np.isin(tile[y], tile[x])]
+            for i, j, d in edits.near(texts[x].tolist(), tile[x], texts[y].tolist(), tile[y], len(told) - 1):
+                i, j = x[i], y[j]
+                new = np.ones(len(i), bool)
+                for other in before:
+                    new &= ~np.logical_and.reduce([np.ones(len(i), bool), *[(values[f][i] == values[f][j]) & (values[f][i] >= 0) for f in other if f not in rule]])
+                i, j, d = i[new], j[new], d[new]
+                vector = np.zeros(len(i), np.int64)
+                for c, size in zip(spec.comparisons, sizes, strict=True):
+                    if c is text:
+                        v = told[d] + 1
+                    elif c.field in rule:
+                        v = c.levels + 1
+                    else:
+                        a, b = values[c.field][i], values[c.field][j]
+                        v = np.where((a < 0) | (b < 0), 0, np.where(a == b, c.levels + 1, 1))
+                    vector = vector * size + v
+                for one, other in ((i, j), (j, i)):
+                    pair, at = np.unique(np.stack([one, vector]), axis=1, return_inverse=True)
+                    out.append(np.vstack([pair, np.bincount(at.ravel(), n[other], pair.shape[1]).astype(np.int64)]))
+        at, vector, partners = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        columns = {}
+        for c, size in zip(reversed(spec.comparisons), reversed(sizes), strict=True):
+            vector, v = np.divmod(vector, size)
+            columns[f"v_{c.field}"] = pa.array(v - 1, pa.int32(), mask=v == 0)
+        kept = rows.select(["ref", "_n", "_first", "_last"]).rename_columns(["_kind", "_n", "_first", "_last"]).take(pa.array(at))
+        for c in spec.comparisons:
+            kept = kept.append_column(f"v_{c.field}", columns[f"v_{c.field}"])
+        return kept.append_column("_partners", pa.array(partners, pa.int64()))
+
+    return found
+
+
 def u_probabilities(records: DataFrame, spec: Spec, ref: str = "record_ref") -> dict[str, list[float]]:
     """Shares of levels among random pairs: each record is joined to one of a hash's neighbours."""
     fields = [c.field for c in spec.comparisons]
@@ -344,7 +490,7 @@ def with_frequencies(pairs: DataFrame, records: DataFrame, spec: Spec) -> DataFr
 
 
 def scored(pairs: DataFrame, spec: Spec, m: dict[str, list[float]], u: dict[str, list[float]], prior: float) -> DataFrame:
-    """pairs with weight (log2 odds), probability, agreements and band."""
+    """pairs, or their vectors, with weight (log2 odds), probability, agreements and band."""
     weight = F.lit(math.log2(prior / (1 - prior)))
     for c in spec.comparisons:
         factors = F.array(*[F.lit(math.log2(a / b)) for a, b in zip(m[c.field], u[c.field], strict=True)])
@@ -352,7 +498,7 @@ def scored(pairs: DataFrame, spec: Spec, m: dict[str, list[float]], u: dict[str,
         if c.term_frequency:
             rarer = F.lit(math.log2(u[c.field][-1])) - F.log2(F.col(f"tf_{c.field}"))
             weight = weight + F.coalesce(F.when(F.col(f"v_{c.field}") == c.levels, rarer), F.lit(0.0))
-    agree = reduce(lambda x, y: x + y, [F.coalesce((F.col(f"l_{c.field}") == F.col(f"r_{c.field}")).cast("int"), F.lit(0)) for c in spec.comparisons])
+    agree = reduce(lambda x, y: x + y, [F.coalesce((F.col(f"v_{c.field}") == c.levels).cast("int"), F.lit(0)) for c in spec.comparisons])
     out = pairs.withColumn("weight", weight).withColumn("agreements", agree).withColumn("probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
     gate = F.col("weight") >= spec.weight_gate if spec.weight_gate is not None else F.lit(False)
     strong = (F.col("probability") >= spec.strong) | gate

@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,3 +234,62 @@ def test_sums_over_the_pairs_of_a_common_block_make_no_pair(spark, tmp_path, mon
         blocks.setdefault("common" if k % 2 == 0 else f"S{i % 5}{i % 7}", []).append(k)
     assert len(blocks["common"]) > n // 2
     assert got == {b: (len(ks) * (len(ks) - 1) // 2, sum(k * (31 * (len(ks) - 1 - i) + i) for i, k in enumerate(ks))) for b, ks in blocks.items()}
+
+
+@pytest.mark.parametrize(("rules", "longest", "tile"), [((("nation", "segment"), ("name",)), 40, 1 << 15), ((("name", "nation"), ("segment",), ("nation",)), 40, 8), ((("nation",), ("name",), ("segment", "nation")), 5, 8)])
+def test_vectors_are_counted_as_those_of_the_pairs(spark, monkeypatch, rules, longest, tile):
+    rng = random.Random(9)
+    name = lambda: rng.choice([None, "", "ab😀", *["".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(9)]])
+    rows = [(f"r{i:03}", rng.choice(["a", "b", "b", "c", None]), name(), rng.choice([None, "s", "t"]), rng.choice([None, 1, 2]), rng.choice([0.0, float("nan"), None])) for i in range(240)]
+    records = spark.createDataFrame(rows, "record_ref string, source_id string, name string, segment string, nation int, rate double")
+    c = entity_resolution.Comparison
+    spec = entity_resolution.Spec((c("segment"), c("name", "levenshtein", (1, 2)), c("nation"), c("rate")), rules)
+    monkeypatch.setattr(entity_resolution.edits, "LONGEST", longest)
+    monkeypatch.setattr(entity_resolution, "NEAR", tile)
+    got = entity_resolution.vector_counts(records, spec)
+    pairs = entity_resolution.with_levels(entity_resolution.candidate_pairs(records, spec), spec)
+    names = ["v_segment", "v_name", "v_nation", "v_rate"]
+    want = pairs.groupBy(*names).agg(F.count("*").alias("pairs"), F.min("l").alias("first_left"), F.max("r").alias("last_right"))
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() > 20
+    # no text by edits, or one that isn't compared across sources: the pairs are made
+    for other in (entity_resolution.Spec((c("segment"), c("nation")), (("segment",),)), entity_resolution.Spec(spec.comparisons, rules, mode="DEDUPE_ONLY")):
+        some = entity_resolution.vector_counts(records.limit(60), other)
+        assert some.agg(F.sum("pairs")).first()[0] == entity_resolution.candidate_pairs(records.limit(60), other).count()
+
+
+def test_near_texts_are_those_of_a_plain_comparison(monkeypatch):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            fresh = [i]
+            for j, y in enumerate(b, 1):
+                fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
+            row = fresh
+        return row[-1]
+
+    rng = random.Random(1)
+    for most, step, letters in ((0, 300, "ab"), (1, 300, "abcdé😀"), (2, 300, "aab"), (2, 1 << 22, "0123456789"), (2, 300, "a")):
+        monkeypatch.setattr(entity_resolution.edits, "STEP", step)
+        left, right = (["".join(rng.choice(letters) for _ in range(rng.randrange(9))) for _ in range(n)] for n in (80, 60))
+        tiles = [np.array([rng.randrange(2) for _ in texts]) for texts in (left, right)]
+        got = [tuple(map(int, p)) for part in entity_resolution.edits.near(left, tiles[0], right, tiles[1], most) for p in zip(*part, strict=True)]
+        want = {(i, j, distance(x, y)) for i, x in enumerate(left) for j, y in enumerate(right) if tiles[0][i] == tiles[1][j] and distance(x, y) <= most}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scores_of_a_common_block_make_few_pairs(spark, tmp_path, monkeypatch):
+    """A block of 2000 and 1000 records: its two million pairs are counted by their scores, and few are made."""
+    n = 2000
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", F.col("id") * 7).alias("c_name"), F.lit("S").alias("c_mktsegment"), F.lit(1).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    made = []
+    pairs = entity_resolution.candidate_pairs
+    monkeypatch.setattr(entity_resolution, "candidate_pairs", lambda *a, **k: (made.append(pairs(*a, **k)), made[-1])[1])
+    got = {r.band: r for r in QUERIES["er_scored"](spark, str(tmp_path)).collect()}
+    assert sum(df.count() for df in made) <= 2 * n
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(ORACLES["er_scored"]).fetchall()
+    assert sum(r[1] for r in want) == n * n // 2 and len(want) == len(got)
+    for band, count, weight, first, last in want:
+        r = got[band]
+        assert (r.pairs, r.first_left, r.last_right) == (count, first, last) and r.weight == pytest.approx(weight, abs=0.01)
