@@ -374,7 +374,7 @@ def _near(kinds: DataFrame, spec: Spec, text: Comparison, rule: tuple[str, ...],
     met = left.select("*", F.lit(True).alias("is_left")).unionByName(right.select("*", F.lit(False).alias("is_left")))
     # small tiles go together, so that no block is a call of its own
     parts = 4 * int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bundles = 1 + 4 * kinds.count() // NEAR
+    bundles = 1 + 16 * kinds.count() // NEAR
     met = met.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(bundles)).alias("bundle"), "key.*", "low", "high", "is_left", "cells.*").repartition(min(parts, bundles), "bundle")
     kind = dict(kinds.dtypes)["_first"]
     schema = f"_kind long, _n long, _first {kind}, _last {kind}, " + "".join(f"`v_{c.field}` int, " for c in spec.comparisons) + "_partners long"
